@@ -8,9 +8,9 @@ agree with probability equal to the Jaccard similarity while large sets need one
 
 Bands of R coordinates propose pairs. At similarity 0.75 and the production values (T = 128, R = 4) all
 32 bands miss with probability 5e-6. Texts with equal sets are one class, so copies are never paired.
-Within a bucket each class is first verified against one leader; only classes of one bucket that are
-then still in different components are compared among themselves, so a group of m near copies costs
-about m verifications. A pair is a link only if the full sets satisfy 100 * inter >= 75 * union.
+Each class is first verified against one leader of its buckets. Buckets that then still hold several
+components are compared exhaustively, in blocks of bounded size that count exact intersections in place
+and emit a spanning forest of the links found, never the pairs. A pair is a link only if the full sets satisfy 100 * inter >= 75 * union.
 """
 
 from __future__ import annotations
@@ -31,8 +31,10 @@ PERCENT = 75
 ROUND = K.constants(2 * T, 101)
 BAND = K.constants(R, 103)
 ROUND_TAG = K.constants(2 * T, 107)
-#: Of the 128 four-bit digests of a sketch so many agree in a pair at 0.75 but for a chance of 1e-7 (mean 98, deviation 4.8).
-LEAST_EQUAL = 72
+#: Bounds of a chunk; two chunks of a bucket meet in one block.
+CHUNK_ROWS, CHUNK_SHINGLES = 512, 400_000
+#: Shingles that more texts of a block hold are counted by a matrix product.
+LIGHT = 12
 _U = np.uint64
 
 
@@ -69,8 +71,8 @@ def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def digest(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, set sizes, two set keys, band keys, four-bit digests) of slices of a text column."""
+def digest(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, end row, set sizes, two set keys, band keys) of slices of a text column."""
     for lo, hi, data, offs in K.slices(column):
         sets, first = K.distinct_sets(*K.Words(data, offs).grams(WORDS, whole_if_short=True))
         sizes = np.diff(first)
@@ -80,18 +82,16 @@ def digest(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         sk = sketches(sets, first)
         bands = sk.reshape(len(sizes), T // R, R)
         keys = K.mix((bands * BAND).sum(axis=2, dtype=_U) + ROUND[: T // R])
-        nibble = K.mix(sk ^ BAND[3]) >> _U(60)
-        packed = (nibble.reshape(len(sizes), T // 16, 16) << (np.arange(16, dtype=_U) * _U(4))).sum(axis=2, dtype=_U)
-        yield lo, hi, sizes, sums, keys, packed
+        yield lo, hi, sizes, sums, keys
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, text = batch.column(0), batch.column(1)
-        for lo, hi, sizes, sums, keys, packed in digest(text):
+        for lo, hi, sizes, sums, keys in digest(text):
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), K.lists(keys, T // R), K.lists(packed, T // 16)],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands", "bits"],
+                [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), K.lists(keys, T // R)],
+                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
             )
 
 
@@ -123,14 +123,93 @@ def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
 
 
-def _equal_digests(x: str, y: str) -> F.Column:
-    """How many of the four-bit digests in two arrays of 64-bit words agree."""
-    differing = F.lit(0)
-    for i in range(T // 16):
-        d = F.col(x)[i].bitwiseXOR(F.col(y)[i])
-        d = d.bitwiseOR(F.shiftright(d, 1)).bitwiseOR(F.shiftright(d, 2)).bitwiseOR(F.shiftright(d, 3))
-        differing = differing + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    return F.lit(T) - differing
+def _links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A spanning forest of the similarity graph of these sets, from exact intersection sizes."""
+    m = len(sets)
+    sizes = np.array([len(x) for x in sets])
+    if m <= 6:
+        inter = np.zeros((m, m))
+        for i in range(m):
+            for j in range(i):
+                if 100 * min(sizes[i], sizes[j]) >= PERCENT * max(sizes[i], sizes[j]):
+                    inter[i, j] = inter[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+    else:
+        flat, row = np.concatenate(sets), np.repeat(np.arange(m), sizes)
+        order = np.argsort(flat, kind="stable")
+        flat, row = flat[order], row[order]
+        begin = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+        df = np.diff(np.append(begin, len(flat)))
+        inter = np.zeros(m * m)
+        for d in range(2, min(LIGHT, m) + 1):  # shingles of few texts: count their pairs
+            at = begin[df == d]
+            for x in range(d):
+                for y in range(x):
+                    inter += np.bincount(row[at + x] * m + row[at + y], minlength=m * m) if len(at) else 0
+        inter = inter.reshape(m, m)
+        inter += inter.T
+        heavy = np.flatnonzero(df > LIGHT)  # at most total / LIGHT of them: multiply incidence matrices
+        for lo in range(0, len(heavy), 2048):
+            part = heavy[lo : lo + 2048]
+            col = np.repeat(np.arange(len(part)), df[part])
+            at = np.repeat(begin[part] - np.cumsum(df[part]) + df[part], df[part]) + np.arange(df[part].sum())
+            x = np.zeros((m, len(part)), dtype=np.float32)
+            x[row[at], col] = 1
+            inter += x @ x.T
+    linked = (inter > 0) & (100 * inter >= PERCENT * (sizes[:, None] + sizes[None, :] - inter))
+    np.fill_diagonal(linked, False)
+    fresh, found = np.ones(m, dtype=bool), []
+    for s in range(m):
+        stack = [s] if fresh[s] else []
+        fresh[s] = False
+        while stack:
+            i = stack.pop()
+            more = np.flatnonzero(linked[i] & fresh)
+            fresh[more] = False
+            found += [(i, int(j)) for j in more]
+            stack += more.tolist()
+    return found
+
+
+def _within_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block; a partition's rows are sorted by block, and one block at a time is held."""
+
+    def finish(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        ids = [x[0] for x in held]
+        pairs = _links_within([x[1] for x in held])
+        return pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in pairs], pa.int64()), pa.array([ids[j] for _, j in pairs], pa.int64())], names=["a", "b"])
+
+    block, held = None, []
+    for batch in batches:
+        key, ids = list(zip(*(batch.column(c).to_pylist() for c in range(3)))), batch.column(3).to_pylist()
+        for lo, hi, data, offs in K.slices(batch.column(4)):
+            sets, first = K.distinct_sets(*K.Words(data, offs).grams(WORDS, whole_if_short=True))
+            for d in range(hi - lo):
+                if key[lo + d] != block:
+                    if len(held) > 1:
+                        yield finish(held)
+                    block, held = key[lo + d], []
+                held.append((ids[lo + d], sets[first[d] : first[d + 1]]))
+    if len(held) > 1:
+        yield finish(held)
+
+
+def _linked_within(scratch: Scratch, labelled: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the members of every bucket that still holds several components.
+
+    Buckets of equal membership are compared once. A bucket is cut into chunks of bounded size, and every two
+    chunks meet in one block, whose exact intersections are counted in place: no pair is ever a row.
+    """
+    h1, h2 = F.xxhash64("v"), F.xxhash64("v", F.lit(1))
+    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("lo < hi")
+    keys = keys.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key")
+    rest = scratch.write(labelled.select("key", "v").join(keys, "key").join(reps.select("v", "n"), "v"), "mixed")
+    sizes = rest.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES), F.lit(1)).cast("int").alias("chunks"))
+    placed = rest.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("v", F.lit(5)), F.col("chunks")).cast("int"))
+    # chunk c meets chunks 0..chunks-1; with one chunk the block is (0, 0)
+    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    blocks = placed.select("key", "v", "mine", "chunks", other.alias("o")).where("mine <> o or chunks = 1").select("key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "v")
+    full = blocks.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return full.select("key", "i", "j", "v", "text").mapInArrow(_within_batches, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -143,7 +222,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.write(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>, bits array<long>"), "sketch")
+    rows = scratch.write(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
     real = rows.where("n_shingles > 0 and doc_id is not null")
     classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     copied = scratch.write(classes.where("m > 1"), "copied")
@@ -152,7 +231,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     reps = (
         real.join(followers, ["k1", "k2", "n_shingles"], "left")
         .where("rep is null or doc_id = rep")
-        .select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), "bands", "bits")
+        .select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), "bands")
     )
     reps = reps.dropDuplicates(["v", "n"])
     reps = scratch.write(reps, "reps")
@@ -166,19 +245,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     first = components(scratch, links)
     labelled = members.join(first.select(F.col("id").alias("v"), "component"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
     labelled = scratch.write(labelled, "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("key")
-    rest = labelled.join(mixed, "key", "left_semi").join(reps.select("v", "n", "bits"), "v")
-    rest = scratch.write(rest, "mixed")
-    x = rest.select("key", *[F.col(c).alias(f"{c}_x") for c in ("v", "n", "c", "bits")])
-    y = rest.select("key", *[F.col(c).alias(f"{c}_y") for c in ("v", "n", "c", "bits")])
-    close = (
-        (F.col("v_x") < F.col("v_y"))
-        & (F.col("c_x") != F.col("c_y"))
-        & (100 * F.least("n_x", "n_y") >= PERCENT * F.greatest("n_x", "n_y"))
-        & (_equal_digests("bits_x", "bits_y") >= LEAST_EQUAL)
-    )
-    pairs = x.join(y, "key").where(close).select(F.col("v_x").alias("a"), F.col("v_y").alias("b")).distinct()
-    more = scratch.write(_verified(texts, pairs), "links")
+    more = scratch.write(_linked_within(scratch, labelled, reps, texts), "links")
     # links among the first pass's components finish the closure
     named = first.select(F.col("id"), F.col("component"))
     bridge = (

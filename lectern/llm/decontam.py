@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds.
 
-Text is read as tokens (runs of letters and digits, A-Z lowered). Each fixed mask hashes six positions of a
+Text is lower-cased and read as tokens (runs of letters and digits). Each fixed mask hashes six positions of a
 window and ignores the others, so a substitution at an ignored position leaves the hash unchanged. Hashes of
 all windows of the training documents are joined to those of the benchmark; around every hit the document
 and the item are aligned and the best run of agreeing tokens is measured, substitutions included.
@@ -111,8 +111,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     Null, empty and seedless texts (under six tokens) overlap with nothing. Among runs of equal matches the one first in
     the document is reported. Repeated rows report each; a null doc_id or item_id is carried. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-total // BLOCK_BYTES))
     out = None

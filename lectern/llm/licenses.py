@@ -94,11 +94,16 @@ def scan_slice(table: Templates, data: np.ndarray, offs: np.ndarray, threshold:
     found = np.add.reduceat(table.has[pairs % len(table.hash)].astype(np.int64), begin, axis=0)
     least = table.size * threshold / (2 - threshold)
     docs = (pairs // len(table.hash))[begin]
-    for row, k in zip(*np.nonzero(found >= least - 1e-9)):
-        d = int(docs[row])
-        best = best_run(table, k, words, gram, at, place, d, data, offs, threshold)
-        if best is not None:
-            yield d, int(k), *best
+    candidates = found >= least - 1e-9
+    for row in np.flatnonzero(candidates.any(axis=1)):
+        d, runs = int(docs[row]), []
+        for k in np.flatnonzero(candidates[row]):
+            best = best_run(table, k, words, gram, at, place, d, data, offs, threshold)
+            if best is not None:
+                runs.append((int(k), *best))
+        for k, dice, first, n in runs:  # a better template of overlapping lines wins
+            if not any(o[1] > dice and o[2] < first + n and first < o[2] + o[3] for o in runs):
+                yield d, k, dice, first, n
 
 
 def best_run(table, k, words, gram, at, place, d, data, offs, threshold) -> tuple[float, int, int] | None:
@@ -139,7 +144,7 @@ def best_run(table, k, words, gram, at, place, d, data, offs, threshold) -> tupl
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license_id, dice, first_line, n_lines for every row of ``docs`` (doc_id, text) and template that it holds.
 
-    Lines count from 0. Null, empty and one-word texts hold none. Of equally good runs the shortest is reported, then the
+    A run that overlaps a better run of another template is not reported. Lines count from 0. Null, empty and one-word texts hold none. Of equally good runs the shortest is reported, then the
     first. Repeated rows report each; a null doc_id is carried; other columns are ignored; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(Templates(templates))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, langid, licenses, minhash, packing, quality, warc
+from . import chat, decontam, embeddings, langid, licenses, lm, minhash, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -33,6 +37,10 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -49,14 +57,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_packing": op2_packing,
     "op3_licenses": op3_licenses,
+    "op4_embeddings": op4_embeddings,
     "op5_quality": op5_quality,
     "op6_minhash": op6_minhash,
+    "op7_lm": op7_lm,
     "op8_decontam": op8_decontam,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_lm": lm.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_chat": chat.ORACLE,
 }

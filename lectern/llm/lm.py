@@ -27,7 +27,7 @@ from .warc import open_fs
 
 ORDER = 3
 BACKOFF = 0.4
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 PARTITION_KEYS = 3_000_000
 SPARE_BITS = 26
 _U = np.uint64
@@ -53,16 +53,49 @@ def unsmall(blob: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
 
 
+def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of the documents and where each begins, made piece by piece so that byte-level arrays stay small."""
+    parts, counts = [], []
+    for _, _, data, offs in K.slices(text, 1 << 20):
+        w = K.Words(data, offs)
+        parts.append(w.hash)
+        counts.append(w.counts)
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1)
+    return np.concatenate(parts) if parts else np.zeros(0, dtype=_U), first.astype(np.int64)
+
+
 class Slice:
-    """The n-grams of a slice's documents: sorted distinct keys with counts, and by order where they stand."""
+    """The n-grams of a slice's documents: sorted distinct ``keys`` with ``counts``.
+
+    With ``places``, also each n-gram's key number ``at`` and its document's ``own`` count, order after order.
+    """
 
-    def __init__(self, text: pa.Array, bits: int):
-        data, offs = K.buffers(text)
-        self.words = K.Words(data[offs[0] : offs[-1]], offs - offs[0])
-        self.grams = [self.words.grams(n) for n in range(1, ORDER + 1)]
-        every = np.concatenate([g >> _U(64 - bits) for g, _ in self.grams])
-        self.keys, inverse, self.counts = np.unique(every, return_inverse=True, return_counts=True)
-        self.at = np.split(inverse, np.cumsum([len(g) for g, _ in self.grams])[:-1])
+    def __init__(self, text: pa.Array, bits: int, places: bool = False):
+        words = K.Words.__new__(K.Words)
+        words.hash, words.first = word_hashes(text)
+        self.words = words
+        grams = [words.grams(n) for n in range(1, ORDER + 1)]
+        self.sizes = [len(g) for g, _ in grams]
+        every = np.concatenate([g for g, _ in grams]) >> _U(64 - bits)
+        if places:
+            doc = np.concatenate([np.repeat(np.arange(len(f) - 1, dtype=np.int32), np.diff(f)) for _, f in grams])
+            del grams
+            order = np.argsort(every, kind="stable")  # n-grams of one order stand in document order, so equal keys come by document
+            every, doc = every[order], doc[order]
+        else:
+            del grams
+            every.sort()
+        new = np.ones(len(every), dtype=bool)
+        new[1:] = every[1:] != every[:-1]
+        begin = np.flatnonzero(new)
+        self.keys, self.counts = every[begin], np.diff(np.append(begin, len(every)))
+        if places:
+            self.at = np.empty(len(every), dtype=np.int32)
+            self.at[order] = np.cumsum(new) - 1
+            new[1:] |= doc[1:] != doc[:-1]
+            begin = np.flatnonzero(new)
+            self.own = np.empty(len(every), dtype=np.int32)
+            self.own[order] = np.repeat(np.diff(np.append(begin, len(every))), np.diff(np.append(begin, len(every))))
 
     def bounds(self, bits: int, parts: int) -> np.ndarray:
         """Where each hash partition begins among the keys."""
@@ -72,25 +105,21 @@ class Slice:
     def scores(self, totals: np.ndarray, words: int) -> np.ndarray:
         """Sum of log10 S over each document's words."""
         counts = self.words.counts
-        seen = []
-        for (_, first), at in zip(self.grams, self.at):
-            doc = np.repeat(np.arange(len(counts)), np.diff(first))
-            _, inverse, own = np.unique(doc * len(self.keys) + at, return_inverse=True, return_counts=True)
-            seen.append(totals[at] - own[inverse])
+        left = np.split(totals[self.at] - self.own, np.cumsum(self.sizes)[:-1])
         n = len(self.words.hash)
         place = np.arange(n) - np.repeat(self.words.first[:-1], counts)
-        one = seen[0]
+        one = left[0]
         two, three = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
-        two[place >= 1], three[place >= 2] = seen[1], seen[2]
+        two[place >= 1], three[place >= 2] = left[1], left[2]
         others = np.repeat(words - counts, counts)
         with np.errstate(divide="ignore", invalid="ignore"):
             s = np.where(one > 0, one / others, 1.0 / (others + 1))
-            before = np.roll(one, 1)
-            s = np.where(place >= 1, np.where(two > 0, two / before, BACKOFF * s), s)
+            s = np.where(place >= 1, np.where(two > 0, two / np.roll(one, 1), BACKOFF * s), s)
             s = np.where(place >= 2, np.where(three > 0, three / np.roll(two, 1), BACKOFF * s), s)
         out = np.zeros(len(counts))
         full = counts > 0
-        out[full] = np.add.reduceat(np.log10(s), self.words.first[:-1][full]) if n else 0.0
+        if n:
+            out[full] = np.add.reduceat(np.log10(s), self.words.first[:-1][full])
         return out
 
 
@@ -115,7 +144,7 @@ def _slices(folder: str):
         def finish() -> None:
             nonlocal held, size
             table = pa.Table.from_batches(held)
-            words = sum(len(K.Words(d, o).hash) for _, _, d, o in K.slices(_text(table)))
+            words = len(word_hashes(_text(table))[0])
             files.create_dir(root, recursive=True)
             name = uuid.uuid4().hex
             with files.open_output_stream(f"{root}/{name}", compression=None) as f, pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -189,7 +218,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _score(bits: int, parts: int, words: int):
     def finish(path: str, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
         table = _read(path)
-        s = Slice(_text(table), bits)
+        s = Slice(_text(table), bits, places=True)
         edge, totals = s.bounds(bits, parts), s.counts.astype(np.int64)
         for p, at, extra in held:
             if at is not None:

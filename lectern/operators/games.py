@@ -7,6 +7,7 @@ from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import chess, scoring as S, text as X
 from ..sources import pgn
@@ -21,7 +22,7 @@ def fens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(FEN), F.lit(1))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def canonical(fen: pd.Series) -> pd.Series:
     """The position's own FEN, null if it is malformed."""
 
@@ -34,7 +35,7 @@ def canonical(fen: pd.Series) -> pd.Series:
     return fen.map(one)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fen_after(text: pd.Series) -> pd.Series:
     """The position after the moves of a text from move 1, null without two plies."""
     return text.map(lambda x: chess.moves_to_fen(x) if x else None)

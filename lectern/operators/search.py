@@ -29,20 +29,13 @@ def agent_terms(query: str) -> list[str]:
     return [t.replace('"', "") for t in found if t.lower() not in QUESTION_WORDS]
 
 
-def _count(word: str) -> Column:
-    return F.size(F.filter("_t", lambda w: w == word)).cast("long")
-
-
 def matched(docs: DataFrame, words: list[str]) -> DataFrame:
-    """``docs`` with the array ``tf`` of the words' counts, the length ``len`` and ``phrase``, the count of their sequence."""
-    t = X.terms(F.col("text"))
-    joined = F.concat(F.lit("  "), F.array_join(F.col("_t"), "  "), F.lit("  "))
-    phrase = "  ".join(words)
-    return (
-        docs.withColumn("_t", F.coalesce(t, F.array().cast("array<string>")))
-        .withColumns({"tf": F.array(*[_count(k) for k in words]), "len": F.size("_t").cast("long"), "phrase": X.occurrences(joined, f" {phrase} ")})
-        .drop("_t")
-    )
+    """``docs`` with the array ``tf`` of the words' counts, the length ``len`` and ``phrase``, the count of their sequence.
+
+    Words are letters, digits and underscores; null text has none of them.
+    """
+    text = F.coalesce("text", F.lit(""))
+    return docs.withColumns({"tf": F.array(*[X.term_count(text, [k]) for k in words]), "len": X.term_total(text), "phrase": X.term_count(text, words) if words else F.lit(0).cast("long")})
 
 
 def bm25(docs: DataFrame, words: list[str], any_word: bool = False, phrase: bool = False) -> DataFrame:

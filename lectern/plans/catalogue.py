@@ -199,8 +199,9 @@ l as (select *, case when en >= es and en >= de then 'en' when es >= de then 'es
 select doc_id, en::bigint en, es::bigint es, de::bigint de, case when length(trim(text)) >= 30 then array_to_string(list_sort(list_distinct(list_filter([
   case when regexp_matches(lower(text), '[äöüß]') then 'de' end, case when regexp_matches(lower(text), '[áéíóúñ]') then 'es' end, case when greatest(en, es, de) > 3 then top end], lambda x: x is not null))), ',') end langs from l""")
 def language_heuristic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, found = X.accents_and_hits(F.col("text"))
-    return docs(spark, sf_dir).select("doc_id", *[found[k].alias(k) for k in ("en", "es", "de")], F.array_join(X.languages(F.col("text")), ",").alias("langs"))
+    marks, found = X.accents_and_hits(F.col("text"))
+    d = docs(spark, sf_dir).select("doc_id", "text", *[found[k].alias(k) for k in ("en", "es", "de")])
+    return d.select("doc_id", "en", "es", "de", F.array_join(X.named(F.col("text"), marks, {k: F.col(k) for k in found}), ",").alias("langs"))
 
 
 @query(f"""with t as (select doc_id, {WORDS} w from documents), c as (select *, list_filter(w, lambda x: x not in ({', '.join(repr(x) for x in sorted({*X.EN_STOP, *X.ES_STOP, *X.DE_STOP}))})) c from t)

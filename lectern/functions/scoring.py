@@ -84,5 +84,5 @@ def position_nag(cp: Column, mate: Column) -> Column:
 
 
 def move_nag(drop: Column, miss: Column) -> Column:
-    """4 for a miss or a drop over 1.0, 2 for one over 0.3, else null."""
+    """4 for a miss (a drop over 0.75) or a drop over 1.0, 2 for one over 0.3, else null."""
     return F.when(miss | (drop > 1.0), 4).when(drop > 0.3, 2)

@@ -74,7 +74,7 @@ def evaluation_chain(rows: DataFrame, game: str, order: str) -> DataFrame:
     w = W.partitionBy(game).orderBy(order)
     out = rows.withColumn("cp", cp).withColumn("before", F.lag("cp").over(w))
     out = out.withColumn("drop", S.move_drop(F.col("side"), F.col("before"), F.col("cp")))
-    return out.withColumns({"miss": F.coalesce(F.col("drop") > 0.75, F.lit(False)), "position_nag": S.position_nag(F.col("cp"), F.abs("cp") > 90_000)}).withColumn("move_nag", S.move_nag(F.col("drop"), F.col("drop") > 1.0))
+    return out.withColumns({"miss": F.coalesce(F.col("drop") > 0.75, F.lit(False)), "position_nag": S.position_nag(F.col("cp"), F.abs("cp") > 90_000)}).withColumn("move_nag", S.move_nag(F.col("drop"), F.col("miss")))
 
 
 def scored(games: DataFrame, observed: bool = True) -> DataFrame:

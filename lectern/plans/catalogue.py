@@ -364,7 +364,7 @@ def caption_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""with e as (select user_id, event_id, ts, case when event_id % 2 = 0 then 'white' else 'black' end side, floor(value * 10)::bigint cp from events),
 l as (select *, lag(cp) over (partition by user_id order by ts, event_id) b from e), d as (select *, case when side = 'white' then b - cp else cp - b end / 100.0::double dr from l)
-select event_id, floor(dr * 1e6 + 0.5) / 1e6 "drop", case when dr > 1.0 then 4 when dr > 0.3 then 2 end move_nag,
+select event_id, floor(dr * 1e6 + 0.5) / 1e6 "drop", case when dr > 0.75 then 4 when dr > 0.3 then 2 end move_nag,
 case when cp > 200 then 18 when cp < -200 then 19 when cp > 100 then 16 when cp < -100 then 17 when cp > 50 then 14 when cp < -50 then 15 else 11 end position_nag from d""")
 def eval_drop_nag(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.struct("ts", "event_id").alias("at"), "event_id", F.when(F.col("event_id") % 2 == 0, "white").otherwise("black").alias("side"), F.floor(F.col("value") * 10).cast("long").alias("cp"), F.lit(None).cast("int").alias("mate"))

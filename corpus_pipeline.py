@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lectern.llm import decontam, langid, minhash, packing, quality
 from lectern.llm.shared import Scratch
 
-#: A document whose best language is less likely than this is rejected.
-LEAST_LANGUAGE = 0.5
+#: A document whose best language is less likely than this is rejected: hardly any evidence for one language over others.
+LEAST_LANGUAGE = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,8 +20,8 @@ from . import kernel as K
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Bound of the labelled sample that the fit sees; document frequencies use all training rows.
-SAMPLE = 3000
+#: Bounds of the labelled sample that the fit sees, in rows and in bytes of features; document frequencies use all training rows.
+SAMPLE, SAMPLE_BYTES = 3000, 128 << 20
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.05
 #: TF-IDF values are shares of a text; this factor brings them near 1.
@@ -167,10 +167,12 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     found = train.select("lang", chosen.alias("chosen"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_statistics(), "lang string, ids binary, counts binary, bucket long, df long")
     merged = found.groupBy("lang", "ids", "counts", "bucket").agg(F.sum("df").alias("df"), F.count("*").alias("times"))
     frequency = np.zeros(BUCKETS + 1)
-    raw = []
+    raw, size = [], 0
     for r in merged.toLocalIterator():
         if r.bucket is None:
-            raw += [(r.lang, r.ids, r.counts)] * r.times
+            if size < SAMPLE_BYTES:
+                raw += [(r.lang, r.ids, r.counts)] * min(r.times, sample)
+                size += len(r.ids) + len(r.counts)
         else:
             frequency[r.bucket] = r.df
     raw = sorted(raw)

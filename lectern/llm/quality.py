@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from . import kernel as K
 from .langid import held_out
 
-#: Bound of the labelled documents that the fit sees.
-SAMPLE = 4000
+#: Bounds of what the fit sees: labelled documents, and their lines.
+SAMPLE, SAMPLE_LINES = 4000, 400_000
 STEPS = 120
 RATE = 0.1
 PENALTY = 1e-3
@@ -222,8 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | Non
     chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
     # at most ``sample`` rows of 12 bytes
     joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-    rows = joined.mapInArrow(_sample_batches, "doc_id long, quality int, x binary, lens binary").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
+    rows = joined.mapInArrow(_sample_batches, "doc_id long, quality int, x binary, lens binary").dropDuplicates(["doc_id"])
+    found, lines = [], 0
+    for r in rows.toLocalIterator():
+        if lines < SAMPLE_LINES:
+            found.append(r)
+            lines += len(r.lens) // 4
+    rows = sorted(found, key=lambda r: r.doc_id)
     if not rows:
         return None
     x = np.concatenate([np.frombuffer(r.x, dtype=np.float32).reshape(-1, OWN) for r in rows]).astype(float)

@@ -31,8 +31,8 @@ PERCENT = 75
 ROUND = K.constants(2 * T, 101)
 BAND = K.constants(R, 103)
 ROUND_TAG = K.constants(2 * T, 107)
-#: Bounds of a chunk; two chunks of a bucket meet in one block.
-CHUNK_ROWS, CHUNK_SHINGLES = 192, 200_000
+#: Bounds of a chunk; two chunks of a bucket meet in one block. Smaller chunks copy a large bucket's rows to more blocks.
+CHUNK_ROWS, CHUNK_SHINGLES = 512, 400_000
 #: Shingles that more texts of a block hold are counted by a matrix product.
 LIGHT = 12
 _U = np.uint64

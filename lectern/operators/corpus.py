@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PLIES_PER_PART = 18
 CHUNK_CHARS = 2500
+#: Range of idx in which a running maximum is taken in one task.
+SPAN = 1_000_000
 
 
 def dedup_status(new: DataFrame, state: DataFrame) -> DataFrame:
@@ -13,7 +15,8 @@ def dedup_status(new: DataFrame, state: DataFrame) -> DataFrame:
 
     DUPLICATE: fingerprint known or accepted earlier. Else, with a positive score: NEW GAME, UPGRADE (better than all
     versions before) or VERSION. Else REJECTED; without a fingerprint ERROR. Only the first row of a fingerprint can be accepted, so
-    the running maximum is over one row a fingerprint and repeated content never gathers in one task.
+    repeated content never gathers in one task; and the running maximum of a gid is taken in spans of idx (a whole number), over the
+    best of the spans before, so neither does a gid that many fingerprints share.
     """
     evs = F.coalesce("evs", F.lit(0.0))
     known = state.select("fp").where("fp is not null").distinct().withColumn("known", F.lit(True))
@@ -21,9 +24,13 @@ def dedup_status(new: DataFrame, state: DataFrame) -> DataFrame:
     firsts = rows.where("known is null and evs > 0 and fp is not null").groupBy("fp").agg(F.min("idx").alias("first"))
     rows = rows.join(firsts, "fp", "left")
     accepted = rows.where("known is null and evs > 0 and idx = first").select("idx", "gid", "evs")
-    before = W.partitionBy("gid").orderBy("idx").rowsBetween(W.unboundedPreceding, -1)
+    accepted = accepted.withColumn("span", F.floor(F.col("idx") / SPAN))
+    before = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    spans = accepted.groupBy("gid", "span").agg(F.max("evs").alias("best"))
+    spans = spans.select("gid", "span", F.max("best").over(before(["gid"], "span")).alias("earlier")).where("earlier is not null")
     best = state.groupBy("gid").agg(F.max("evs").alias("old"))
-    ranked = accepted.withColumn("top", F.max("evs").over(before)).join(best, "gid", "left").withColumn("prior", F.greatest("top", "old"))
+    ranked = accepted.withColumn("top", F.max("evs").over(before(["gid", "span"], "idx"))).join(spans, ["gid", "span"], "left").join(best, "gid", "left")
+    ranked = ranked.withColumn("prior", F.greatest("top", "earlier", "old"))
     verdict = F.when(F.col("prior").isNull(), "NEW GAME").when(F.col("evs") > F.col("prior"), "UPGRADE").otherwise("VERSION")
     out = rows.join(ranked.select("idx", verdict.alias("verdict")), "idx", "left")
     repeated = F.col("known").isNotNull() | (F.col("idx") > F.col("first"))
@@ -37,6 +44,24 @@ def best_version(rows: DataFrame, key: str, value: str, order: str) -> DataFrame
     return rows.where(F.col(key).isNotNull()).groupBy(key).agg(best.alias("_b")).select("_b.*")
 
 
+def opening_key(moves: Column, plies: int = 20) -> Column:
+    """Identity by a game's first moves (array): an alternative to the whole main line."""
+    return F.md5(F.array_join(F.slice(moves, 1, plies), ""))
+
+
+def played_key(moves: Column, white: Column, black: Column, result: Column) -> Column:
+    """Identity by moves, players and result: an alternative to the main line alone."""
+    return F.md5(F.concat_ws("\u001f", F.array_join(moves, ""), white, black, result))
+
+
+def acceptance(rows: DataFrame) -> DataFrame:
+    """(accepted, rejected, percent) of rows with a status; percent is 0 for no rows."""
+    ok = F.col("status").isin("NEW GAME", "UPGRADE", "VERSION")
+    out = rows.agg(F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+    every = F.col("accepted") + F.col("rejected")
+    return out.withColumn("percent", F.when(every > 0, F.col("accepted") * 100.0 / every).otherwise(0.0))
+
+
 def overlap_parts(rows: DataFrame) -> DataFrame:
     """Parts of ``rows`` (text, plies): ``part``, ``parts``, ``start``, ``end``, ``piece``, ``moves``.
 

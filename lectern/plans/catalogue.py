@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
-from ..operators import corpus, games, search
+from ..operators import books, chunks, corpus, games, positions, search
 from ..sources import markup, pgn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -407,3 +407,50 @@ def moves_to_fen(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = ["After 1. e4 e5 2. Nf3 Nc6 3. Bb5 White presses.", "12... Nf6 only", "1.d4 {solid} d5 (1... Nf6) 1-0 2. c4"]
     rows = spark.createDataFrame(list(enumerate(texts, 1)), "id int, text string")
     return rows.select("id", games.fen_after(F.col("text")).alias("fen"))
+
+
+@query("""select * from (values (1, 'club_game_1', 'Source: Course Material ▸ Course: Club Training ▸ Chapter: A ▸ Section: B ▸ Role: Model Game', 'Game: A (2000) vs B (1900) | Date: 1995.05.01 | Result: 1-0 | Content: annotated, variations', null),
+(2, 'club_game_2', 'Source: Chessable Course ▸ Course: Chessable Course ▸ Role: Introduction', 'Date: ????.??.?? | Result: * | Content: annotated', null)) v(id, chunk_id, breadcrumb, summary, part_num)""")
+def game_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([("/in/club.pgn", 1, GAME_ONE), ("/in/club.pgn", 2, GAME_TWO)], pgn.GAMES)
+    lines = F.split("text", "\n")
+    return chunks.chunked(rows).select(F.col("game_number").cast("int").alias("id"), "chunk_id", lines[0].alias("breadcrumb"), lines[2].alias("summary"), F.col("part_num").cast("int").alias("part_num"))
+
+
+@query()
+def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = books.fold_pages(table(spark, sf_dir, "pages").withColumnRenamed("page_id", "book"), "book", "html")
+    return books.chunk_table(folded, VOCABULARY)
+
+
+@query()
+def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positions.positions(docs(spark, sf_dir)).select("doc_id", F.explode("positions").alias("p")).select("doc_id", "p.*")
+
+
+@query("""select doc_id, list_transform(regexp_extract_all(text, '((?:\\d{1,3}(?:\\.\\.\\.|\\.)\\s*)?[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:\\=[QRBN])?[\\+#]?|O-O(?:-O)?)', 1),
+lambda m: regexp_replace(m, '^\\d+(\\.\\.\\.|\\.)\\s*', '')) moves from documents""")
+def prose_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", positions.moves_in(F.col("text")).alias("moves"))
+
+
+@query("""select * from (values (1, ['rnbqkbnr/pppppppp/8/8/4P3/8/PPPP1PPP/RNBQKBNR b KQkq - 0 1', 'rnbqkbnr/pppp1ppp/8/4p3/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2']), (2, []::varchar[]), (3, null)) v(id, fens)""")
+def san_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = "rnbqkbnr/pppppppp/8/8/8/8/PPPPPPPP/RNBQKBNR w KQkq - 0 1"
+    rows = spark.createDataFrame([(1, start, ["e4", "e5", "Ke3", "Nf3"]), (2, start, ["Qh5"]), (3, "no position", ["e4"])], "id int, fen string, moves array<string>")
+    return rows.select("id", positions.replayed(F.col("fen"), F.col("moves")).alias("fens"))
+
+
+@query("""with e as (select user_id, event_id, case when event_id % 2 = 0 then 'white' else 'black' end side, floor(value * 10)::bigint cp, ts from events),
+d as (select *, lag(cp) over (partition by user_id order by ts, event_id) before from e), j as (select *, case when side = 'white' then before - cp else cp - before end / 100.0::double dropped from d)
+select event_id, case when dropped > 0.75 then 4 else 2 end move_nag from j where dropped > 0.3 and side = 'white'""")
+def judged_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("event_id") % 2 == 0, "white").otherwise("black")
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", F.struct("ts", "event_id").alias("at"), side.alias("side"), F.floor(F.col("value") * 10).alias("cp"), F.lit(None).cast("int").alias("mate"))
+    return positions.judged(games.evaluation_chain(rows, "user_id", "at"), side="white").select("event_id", "move_nag")
+
+
+@query("with r as (" + _VERSIONS + """), s as (select fp, min(idx) filter (evs > 0) first from r where fp not in (select sha256(""" + SQUEEZED + """) from benchmark) group by fp)
+select count(*) filter (idx = first) accepted, count(*) filter (first is null or idx <> first) rejected, count(*) filter (idx = first) * 100.0::double / count(*) percent from r left join s using (fp)""")
+def acceptance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.acceptance(dedup_status_machine(spark, sf_dir))

@@ -75,30 +75,50 @@ def image_path(src: Column, known: Column) -> Column:
     return F.when(F.size(fits) > 0, fits[0]["web_path"]).otherwise(F.concat(F.lit("/diagrams/"), F.element_at(F.split(src, "/"), -1)))
 
 
-def chapters(book: bytes) -> list[tuple[int, str, str, str]]:
-    """(chapter, title, author, html) of an EPUB in the order of its spine."""
+BROKEN = (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError)
+
+
+def _package(z: zipfile.ZipFile) -> tuple[ElementTree.Element, str]:
+    """The package document and its folder."""
+    root = ElementTree.fromstring(z.read("META-INF/container.xml")).find(".//{*}rootfile").get("full-path")
+    return ElementTree.fromstring(z.read(root)), posixpath.dirname(root)
+
+
+def chapters(book: bytes, path: str = "") -> list[tuple[int, str, str, str]]:
+    """(chapter, title, author, html) of an EPUB in the order of its spine. Defaults: the path's stem and Unknown."""
     with zipfile.ZipFile(io.BytesIO(book)) as z:
-        any_ns = lambda tag: f".//{{*}}{tag}"
-        root = ElementTree.fromstring(z.read("META-INF/container.xml")).find(any_ns("rootfile")).get("full-path")
-        package = ElementTree.fromstring(z.read(root))
-        title, author = (package.findtext(any_ns(t)) or "Unknown" for t in ("title", "creator"))
-        files = {i.get("id"): i.get("href") for i in package.iterfind(any_ns("item"))}
-        at = posixpath.dirname(root)
-        spine = [files[i.get("idref")] for i in package.iterfind(any_ns("itemref")) if i.get("idref") in files]
+        package, at = _package(z)
+        title = package.findtext(".//{*}title") or posixpath.splitext(posixpath.basename(path))[0] or "Unknown"
+        author = package.findtext(".//{*}creator") or "Unknown"
+        files = {i.get("id"): i.get("href") for i in package.iterfind(".//{*}item")}
+        spine = [files[i.get("idref")] for i in package.iterfind(".//{*}itemref") if i.get("idref") in files]
         return [(n, title, author, z.read(posixpath.join(at, f)).decode("utf-8", "replace")) for n, f in enumerate(spine)]
 
 
-def read_epub(spark: SparkSession, path: str) -> DataFrame:
-    """(book, chapter, title, author, html) of the EPUB files below ``path``; a broken file gives no rows."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").load(path).select("path", "content")
+def images(book: bytes) -> list[tuple[str, bytes]]:
+    """(path in the package, content) of an EPUB's images."""
+    with zipfile.ZipFile(io.BytesIO(book)) as z:
+        package, at = _package(z)
+        listed = [i.get("href") for i in package.iterfind(".//{*}item") if (i.get("media-type") or "").startswith("image/")]
+        return [(f, z.read(posixpath.join(at, f))) for f in listed]
+
+
+def epub_files(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(path, content) of the EPUB files of ``path``, but for those named ``._*``."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.epub").option("recursiveFileLookup", recursive).load(path)
+    return files.where(~F.startswith(F.element_at(F.split("path", "/"), -1), F.lit("._"))).select("path", "content")
+
+
+def read_epub(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """(book, chapter, title, author, html) of the EPUB files of ``path``; a broken file gives no rows."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, content in zip(b["path"], b["content"]):
                 try:
-                    rows = chapters(content)
-                except (zipfile.BadZipFile, KeyError, AttributeError, ElementTree.ParseError):
+                    rows = chapters(content, name)
+                except BROKEN:
                     continue
                 yield pd.DataFrame([(name, *r) for r in rows], columns=["book", "chapter", "title", "author", "html"])
 
-    return files.mapInPandas(run, "book string, chapter long, title string, author string, html string")
+    return epub_files(spark, path, recursive).mapInPandas(run, "book string, chapter long, title string, author string, html string")

@@ -14,24 +14,43 @@ from ..functions import chess
 ROSTER = ["Event", "Site", "Date", "Round", "White", "Black", "Result"]
 TOKEN = re.compile(r"\{[^}]*\}|;[^\n]*|\$\d+|\(|\)|[^\s(){};$]+")
 GAMES = "file string, game_no long, raw string"
+RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
+MARKS = {"!": 1, "?": 2, "!!": 3, "??": 4, "!?": 5, "?!": 6}
+WIDTH = 80
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """(file, game_no, raw) of every game in the PGN files below ``path``.
+def read(spark: SparkSession, path: str, recursive: bool = False, decoding: str = "fallback") -> DataFrame:
+    """(file, game_no, raw) of every game in the ``*.pgn`` files of ``path``, but for those named ``._*``.
 
     Files are cut at ``[Event`` tags by the reader itself, so a file of any size is read in splits. Numbers follow the
-    order in the file and are ranks over offsets only within a file.
+    order in the file; blank blocks take no number.
+
+    ``decoding``: ``fallback`` takes a file that is not valid UTF-8 throughout as Latin-1, ``ignore`` drops invalid bytes.
     """
-    raw = spark.read.option("lineSep", "\n[Event ").text(path)
-    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value"))
-    rows = rows.where(F.trim("value") != "").withColumn("raw", F.when(F.startswith(F.ltrim("value"), F.lit("[")), F.ltrim("value")).otherwise(F.concat(F.lit("[Event "), F.col("value"))))
-    order = W.partitionBy("file").orderBy("block", "at")
-    return rows.withColumn("game_no", F.row_number().over(order).cast("long")).select("file", "game_no", "raw")
+    if decoding not in ("fallback", "ignore"):
+        raise ValueError(f"decoding is fallback or ignore, not {decoding}")
+    raw = spark.read.option("lineSep", "\n[Event ").option("pathGlobFilter", "*.pgn").option("recursiveFileLookup", recursive).text(path)
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    rows = rows.where(~F.startswith("_name", F.lit("._"))).drop("_name")
+    if decoding == "fallback":
+        other = rows.where(~F.is_valid_utf8("value")).select("file").distinct().withColumn("_latin", F.lit(True))
+        rows = rows.join(other, "file", "left").withColumn("value", F.when(F.col("_latin"), F.decode(F.col("value").cast("binary"), "ISO-8859-1")).otherwise(F.col("value")))
+    else:
+        rows = rows.withColumn("value", F.when(F.is_valid_utf8("value"), F.col("value")).otherwise(F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit(""))))
+    # a record after a cut begins with the tag's quoted value
+    rows = rows.withColumn("value", F.when(F.startswith(F.ltrim("value"), F.lit('"')), F.concat(F.lit("[Event "), F.col("value"))).otherwise(F.col("value")))
+    rows = rows.select("file", "block", "at", F.posexplode(split(F.col("value"))).alias("place", "raw"))
+    # ranks within a split, after the games of the splits before: no task holds a whole file
+    within = F.row_number().over(W.partitionBy("file", "block").orderBy("at", "place"))
+    counts = rows.groupBy("file", "block").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    numbered = rows.join(counts.select("file", "block", before.alias("before")), ["file", "block"])
+    return numbered.withColumn("game_no", (F.col("before") + within).cast("long")).select("file", "game_no", "raw")
 
 
 def split(text: Column) -> Column:
-    """Array of the games in a text."""
-    return F.filter(F.transform(F.split(text, r"(?m)(?=^\[Event )"), lambda g: F.trim(g)), lambda g: g != "")
+    """Array of the games in a text: one begins at every line that starts, but for blanks, with an Event tag."""
+    return F.filter(F.transform(F.split(text, r"(?m)(?=^[ \t]*\[Event )"), lambda g: F.regexp_replace(g, r"^\s+|\s+$", "")), lambda g: g != "")
 
 
 def header(raw: Column, tag: str, default: str = "Unknown") -> Column:
@@ -40,32 +59,151 @@ def header(raw: Column, tag: str, default: str = "Unknown") -> Column:
     return F.when(found == "", F.lit(default)).otherwise(found)
 
 
-def parse(raw: str) -> tuple[list[str], int, str]:
-    """(UCI moves of the main line, plies in its variations, final FEN). Parsing stops at the first illegal move."""
-    body = re.sub(r'(?m)^\[[^\]"]*"[^"]*"\]\s*$', "", raw)
+class Node:
+    """A move with what follows it: the first child continues the line, others are variations."""
+
+    __slots__ = ("parent", "move", "position", "children", "comment", "nags", "opening")
+
+    def __init__(self, parent: Node | None, move: chess.Move | None, position: chess.Position):
+        self.parent, self.move, self.position = parent, move, position
+        self.children: list[Node] = []
+        self.comment, self.opening, self.nags = "", "", set()
+
+    def line(self) -> Iterator[Node]:
+        """The moves after this one, without variations."""
+        node = self
+        while node.children:
+            node = node.children[0]
+            yield node
+
+    def subtree(self) -> Iterator[Node]:
+        open_ = [self]
+        while open_:
+            node = open_.pop()
+            yield node
+            open_ += node.children
+
+    def commented(self) -> bool:
+        return any(n.comment for n in self.subtree())
+
+
+def tree(raw: str) -> Node:
+    """The game's moves from its FEN tag or the initial position. What follows an illegal move in its line is passed over."""
+    start = re.search(r'(?m)^\[FEN\s+"([^"]*)"\]', raw)
+    body = re.sub(r'(?m)^\s*\[[^\]"]*"[^"]*"\]\s*$', "", raw)
     body = re.sub(r"(?m)^%.*$", "", body)
-    p, depth, moves, side, open_ = chess.Position.parse(chess.START), 0, [], 0, True
+    root = node = Node(None, None, chess.Position.parse(start[1] if start else chess.START))
+    lines: list[Node] = []  # where to go on after each open variation
+    fresh, skip, opening = False, 0, ""  # fresh: no move of this variation yet; opening: the comment before its first
     for token in TOKEN.findall(body):
-        if token == "(":
-            depth += 1
+        if skip:
+            skip += (token == "(") - (token == ")")
+            if not skip and lines:
+                node, fresh = lines.pop(), False
+        elif token == "(":
+            if node.parent:
+                lines.append(node)
+                node, fresh, opening = node.parent, True, ""
         elif token == ")":
-            depth = max(0, depth - 1)
-        elif token[0] in "{;$" or token in ("1-0", "0-1", "1/2-1/2", "*"):
-            continue
-        else:
-            token = re.sub(r"^\d+\.*", "", token).strip("!?")
-            if not token or token == "...":
-                continue
-            if depth:
-                side += bool(chess.SAN.match(token) or token.startswith("O-O"))
-            elif open_:
+            if lines:
+                node, fresh = lines.pop(), False
+        elif token[0] == "{":
+            text = token[1:-1].strip()
+            if fresh:
+                opening = f"{opening} {text}".strip()
+            else:
+                node.comment = f"{node.comment} {text}".strip()
+        elif token[0] == "$":
+            node.nags.add(int(token[1:]))
+        elif token[0] != ";" and token not in RESULTS:
+            token = re.sub(r"^\d+\.*|^\.+", "", token)
+            mark = re.search(r"[!?]+$", token)
+            token = token.rstrip("!?")
+            if token:
                 try:
-                    m = p.san(token)
-                    p = p.play(m)
-                    moves.append(m.uci())
+                    move = node.position.san(token)
                 except ValueError:
-                    open_ = False
-    return moves, side, p.fen()
+                    skip = 1
+                    continue
+                child = Node(node, move, node.position.play(move))
+                node.children.append(child)
+                child.opening, opening = opening, ""
+                node, fresh = child, False
+            if mark and mark[0] in MARKS:
+                node.nags.add(MARKS[mark[0]])
+    return root
+
+
+def prune(node: Node) -> None:
+    """Takes away the variations of a node that hold no comment, and those at the first move of each variation kept."""
+    node.children[1:] = [v for v in node.children[1:] if v.commented()]
+    for v in node.children[1:]:
+        prune(v)
+
+
+def parse(raw: str) -> tuple[list[str], int, str]:
+    """(UCI moves of the main line, plies in its variations, final FEN).
+
+    Variations without a comment do not count, nor do alternatives to the first move.
+    """
+    try:
+        root = tree(raw)
+    except ValueError:  # a malformed FEN tag
+        return [], 0, ""
+    moves = list(root.line())
+    side = 0
+    for node in moves:
+        prune(node)
+        side += sum(1 for v in node.children[1:] for _ in v.subtree())
+    return [n.move.uci() for n in moves], side, (moves[-1] if moves else root).position.fen()
+
+
+def headers(raw: str) -> dict[str, str]:
+    """Tags of a game, the roster first and with its defaults."""
+    found = dict(re.findall(r'(?m)^\s*\[(\w+)\s+"([^"]*)"\]\s*$', raw))
+    roster = {t: found.pop(t, {"Date": "????.??.??", "Result": "*"}.get(t, "?")) for t in ROSTER}
+    return roster | found
+
+
+def export(raw: str, root: Node | None = None) -> str:
+    """The game in export format: tags, then moves with numbers, comments, glyphs and variations in lines of 80 characters at most."""
+    tags, root = headers(raw), root or tree(raw)
+    words: list[str] = []
+    bare = True  # the next move of Black needs its number
+    # (node, whether its variations follow it) and brackets, last first
+    open_: list[tuple[Node, bool] | str] = [(root.children[0], True)] if root.children else []
+    if root.comment:
+        words.append(f"{{ {root.comment} }}")
+    while open_:
+        item = open_.pop()
+        if isinstance(item, str):
+            words.append(item)
+            bare = True
+            continue
+        node, leads = item
+        if node.opening:
+            words.append(f"{{ {node.opening} }}")
+            bare = True
+        before = node.parent.position
+        if before.white or bare:
+            words.append(f"{before.full}." if before.white else f"{before.full}...")
+        words.append(before.notation(node.move))
+        words += [f"${n}" for n in sorted(node.nags)]
+        bare = bool(node.comment)
+        if node.comment:
+            words.append(f"{{ {node.comment} }}")
+        if node.children:
+            open_.append((node.children[0], True))
+        if leads:
+            for v in reversed(node.parent.children[1:]):
+                open_ += [")", (v, False), "("]
+    words.append(tags["Result"])
+    lines = [""]
+    for w in " ".join(words).split(" "):
+        if len(lines[-1]) + len(w) + 1 > WIDTH and lines[-1]:
+            lines.append("")
+        lines[-1] += (" " if lines[-1] else "") + w
+    return "\n".join([*[f'[{t} "{v}"]' for t, v in tags.items()], "", *lines])
 
 
 def games(rows: DataFrame) -> DataFrame:

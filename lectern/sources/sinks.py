@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -24,3 +29,56 @@ def write_table(rows: DataFrame, path: str, by: str | None = None) -> None:
     """Rows as Parquet, partitioned by a column of few values if given."""
     out = rows.write.mode("overwrite")
     (out.partitionBy(by) if by else out).parquet(path)
+
+
+def write_kept_list(games: DataFrame, path: str, columns: list[str]) -> None:
+    """Columns of the kept games as CSV with a header: evs with two decimals, density with four."""
+    shown = {"evs": F.format_string("%.2f", "evs"), "density": F.format_string("%.4f", "density")}
+    games.select(*[shown[c].alias(c) if c in shown else c for c in columns]).write.mode("overwrite").option("header", True).csv(path)
+
+
+def upsert(new: DataFrame, path: str, key: str) -> DataFrame:
+    """The table at ``path`` with the rows of ``new`` in place of those with their keys, written as the next version of it.
+
+    Versions are subfolders ``version=n``; the latest is the table, so a reader or a failed write never sees half of one. Returns it.
+    """
+    spark = new.sparkSession
+    number, rows = 0, new
+    try:
+        versions = spark.read.option("basePath", path).parquet(path)
+        number = versions.agg(F.max("version")).first()[0]
+        old = versions.where(F.col("version") == number).drop("version")
+        number, rows = int(number) + 1, old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
+    except Exception as e:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+    rows.write.mode("overwrite").parquet(f"{path}/version={number}")
+    return spark.read.schema(rows.schema).parquet(f"{path}/version={number}")
+
+
+def append_hashes(accepted: DataFrame, path: str) -> None:
+    """Accepted rows of the status machine (fp, gid, evs, and what else names their source) added to the state table."""
+    accepted.where("status in ('NEW GAME', 'UPGRADE', 'VERSION')").drop("status").write.mode("append").parquet(path)
+
+
+def error_log(failed: DataFrame, reason: str) -> DataFrame:
+    """(file, game_no, event, site, date, reason, snippet) of games that could not be used; the snippet is one line of 140 characters at most."""
+    tag = lambda t: F.regexp_extract("raw", rf'\[{t}\s+"([^"]*)"\]', 1).alias(t.lower())
+    snippet = F.substring(F.regexp_replace("raw", r"\n", " "), 1, 140)
+    return failed.select("file", "game_no", tag("Event"), tag("Site"), tag("Date"), F.lit(reason).alias("reason"), snippet.alias("snippet"))
+
+
+def write_images(images: DataFrame, folder: str) -> DataFrame:
+    """Writes (path, content) below ``folder``, a folder all executors share, and returns (path, bytes). A repeated task overwrites its own files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["path"], b["content"]):
+                target = os.path.join(folder, os.path.basename(name))
+                part = f"{target}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(content)
+                os.replace(part, target)
+            yield pd.DataFrame({"path": b["path"], "bytes": b["content"].map(len)})
+
+    return images.select("path", "content").mapInPandas(run, "path string, bytes long")

@@ -87,7 +87,8 @@ def sequential(new, state):
 
 
 @pytest.mark.parametrize("seed", range(4))
-def test_status_machine(spark, seed):
+def test_status_machine(spark, seed, monkeypatch):
+    monkeypatch.setattr(corpus, "SPAN", (7, 1000)[seed % 2])
     r = random.Random(seed)
     new = [(i, f"f{r.randrange(9)}", f"g{r.randrange(4)}", float(r.choice([0, 10, 20, 30]))) for i in range(40)]
     state = [(f"f{r.randrange(9)}", f"g{r.randrange(4)}", float(r.choice([10, 20]))) for _ in range(3)]

@@ -110,3 +110,23 @@ def context(hits: DataFrame) -> DataFrame:
     """One row ``context`` of the ranked hits (rank, title, chapter, content); hits are a top-k report."""
     line = F.concat(F.lit("SOURCE "), F.col("rank").cast("string"), F.lit(": ["), F.col("title"), F.lit("] ("), F.coalesce("chapter", F.lit("")), F.lit(")\n"), F.col("content"))
     return hits.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("x")))), lambda s: s["x"]), "\n\n").alias("context"))
+
+
+def preview(text: Column, most: int = 500) -> Column:
+    """The first ``most`` characters, with an ellipsis if there are more."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+
+
+def failed_answer(answer: Column) -> Column:
+    """Whether a generated answer reports a failure of its service, so that another is asked."""
+    return F.lower(answer).rlike("rate limit|error")
+
+
+def collection_counts(hits: DataFrame, by: str = "collection") -> DataFrame:
+    """(books, games) of merged hits by the name of their collection."""
+    return hits.agg(F.count_if(F.contains(by, F.lit("production"))).alias("books"), F.count_if(F.contains(by, F.lit("pgn"))).alias("games"))
+
+
+def sampled(rows: DataFrame, n: int, seed: int) -> DataFrame:
+    """``n`` rows at random without replacement."""
+    return rows.orderBy(F.rand(seed)).limit(n)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
-from ..operators import books, chunks, corpus, games, positions, search
+from ..operators import books, chunks, coach, corpus, games, positions, search
 from ..sources import markup, pgn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -454,3 +454,17 @@ def judged_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 select count(*) filter (idx = first) accepted, count(*) filter (first is null or idx <> first) rejected, count(*) filter (idx = first) * 100.0::double / count(*) percent from r left join s using (fp)""")
 def acceptance_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.acceptance(dedup_status_machine(spark, sf_dir))
+
+
+@query("select 1 id, '1. d4 $11 d5 $11 2. c4 $1 $2 $11 { Better was g1f3 [%dia] } ( 2. Nf3 $142 ) 2... e6 $11 { Stockfish says +1.23 depth 20 } *' moves")
+def annotated_game(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(1, GAME_TWO)], "game int, raw string")
+    evals = [(1, 0, 20, None), (1, 1, 20, None), (1, 2, 20, ["g1f3"]), (1, 3, -30, None), (1, 4, -20, None)]
+    evals = spark.createDataFrame([(g, p, cp, None, pv) for g, p, cp, pv in evals], "game int, ply int, cp int, mate int, pv array<string>")
+    moves = F.replace(F.element_at(F.split("annotated", "\n\n"), -1), F.lit("\n"), F.lit(" "))
+    return coach.annotate(rows, evals).select(F.col("game").alias("id"), moves.alias("moves"))
+
+
+@query("select doc_id, case when length(text) > 140 then left(text, 140) || '...' else text end preview, regexp_matches(lower(text), 'rate limit|error') failed from documents")
+def answer_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", search.preview(F.col("text"), 140).alias("preview"), search.failed_answer(F.col("text")).alias("failed"))

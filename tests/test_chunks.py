@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import chess
-from lectern.operators import books, chunks, corpus, positions
+from lectern.operators import books, chunks, coach, corpus, positions, search
 from lectern.plans.catalogue import GAME_ONE
 from lectern.sources import markup, pgn, sinks
 
@@ -215,3 +215,31 @@ def test_identities(spark):
 def test_image_names():
     assert books.image_name("A b", "x/Pic 1.JPG") == "/diagrams/a_b_pic_1.JPG" and books.image_name("A", "noext") == "/diagrams/a_noext"
     assert markup.chapters(book(""), "/p/Some.epub")[0][1:3] == ("Some", "Unknown")
+
+
+def test_annotate(spark):
+    text = TAGS + "\n1. e4 e5 2. Nf3 (2. f4 {bold}) 2... Nc6 *"
+    rows = spark.createDataFrame([("a", text), ("b", TAGS + "\n1. e4 *"), ("c", None)], "game string, raw string")
+    evals = [("a", 0, 20, ["e2e4"]), ("a", 1, 30, ["e7e5"]), ("a", 2, 30, ["b1c3", "b8c6", "a1a8", "g8f6"]), ("a", 3, -10, ["b8c6"]), ("a", 4, 110, None)]
+    evals = spark.createDataFrame([(g, p, c, None, v) for g, p, c, v in evals], "game string, ply int, cp int, mate int, pv array<string>")
+    got = {r.game: r.annotated for r in coach.annotate(rows, evals).collect()}
+    line = got["a"].split("\n\n", 1)[1].replace("\n", " ")
+    assert line == "1. e4 $11 e5 $11 2. Nf3 $2 $11 { Better was b1c3 [%dia] } ( 2. f4 { bold } ) ( 2. Nc3 $142 Nc6 ) 2... Nc6 $4 $16 { Better was b8c6 [%dia] } *"
+    assert got["b"].endswith("1. e4 *") and got["c"] is None
+    white = coach.annotate(rows, evals, side="white", explanation=F.lit("Why")).where("game = 'a'").first().annotated
+    assert "Why [%dia]" in white and "$16" not in white
+    quiet = coach.annotate(rows, evals, threshold=0.5).where("game = 'a'").first().annotated
+    assert "b1c3" not in quiet and "b8c6" in quiet
+
+
+def test_toy_position():
+    assert coach.toy_position("Knight fork of 2 rooks on d3") == "4k3/8/8/8/8/3N4/1r3r2/4K3 w - - 0 1"
+    assert coach.toy_position("king") == "8/8/8/8/8/8/8/8 w - - 0 1"
+
+
+def test_small_search_parts(spark):
+    rows = spark.createDataFrame([("production_books", "Rate limit hit"), ("pgn_games", "fine"), (None, None)], "collection string, t string")
+    assert tuple(search.collection_counts(rows).first()) == (1, 1)
+    assert [r.f for r in rows.select(search.failed_answer(F.col("t")).alias("f")).collect()] == [True, False, None]
+    assert [r.f for r in rows.select(search.preview(F.col("t"), 4).alias("f")).collect()] == ["Rate...", "fine", None]
+    assert search.sampled(rows, 2, 1).count() == 2

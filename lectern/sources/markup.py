@@ -62,9 +62,14 @@ def html_elements(pages: DataFrame, key: str, html: str) -> DataFrame:
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, rows = [key, "place", "tag", "text", "src"], []
         for b in batches:
             for k, h in zip(b[key], b[html]):
-                yield pd.DataFrame([(k, *e) for e in elements(h)], columns=[key, "place", "tag", "text", "src"])
+                rows += [(k, *e) for e in elements(h)]
+                if len(rows) >= 2000:
+                    yield pd.DataFrame(rows, columns=names)
+                    rows = []
+        yield pd.DataFrame(rows, columns=names)
 
     return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, place long, tag string, text string, src string")
 

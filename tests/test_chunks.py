@@ -243,3 +243,10 @@ def test_small_search_parts(spark):
     assert [r.f for r in rows.select(search.failed_answer(F.col("t")).alias("f")).collect()] == [True, False, None]
     assert [r.f for r in rows.select(search.preview(F.col("t"), 4).alias("f")).collect()] == ["Rate...", "fine", None]
     assert search.sampled(rows, 2, 1).count() == 2
+
+
+def test_empty_tables(spark):
+    pages = spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")
+    for rows in (pages, pages.limit(0)):
+        assert markup.html_elements(rows, "page_id", "html").collect() == [] == books.fold_pages(rows, "page_id", "html").collect()
+    assert positions.positions(pages.limit(0), "html").collect() == [] == chunks.chunked(spark.createDataFrame([], pgn.GAMES)).collect()

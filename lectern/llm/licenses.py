@@ -1,9 +1,10 @@
 """Licence scans: Dice coefficient over word bigrams against licence templates.
 
-Text is lower-cased and cut into words of letters and digits. A unit is any run of consecutive lines; its set is its
-distinct word bigrams. Dice = 2 |A & B| / (|A| + |B|) can reach the threshold t only if the template's size b
+Text is lower-cased and cut into words of letters and digits. A unit is any run of consecutive words, wherever lines break;
+its set is its distinct word bigrams. Dice = 2 |A & B| / (|A| + |B|) can reach the threshold t only if the template's size b
 and the unit's size a satisfy b t / (2 - t) <= a <= b (2 - t) / t and at least b t / (2 - t) of the template's bigrams occur:
-templates are pruned by that for the document first, runs by size after.
+templates are pruned by that for the document first, units by size after. The best unit begins and ends with a bigram of the
+template, and the shortest of equals holds its first bigram once, so only those are tried.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ TEMPLATES = {
 
 
 class Templates:
-    """Bigram sets of the templates: sorted distinct hashes, an incidence matrix and sizes."""
+    """Bigram sets of the templates: sorted distinct hashes, an incidence matrix, the templates of each hash and sizes."""
 
     def __init__(self, texts: dict[str, str]):
         self.names = sorted(texts)
@@ -70,12 +71,14 @@ class Templates:
         self.hash = np.unique(np.concatenate(sets))
         self.has = np.stack([np.isin(self.hash, s) for s in sets], axis=1)
         self.size = self.has.sum(axis=0)
+        self.holders = np.nonzero(self.has)[1]
+        self.first = np.concatenate([[0], np.cumsum(self.has.sum(axis=1))])
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.hash >> _U(64 - FILTER_BITS)] = True
 
 
 def scan_slice(table: Templates, data: np.ndarray, offs: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(document, template, dice, first line, lines): the best run of lines of each pair that reaches the threshold."""
+    """(document, template, dice, first line, lines): the best run of words of each pair that reaches the threshold."""
     words = K.Words(data, offs, SEPARATOR)
     total = len(words.hash)
     if total < 2:
@@ -90,53 +93,72 @@ def scan_slice(table: Templates, data: np.ndarray, offs: np.ndarray, threshold:
     if not len(at):
         return
     pairs = np.unique(owner[at] * len(table.hash) + place)
-    begin = np.flatnonzero(np.concatenate([[True], np.diff(pairs // len(table.hash)) > 0]))
-    found = np.add.reduceat(table.has[pairs % len(table.hash)].astype(np.int64), begin, axis=0)
-    least = table.size * threshold / (2 - threshold)
-    docs = (pairs // len(table.hash))[begin]
-    candidates = found >= least - 1e-9
-    for row in np.flatnonzero(candidates.any(axis=1)):
-        d, runs = int(docs[row]), []
-        for k in np.flatnonzero(candidates[row]):
-            best = best_run(table, k, words, gram, at, place, d, data, offs, threshold)
-            if best is not None:
-                runs.append((int(k), *best))
-        for k, dice, first, n in runs:  # a better template of overlapping lines wins
-            if not any(o[1] > dice and o[2] < first + n and first < o[2] + o[3] for o in runs):
-                yield d, k, dice, first, n
-
-
-def best_run(table, k, words, gram, at, place, d, data, offs, threshold) -> tuple[float, int, int] | None:
-    """(dice, first line, lines) of the best run of lines of document d for template k; of equals the shortest, then the first."""
-    lo, hi = int(words.first[d]), int(words.first[d + 1])
-    breaks = np.flatnonzero(data[offs[d] : offs[d + 1]] == 10) + offs[d]
-    line = np.searchsorted(breaks, words.start[lo:hi], side="left")
-    a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
-    mine = table.has[place[a:b], k]
-    spots, which = at[a:b][mine], place[a:b][mine]
-    size = int(table.size[k])
-    most = size * (2 - threshold) / threshold
-    lines = np.unique(np.concatenate([line[spots - lo], line[spots - lo + 1]]))
-    word_at = np.searchsorted(line, np.arange(int(line[-1]) + 2)) + lo  # first word of each line
-    text = {int(x): gram[word_at[x] : word_at[x + 1] - 1].tobytes() for x in lines}
-    template = {int(table.hash[p]) for p in np.unique(which)}
+    doc, which = pairs // len(table.hash), pairs % len(table.hash)
+    n = (table.first[1:] - table.first[:-1])[which]
+    entry = np.repeat(table.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    both, found = np.unique(np.repeat(doc, n) * len(table.names) + table.holders[entry], return_counts=True)
+    both = both[found >= table.size[both % len(table.names)] * threshold / (2 - threshold) - 1e-9]
+    for d in np.unique(both // len(table.names)).tolist():
+        lo, hi = int(words.first[d]), int(words.first[d + 1])
+        a, b = np.searchsorted(at, lo), np.searchsorted(at, hi)
+        line = None
+        for k, dice, s, e in sorted(best_runs(table, both[both // len(table.names) == d] % len(table.names), gram[lo : hi - 1], at[a:b] - lo, place[a:b], threshold)):
+            if line is None:
+                line = np.searchsorted(np.flatnonzero(data[offs[d] : offs[d + 1]] == 10) + offs[d], words.start[lo:hi], side="left")
+            yield d, k, dice, int(line[s]), int(line[e] - line[s] + 1)
+
+
+def best_runs(table: Templates, candidates: np.ndarray, gram: np.ndarray, spots: np.ndarray, place: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
+    """(template, dice, first word, last word) of a document: the best run of each template that shares no word with a better one's."""
+    order = np.argsort(gram, kind="stable")
+    again = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
+    before, after = np.full(len(gram), -1), np.full(len(gram), len(gram))
+    before[order[again + 1]], after[order[again]] = order[again], order[again + 1]
+    mine = {int(k): spots[table.has[place, k]] for k in candidates}
+    taken: list[tuple[int, int]] = []
+    open_ = {k: best_run(x, before, after, int(table.size[k]), threshold, taken) for k, x in mine.items()}
+    out = []
+    while open_ := {k: run for k, run in open_.items() if run is not None}:
+        k, (dice, s, e) = max(open_.items(), key=lambda x: (x[1][0], table.size[x[0]], -x[0]))
+        out.append((k, dice, s, e))
+        taken.append((s, e))
+        del open_[k]
+        for o, (_, first, last) in list(open_.items()):
+            if first <= e and s <= last:
+                open_[o] = best_run(mine[o], before, after, int(table.size[o]), threshold, taken)
+    return out
+
+
+def best_run(spots: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, threshold: float, taken: list[tuple[int, int]]) -> tuple[float, int, int] | None:
+    """(dice, first word, last word) of the best run of words outside those ``taken``; of equals the shortest, then the first.
+
+    ``spots`` are the places of the template's bigrams; ``before`` and ``after`` the places where each bigram was last and is next.
+    """
+    member = np.zeros(len(before), dtype=bool)
+    for first, last in taken:  # bigrams that touch these words
+        spots = spots[(spots < first - 1) | (spots > last)]
+    member[spots] = True
+    stop = after[spots]
+    for first, _ in taken:
+        stop = np.where(spots < first, np.minimum(stop, first - 1), stop)
+    most = size * (2 - threshold) / threshold + 1e-9
+    enough = np.searchsorted(spots, stop) - np.arange(len(spots)) >= size * threshold / (2 - threshold) - 1e-9
     best = None
-    for n, s in enumerate(lines):
-        seen: set[int] = set()
-        common, done = 0, int(word_at[s])
-        for e in lines[n:]:
-            end = int(word_at[e + 1]) - 1  # bigrams that begin before the run's last word
-            fresh = set(gram[done:end].tolist()) - seen if end > done else set()
-            seen |= fresh
-            done = max(done, end)
-            more = len(fresh & template)
-            if len(seen) > most:
+    for s, limit in zip(spots[enough].tolist(), stop[enough].tolist()):
+        width = int(2 * most) + 8
+        while True:
+            e = min(limit, s + width)
+            fresh = before[s:e] < s
+            distinct = np.cumsum(fresh)
+            if e == limit or distinct[-1] > most:
                 break
-            common += more
-            dice = 2 * common / (len(seen) + size)
-            if dice >= threshold - 1e-12 and (best is None or (dice, -(e - s)) > (best[0], -(best[2] - 1))):
-                best = (dice, int(s), int(e - s + 1))
-            if common == size or e > s and not more and text[int(e)] == text[int(s)]:
+            width *= 4
+        n = int(np.searchsorted(distinct, most, side="right"))
+        dice = 2 * np.cumsum(fresh[:n] & member[s : s + n]) / (distinct[:n] + size)
+        i = int(np.argmax(dice))
+        if dice[i] >= threshold - 1e-12 and (best is None or (dice[i], -i) > (best[0], best[1] - best[2] + 1)):
+            best = (float(dice[i]), s, s + i + 1)
+            if dice[i] == 1 and i + 1 == size:
                 break
     return best
 
@@ -144,8 +166,8 @@ def best_run(table, k, words, gram, at, place, d, data, offs, threshold) -> tupl
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license_id, dice, first_line, n_lines for every row of ``docs`` (doc_id, text) and template that it holds.
 
-    A run that overlaps a better run of another template is not reported. Lines count from 0. Null, empty and one-word texts hold none. Of equally good runs the shortest is reported, then the
-    first. Repeated rows report each; a null doc_id is carried; other columns are ignored; an empty table gives no rows.
+    A run of words never shares a word with a better run of another template; the lines are those of its first and last word. Lines count from 0. Null, empty and
+    one-word texts hold none. Of equally good runs the shortest is reported, then the first. Repeated rows report each; a null doc_id is carried; other columns are ignored; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(Templates(templates))
 

@@ -210,6 +210,43 @@ def test_licenses(spark):
     assert got == want and (1, "MIT-text") in got and (0, "MIT") in got
 
 
+def brute_windows(text):
+    """Best Dice over all runs of words for each template, whatever other templates hold."""
+    grams = lambda w: set(zip(w, w[1:]))
+    words = re.findall(r"[a-z0-9]+", text.lower())
+    best = {}
+    for name, t in licenses.TEMPLATES.items():
+        b = grams(re.findall(r"[a-z0-9]+", t.lower()))
+        if len(b & grams(words)) < 0.8 * len(b):
+            continue
+        for i in range(len(words)):
+            for j in range(i + 2, min(len(words), i + 2 * len(b)) + 1):
+                a = grams(words[i:j])
+                best[name] = max(best.get(name, 0), 2 * len(a & b) / (len(a) + len(b)))
+    return {k: v for k, v in best.items() if v >= licenses.THRESHOLD}
+
+
+def test_licenses_share_lines(spark):
+    r = random.Random(11)
+    texts = [
+        "Copyright (c) 2024 Acme. All rights reserved.",
+        "Released under the MIT License, see LICENSE.",
+        "x " + licenses.TEMPLATES["CC-BY-4.0"] + " " + prose(r, 30),
+        prose(r, 40) + " " + licenses.TEMPLATES["ISC-text"] + " " + prose(r, 40),  # a document of one line
+        prose(r, 30) + "\nsome " + licenses.TEMPLATES["MIT-text"].replace("restriction", prose(r, 1)) + " more\n" + prose(r, 9),
+        "\n".join(licenses.TEMPLATES["MIT-text"].split()),  # its last two words add no new bigram
+        prose(r, 5) + " released\nunder the MIT\nLicense " + prose(r, 5),
+    ]
+    out = licenses.scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {(x.doc_id, x.license_id): (x.first_line, x.n_lines) for x in out}
+    want = {(0, "proprietary"): (0, 1), (1, "MIT"): (0, 1), (2, "CC-BY-4.0"): (0, 1), (3, "ISC-text"): (0, 1), (4, "MIT-text"): (1, 1), (5, "MIT-text"): (0, texts[5].count("\n") - 1), (6, "MIT"): (0, 3)}
+    assert got == want
+    brute = [brute_windows(t) for t in texts]
+    assert all(abs(x.dice - brute[x.doc_id][x.license_id]) < 1e-9 for x in out)
+    both = "Released under the MIT License. Licensed under CC BY 4.0."
+    assert {x.license_id for x in licenses.scan(spark, spark.createDataFrame([(1, both)], "doc_id long, text string")).collect()} == {"MIT", "CC-BY-4.0"}
+
+
 def test_licenses_edges(spark):
     assert licenses.scan(spark, odd_docs(spark)).count() == 0
     assert licenses.scan(spark, empty_docs(spark)).count() == 0

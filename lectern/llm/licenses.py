@@ -17,9 +17,19 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernel as K
 from .decontam import FILTER_BITS, SEPARATOR
+from .license_texts import TEXTS
 
 THRESHOLD = 0.9
 _U = np.uint64
+_NOTICE = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+    "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
+    "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
+)
+_ALONG = (
+    " You should have received a copy of the GNU General Public License along with this program; if not, write to the Free Software Foundation, Inc., "
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA."
+)
 #: Licence notices, as their licences word them or as they are usually declared.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -35,11 +45,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0.",
     "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0-notice": (
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
-        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, "
-        "but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."
-    ),
+    "GPL-3.0-notice": _NOTICE,
     "ISC-text": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
         'and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
@@ -56,15 +62,72 @@ TEMPLATES = {
         "OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "proprietary": "All rights reserved.",
+    "AGPL-3.0-notice": _NOTICE.replace("GNU General", "GNU Affero General"),
+    "CC-BY-NC-ND-4.0": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0.",
+    "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.",
+    "GPL-2.0-notice": _NOTICE.replace("software: you", "software; you").replace("version 3", "version 2") + _ALONG,
+    "LGPL-2.1-notice": _NOTICE.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "LGPL-3.0-notice": _NOTICE.replace("GNU General", "GNU Lesser General"),
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    **TEXTS,
+}
+
+_GPL3 = TEXTS["GPL-3.0-text"]
+#: How a licence is named after "under", with the article or without.
+_NAMES = {
+    "AGPL": ("GNU Affero General Public License", "GNU AGPL", "AGPL"),
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License", "Apache 2.0", "Apache License v2.0", "Apache License v2", "Apache Software License 2.0", "Apache Software License, Version 2.0"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "BSD 2-Clause", "Simplified BSD License", "FreeBSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "BSD 3-Clause", "New BSD License", "Modified BSD License", "Revised BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "CC0-1.0": ("CC0", "CC0 1.0", "CC0 1.0 Universal", "Creative Commons CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal"),
+    "GPL": ("GNU General Public License", "GNU GPL", "GPL"),
+    "ISC": ("ISC License",),
+    "LGPL": ("GNU Lesser General Public License", "GNU LGPL", "LGPL"),
+    "MIT": ("MIT License", "MIT/X11 License", "Expat License"),
+    "MPL-1.1": ("Mozilla Public License, Version 1.1", "Mozilla Public License 1.1", "MPL 1.1"),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0", "Mozilla Public License v2.0", "Mozilla Public License, v. 2.0", "MPL 2.0", "MPL v2.0"),
+    "Unlicense": ("Unlicense",),
+}
+for _x, _versions in (("GPL", ("1.0", "2.0", "3.0")), ("LGPL", ("2.0", "2.1", "3.0")), ("AGPL", ("3.0",))):
+    for _v in _versions:
+        _short = _v.removesuffix(".0")
+        _NAMES[f"{_x}-{_v}"] = (
+            *(f"{n}{how}{v}" for n in _NAMES[_x] for how in (", version ", " v", " ") for v in dict.fromkeys((_short, _v))),
+            *(f"{_x}v{_short}", f"GNU {_x}v{_short}", f"{_NAMES[_x][0]} ({_x}) version {_short}", f"version {_short} of the {_NAMES[_x][0]}"),
+        )
+for _x, _long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")):
+    _long = f"Creative Commons {_long} 4.0"
+    _NAMES[f"CC-{_x}-4.0"] = (f"CC {_x} 4.0", f"CC {_x} 4.0 License", f"{_long} International License", f"{_long} International", f"{_long} License", _long)
+#: Further wordings, reported as the same licence: declarations, SPDX tags, both spellings, and texts without preamble or disclaimer's names.
+VARIANTS = {
+    k: tuple(
+        dict.fromkeys(
+            w
+            for n in names
+            for m in (n, n.replace("License", "Licence"))
+            for way in ("under", "under the terms of")
+            for w in [f"{way} {article}{m}" for article in ("the ", "", "an " if m[0] in "AEIM" else "a ")]
+        )
+    )
+    + ((f"SPDX-License-Identifier: {k}",) if k[-1] != "L" else ())
+    for k, names in _NAMES.items()
 }
+VARIANTS["GPL-3.0-text"] = (_GPL3[_GPL3.index("TERMS AND CONDITIONS") : _GPL3.index("END OF TERMS AND CONDITIONS")],)
+VARIANTS["GPL-2.0-notice"] = (TEMPLATES["GPL-2.0-notice"].removesuffix(_ALONG),)
+VARIANTS["proprietary"] = ("All rights are reserved.",)
 
 
 class Templates:
-    """Bigram sets of the templates: sorted distinct hashes, an incidence matrix, the templates of each hash and sizes."""
+    """Bigram sets of the templates and their variants: sorted distinct hashes, an incidence matrix, the templates of each hash and sizes."""
 
-    def __init__(self, texts: dict[str, str]):
-        self.names = sorted(texts)
-        text = pa.array([texts[n].lower() for n in self.names], pa.large_string())
+    def __init__(self, texts: dict[str, str], variants: dict[str, tuple[str, ...]] = {}):
+        every = sorted([*texts.items(), *((n, t) for n, more in variants.items() for t in more)])
+        self.names = [n for n, _ in every]
+        text = pa.array([t.lower() for _, t in every], pa.large_string())
         data, offs = K.buffers(text)
         grams, first = K.Words(data, offs, SEPARATOR).grams(2)
         sets = [np.unique(grams[a:b]) for a, b in zip(first[:-1], first[1:])]
@@ -109,7 +172,7 @@ def scan_slice(table: Templates, data: np.ndarray, offs: np.ndarray, threshold:
 
 
 def best_runs(table: Templates, candidates: np.ndarray, gram: np.ndarray, spots: np.ndarray, place: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(template, dice, first word, last word) of a document: the best run of each template that shares no word with a better one's."""
+    """(template, dice, first word, last word) of a document: the best run of each licence that shares no word with a better one's."""
     order = np.argsort(gram, kind="stable")
     again = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
     before, after = np.full(len(gram), -1), np.full(len(gram), len(gram))
@@ -121,8 +184,13 @@ def best_runs(table: Templates, candidates: np.ndarray, gram: np.ndarray, spots:
     while open_ := {k: run for k, run in open_.items() if run is not None}:
         k, (dice, s, e) = max(open_.items(), key=lambda x: (x[1][0], table.size[x[0]], -x[0]))
         out.append((k, dice, s, e))
+        last = e - 1  # the words around that only repeat the run's bigrams belong to it
+        while e < len(gram) and before[e] >= s:
+            e += 1
+        while s > 0 and after[s - 1] <= last:
+            s -= 1
         taken.append((s, e))
-        del open_[k]
+        open_ = {o: run for o, run in open_.items() if table.names[o] != table.names[k]}
         for o, (_, first, last) in list(open_.items()):
             if first <= e and s <= last:
                 open_[o] = best_run(mine[o], before, after, int(table.size[o]), threshold, taken)
@@ -169,7 +237,7 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
     A run of words never shares a word with a better run of another template; the lines are those of its first and last word. Lines count from 0. Null, empty and
     one-word texts hold none. Of equally good runs the shortest is reported, then the first. Repeated rows report each; a null doc_id is carried; other columns are ignored; an empty table gives no rows.
     """
-    shared = spark.sparkContext.broadcast(Templates(templates))
+    shared = spark.sparkContext.broadcast(Templates(templates, VARIANTS if templates is TEMPLATES else {}))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value

@@ -247,6 +247,23 @@ def test_licenses_share_lines(spark):
     assert {x.license_id for x in licenses.scan(spark, spark.createDataFrame([(1, both)], "doc_id long, text string")).collect()} == {"MIT", "CC-BY-4.0"}
 
 
+def test_license_texts_and_variants(spark):
+    want = {
+        "Licensed under the MIT License.": "MIT", "Distributed under the terms of the MIT licence, see below": "MIT", "SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "available under the GNU General Public License v2.0": "GPL-2.0", "licensed under the GPLv3": "GPL-3.0", "licensed under the GNU General Public License": "GPL",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "CC-BY-SA-4.0", "under the 2-clause BSD license": "BSD-2-Clause",
+        "licensed under the GNU Lesser General Public License version 2.1": "LGPL-2.1", "under the GNU AGPL v3": "AGPL-3.0", "under the Mozilla Public License 2.0": "MPL-2.0",
+    }
+    names = ["BSD-2-Clause-text", "BSD-3-Clause-text", "MPL-2.0-notice", "MPL-2.0-text", "LGPL-2.1-text", "LGPL-2.1-notice", "LGPL-3.0-text", "LGPL-3.0-notice", "AGPL-3.0-notice", "AGPL-3.0-text", "GPL-2.0-text", "GPL-2.0-notice", "GPL-3.0-text", "Unlicense", "Apache-2.0-text"]
+    rows = [("a b c. " + t + " d e f", n) for t, n in want.items()] + [(" ".join(("x y\n" + licenses.TEMPLATES[n] + "\nz").split(" ")), n) for n in names]
+    rows += [("We like the MIT License of the program", None), ("restricted under the law of the state", None)]
+    out = licenses.scan(spark, spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")).collect()
+    got = defaultdict(set)
+    for x in out:
+        got[x.doc_id].add(x.license_id)
+    assert {i: n for i, (_, n) in enumerate(rows) if n} == {i: next(iter(s)) for i, s in got.items()} and all(len(s) == 1 for s in got.values())
+
+
 def test_licenses_edges(spark):
     assert licenses.scan(spark, odd_docs(spark)).count() == 0
     assert licenses.scan(spark, empty_docs(spark)).count() == 0

@@ -3,7 +3,8 @@
 Text is lower-cased and read as tokens (runs of letters and digits). Each fixed mask hashes six positions of a
 window and ignores the others, so a substitution at an ignored position leaves the hash unchanged. Hashes of
 all windows of the training documents are joined to those of the benchmark; around every hit the document
-and the item are aligned and the best run of agreeing tokens is measured, substitutions included.
+and the item are aligned and the run of most agreeing tokens is measured, among those with enough agreement,
+substitutions included.
 
 The seed table of the benchmark is shipped to the tasks (a broadcast hash join) in blocks of a bounded
 number of bytes; a benchmark beyond one block is processed block by block against all documents, so the
@@ -25,7 +26,7 @@ MASKS = ("111111", "11011011", "111001011", "1100110011")
 SEED_TOKENS = 6
 #: A run counts with so many agreeing tokens (or, for a shorter item, this share of it) and this share of agreement.
 MIN_MATCHES, MIN_COVER, MIN_IDENTITY = 10, 0.8, 0.75
-MISMATCH = -2
+IDENTITY_IS, IDENTITY_OF = MIN_IDENTITY.as_integer_ratio()
 #: Bytes of benchmark text whose seeds are broadcast at once.
 BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
@@ -69,10 +70,17 @@ class Seeds:
 
 
 def best_run(same: np.ndarray) -> tuple[int, int]:
-    """(start, end) of the run with the largest sum of 1 a match and MISMATCH a substitution; the first of equals."""
-    c = np.concatenate([[0], np.cumsum(np.where(same, 1, MISMATCH))])
-    end = int(np.argmax(c - np.minimum.accumulate(c)))
-    return int(np.argmin(c[: end + 1])), end
+    """(start, end) of the run of most matches among those with a share of MIN_IDENTITY; it begins and ends with a match; the first of equals."""
+    hits = np.concatenate([[0], np.cumsum(same)])
+    # matches >= MIN_IDENTITY x length, in integers: the sum does not fall from the run's start to its end
+    c = IDENTITY_OF * hits - IDENTITY_IS * np.arange(len(hits))
+    start = np.searchsorted(-np.minimum.accumulate(c), -c)  # of each end, the first start that reaches it
+    matches = hits - hits[start]
+    if not matches.any():
+        return 0, 0
+    end = int(np.argmax(matches))
+    start = int(start[end])
+    return start + int(np.argmax(same[start:end])), end
 
 
 def overlaps(table: Seeds, words: K.Words) -> Iterator[tuple[int, int, int, int, int, int]]:

@@ -546,6 +546,30 @@ def test_decontamination(spark):
     assert not {i for i, _ in got} & set(range(60, 80))
 
 
+def test_best_run_enumerated():
+    r = random.Random(12)
+    for n in [0, 1, 5, 20, 59] * 40:
+        same = np.array([r.random() < r.choice([0.3, 0.7, 0.8]) for _ in range(n)], dtype=bool)
+        every = [(int(same[i:j].sum()), -i, j - i) for i in range(n) for j in range(i + 1, n + 1) if 4 * same[i:j].sum() >= 3 * (j - i)]
+        s, e = decontam.best_run(same)
+        most = max((m for m, _, _ in every), default=0)
+        assert same[s:e].sum() == most and 4 * same[s:e].sum() >= 3 * (e - s)
+        if most:
+            assert s == min(-i for m, i, k in every if m == most and same[-i] and same[-i + k - 1])
+
+
+def test_decontamination_of_thinning_copies(spark):
+    r = random.Random(13)
+    same = [[True] * 10 + [False, True, True] * k + [True] for k in (12, 13, 16)]
+    same += [[True] * 12 + [i % 10 not in (0, 3, 6) for i in range(90)]]
+    items = [prose(r, len(x)) for x in same]
+    docs = [prose(r, 9) + " " + " ".join(w if ok else "zz" + prose(r, 1) for w, ok in zip(t.split(), x)) + " " + prose(r, 9) for t, x in zip(items, same)]
+    d, b = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    out = decontam.contaminated(spark, d, b).collect()
+    assert {(x.doc_id, x.item_id) for x in out} >= {(i, i) for i in range(4)}
+    assert all(x.matches >= 10 and 4 * x.matches >= 3 * x.run_tokens for x in out)
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     d, b = table(spark, "documents"), table(spark, "benchmark")
     want = sorted(decontam.contaminated(spark, d, b).collect())

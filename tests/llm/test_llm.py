@@ -264,6 +264,21 @@ def test_license_texts_and_variants(spark):
     assert {i: n for i, (_, n) in enumerate(rows) if n} == {i: next(iter(s)) for i, s in got.items()} and all(len(s) == 1 for s in got.values())
 
 
+def test_edited_license_holds_one_liners(spark):
+    def edited(name):
+        """The text with a word in forty replaced and a one-line notice inside."""
+        w = licenses.TEMPLATES[name].split()
+        w = [f"zz{i}" if i % 40 == 20 else x for i, x in enumerate(w)]
+        return " ".join(w[:60]) + "\nAll rights reserved.\n" + " ".join(w[60:])
+
+    names = ["MIT-text", "BSD-3-Clause-text", "GPL-3.0-text"]
+    texts = [edited(n) for n in names] + [licenses.TEMPLATES["Apache-2.0-notice"].replace("Unless required", "Unless zz required").replace("; you", "\n; you")]
+    texts += ["\n".join(("the software " + licenses.TEMPLATES["MIT-text"]).split())]
+    out = licenses.scan(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.license_id) for x in out) == list(enumerate([*names, "Apache-2.0-notice", "MIT-text"]))
+    assert all(x.dice < 1 for x in out if x.doc_id < 4)
+
+
 def test_licenses_edges(spark):
     assert licenses.scan(spark, odd_docs(spark)).count() == 0
     assert licenses.scan(spark, empty_docs(spark)).count() == 0

@@ -1,10 +1,10 @@
 """Benchmark decontamination by spaced seeds.
 
-Text is lower-cased and read as tokens (runs of letters and digits). Each fixed mask hashes six positions of a
+Text is lower-cased and read as tokens: runs of letters, marks and digits of any script, Chinese and Japanese characters one by one. Each fixed mask hashes six positions of a
 window and ignores the others, so a substitution at an ignored position leaves the hash unchanged. Hashes of
 all windows of the training documents are joined to those of the benchmark; around every hit the document
 and the item are aligned and the run of most agreeing tokens is measured, among those with enough agreement,
-substitutions included.
+substitutions included. An item of under six tokens, which no mask fits, is found where it occurs whole.
 
 The seed table of the benchmark is shipped to the tasks (a broadcast hash join) in blocks of a bounded
 number of bytes; a benchmark beyond one block is processed block by block against all documents, so the
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import kernel as K
 
@@ -32,10 +32,18 @@ BLOCK_BYTES = 8 << 20
 FILTER_BITS = 22
 SEPARATOR = np.ones(256, dtype=bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = False
-SEPARATOR[128:] = False
+SEPARATOR[128:] = False  # what ``spelled`` leaves of them are letters, marks and digits
 _U = np.uint64
 
 
+def spelled(text: Column) -> Column:
+    """Lower-cased text with a blank for each non-ASCII character that is no letter, mark or digit, and blanks around Chinese and Japanese ones."""
+    text = F.lower(text.cast("string"))
+    plain = F.regexp_replace(text, r"[^\x00-\x7F\p{L}\p{M}\p{N}]", " ")
+    apart = F.regexp_replace(plain, r"([\p{IsHan}\p{IsHiragana}\p{IsKatakana}])", " $1 ")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(apart)
+
+
 def seeds(words: K.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each mask the window starts and their hashes; windows stay inside their text."""
     total = len(words.hash)
@@ -50,6 +58,17 @@ def seeds(words: K.Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, K.mix(acc[at] + K.LENGTH_SALT[k + 1 : k + 2])
 
 
+def sequences(words: K.Words, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The starts of all runs of n tokens inside a text, and their hashes."""
+    total = len(words.hash)
+    left = np.repeat(words.first[1:], words.counts) - np.arange(total)
+    at = np.flatnonzero(left >= n)
+    acc = np.zeros(len(at), dtype=_U)
+    for j in range(n):
+        acc += words.hash[at + j] * K.STEP[j]
+    return at, K.mix(acc)
+
+
 class Seeds:
     """Sorted seed hashes of a block of items with their (item, position), and the items' token hashes."""
 
@@ -67,6 +86,14 @@ class Seeds:
         self.item = np.searchsorted(self.first, self.at, side="right") - 1
         self.filter = np.zeros(1 << FILTER_BITS, dtype=bool)
         self.filter[self.hash >> _U(64 - FILTER_BITS)] = True
+        self.short = {}  # items of under SEED_TOKENS tokens by their number: sorted hashes of the whole and the items
+        for n in range(1, SEED_TOKENS):
+            item = np.flatnonzero(words.counts == n)
+            if len(item):
+                at, h = sequences(words, n)
+                h = h[np.searchsorted(at, self.first[item])]
+                order = np.argsort(h, kind="stable")
+                self.short[n] = h[order], item[order]
 
 
 def best_run(same: np.ndarray) -> tuple[int, int]:
@@ -86,6 +113,15 @@ def best_run(same: np.ndarray) -> tuple[int, int]:
 def overlaps(table: Seeds, words: K.Words) -> Iterator[tuple[int, int, int, int, int, int]]:
     """(document, item, matches, run length, document token, item token): the best run of each pair that counts."""
     hits = set()
+    for size, (whole, items) in table.short.items():
+        at, h = sequences(words, size)
+        lo, hi = np.searchsorted(whole, h, "left"), np.searchsorted(whole, h, "right")
+        n = hi - lo
+        entry = items[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        where = np.repeat(at, n)
+        doc = np.searchsorted(words.first, where, side="right") - 1
+        _, once = np.unique(doc * len(table.ids) + entry, return_index=True)  # the first place in each document
+        hits.update(zip(doc[once].tolist(), entry[once].tolist(), (where - table.first[entry])[once].tolist()))
     for at, h in seeds(words):
         maybe = np.flatnonzero(table.filter[h >> _U(64 - FILTER_BITS)])
         lo, hi = np.searchsorted(table.hash, h[maybe], "left"), np.searchsorted(table.hash, h[maybe], "right")
@@ -104,7 +140,7 @@ def overlaps(table: Seeds, words: K.Words) -> Iterator[tuple[int, int, int, int,
         same = table.tokens[lo:hi] == words.hash[lo + shift : hi + shift]
         s, e = best_run(same)
         matches = int(same[s:e].sum())
-        need = min(MIN_MATCHES, max(SEED_TOKENS, int(np.ceil(MIN_COVER * (b - a)))))
+        need = min(MIN_MATCHES, b - a, max(SEED_TOKENS, int(np.ceil(MIN_COVER * (b - a)))))
         if matches >= need and matches >= MIN_IDENTITY * (e - s):
             run = (matches, e - s, int(lo + s + shift - words.first[doc]), int(lo + s - a))
             if matches > best.get((doc, item), (0,))[0]:
@@ -116,11 +152,11 @@ def overlaps(table: Seeds, words: K.Words) -> Iterator[tuple[int, int, int, int,
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, matches, run_tokens, doc_token, item_token: one row for each row of ``docs`` and item that overlap.
 
-    Null, empty and seedless texts (under six tokens) overlap with nothing. Among runs of equal matches the one first in
+    Null and empty texts overlap with nothing; items of one to five tokens only with documents that hold them whole. Among runs of equal matches the one first in
     the document is reported. Repeated rows report each; a null doc_id or item_id is carried. Other columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.col("text").cast("string")).alias("text")).where("text is not null").distinct()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spelled(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), spelled(F.col("text")).alias("text")).where("text is not null").distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
     blocks = max(1, -(-total // BLOCK_BYTES))
     out = None

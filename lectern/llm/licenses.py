@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernel as K
-from .decontam import FILTER_BITS, SEPARATOR
+from .decontam import FILTER_BITS, SEPARATOR, spelled
 from .license_texts import TEXTS
 
 THRESHOLD = 0.9
@@ -261,5 +261,5 @@ def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPL
                         names=["doc_id", "license_id", "dice", "first_line", "n_lines"],
                     )
 
-    text = F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")
+    text = spelled(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text).mapInArrow(run, "doc_id long, license_id string, dice double, first_line long, n_lines long")

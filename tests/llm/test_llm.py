@@ -585,6 +585,22 @@ def test_decontamination_of_thinning_copies(spark):
     assert all(x.matches >= 10 and 4 * x.matches >= 3 * x.run_tokens for x in out)
 
 
+def test_decontamination_of_any_script_and_short_items(spark):
+    items = [
+        (1, "下列哪一个城市是法国的首都巴黎还是里昂"), (2, "the word “don’t” is written — as one knows — with an apostrophe in it"),
+        (3, "zwei Wörter"), (4, "日本の首都"), (5, "größe"), (6, "six\u00a0tokens of text\u00a0are here"),
+    ]
+    docs = [
+        (1, "前文在此。下列哪一个城市是法国的首都？巴黎还是里昂！后文"), (2, 'So: the word "don\'t" is written - as one knows - with an apostrophe in it.'),
+        (3, "Das sind ZWEI WÖRTER, zwei Wörter."), (4, "これは日本の首都です"), (5, "Die Größen"), (6, "some six tokens of text are here"), (7, "zwei andere Wörter"),
+    ]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    out = {(x.doc_id, x.item_id): (x.matches, x.doc_token) for x in decontam.contaminated(spark, d, b).collect()}
+    assert set(out) == {(1, 1), (2, 2), (3, 3), (4, 4), (6, 6)} and out[3, 3] == (2, 2) and out[4, 4] == (5, 3)
+    notice = "“Released under the MIT\u00a0License”—see"
+    assert [x.license_id for x in licenses.scan(spark, spark.createDataFrame([(1, notice)], "doc_id long, text string")).collect()] == ["MIT"]
+
+
 def test_decontamination_blocks(spark, monkeypatch):
     d, b = table(spark, "documents"), table(spark, "benchmark")
     want = sorted(decontam.contaminated(spark, d, b).collect())

@@ -1,4 +1,8 @@
-"""Full licence texts, as their publishers word them; AGPL-3.0 without its preamble. See licenses.py."""
+"""Full licence texts. See licenses.py.
+
+Copied from published texts, but: the BSD texts are the University's with neutral holders; AGPL-3.0 is the terms of GPL-3.0
+with the name changed and section 13 written from memory, without preamble, not compared with the published text.
+"""
 
 TEXTS = {
     "AGPL-3.0-text": """

@@ -2,23 +2,25 @@
 
 S(w | u v) = c(u v w) / c(u v) if c(u v w) > 0, else 0.4 S(w | v); S(w | v) = c(v w) / c(v) if c(v w) > 0, else 0.4 S(w);
 S(w) = c(w) / N, or 1 / (N + 1) for a word not seen. Counts c and N are over all other documents: the corpus
-count less the document's own. The first words of a document use the orders they have, without penalty.
-
-The n-grams of all orders are exploded and sent to the hash partition of their key, where count tables are
-built; each partition is joined to the n-grams that were sent to it, and the counts that a sender can't know by
-itself go back and are summed by document. To keep the exchange small, documents travel in slices whose n-grams
-are combined before they are sent, as sorted packed keys, and only counts beyond a slice's own return. Keys have 26 bits
-more than the number of words needs, so one n-gram in about 2e7 meets another's key, at every corpus size.
+count less the document's own (by parameter, over all). The first words of a document use the orders they have, without penalty.
+
+Counting is relational. Every document's n-grams are exploded into rows (n-gram, slice, place, count) with a 64-bit
+key, partitioned by hash; the count table of the corpus is their sum by n-gram, joined back to the rows; what
+other slices hold of an n-gram returns to its place and is summed per document. A slice is a run of documents of
+bounded size whose equal n-grams are combined before they travel, so a word of every document is one row for each
+slice. On the way the n-grams of a slice share pages: the page number is the first 16 bits of the key, a page holds
+the other 48 bits of its n-grams and their counts, and it becomes rows where it arrives. A slice has at most 2**16
+pages whatever the size of the corpus, so the rows of the exchange grow in proportion to it, and no key is shortened.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernel as K
@@ -27,32 +29,14 @@ from .warc import open_fs
 
 ORDER = 3
 BACKOFF = 0.4
-SLICE_BYTES = 4 << 20
-PARTITION_KEYS = 3_000_000
-SPARE_BITS = 26
+#: Bytes of text of a slice; a longer text is a slice of its own.
+SLICE_BYTES = 12 << 20
+#: Words of the corpus for each partition of the count table.
+PARTITION_WORDS = 400_000
+PAGE_BITS, SUFFIX = 16, 6
 _U = np.uint64
 
 
-def pack(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit integers as byte planes of their differences."""
-    delta = np.diff(keys, prepend=_U(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(delta.view(np.uint8).reshape(-1, 8).T).tobytes())
-
-
-def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(_U).ravel(), dtype=_U)
-
-
-def small(counts: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(counts.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def unsmall(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
-
-
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of the documents and where each begins, made piece by piece so that byte-level arrays stay small."""
     parts, counts = [], []
@@ -64,23 +48,35 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=_U), first.astype(np.int64)
 
 
+def sorted_order(x: np.ndarray) -> np.ndarray:
+    """A stable argsort of hashes: their first bits and the position sort as one integer, the few ties of unequal hashes again."""
+    bits = max(1, int(len(x) - 1).bit_length()) if len(x) else 1
+    low = _U((1 << bits) - 1)
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=_U)) & low).astype(np.int64)
+    y = x[order]
+    for head in np.unique(y[1:][y[1:] < y[:-1]] >> _U(bits)):
+        a, b = np.searchsorted(y >> _U(bits), [head, head + _U(1)])
+        order[a:b] = order[a:b][np.argsort(y[a:b], kind="stable")]
+    return order
+
+
 class Slice:
     """The n-grams of a slice's documents: sorted distinct ``keys`` with ``counts``.
 
     With ``places``, also each n-gram's key number ``at`` and its document's ``own`` count, order after order.
     """
 
-    def __init__(self, text: pa.Array, bits: int, places: bool = False):
+    def __init__(self, text: pa.Array, places: bool = False):
         words = K.Words.__new__(K.Words)
         words.hash, words.first = word_hashes(text)
         self.words = words
         grams = [words.grams(n) for n in range(1, ORDER + 1)]
         self.sizes = [len(g) for g, _ in grams]
-        every = np.concatenate([g for g, _ in grams]) >> _U(64 - bits)
+        every = np.concatenate([g for g, _ in grams])
         if places:
             doc = np.concatenate([np.repeat(np.arange(len(f) - 1, dtype=np.int32), np.diff(f)) for _, f in grams])
             del grams
-            order = np.argsort(every, kind="stable")  # n-grams of one order stand in document order, so equal keys come by document
+            order = sorted_order(every)  # n-grams of one order stand in document order, so equal keys come by document
             every, doc = every[order], doc[order]
         else:
             del grams
@@ -94,24 +90,33 @@ class Slice:
             self.at[order] = np.cumsum(new) - 1
             new[1:] |= doc[1:] != doc[:-1]
             begin = np.flatnonzero(new)
+            size = np.diff(np.append(begin, len(every)))
             self.own = np.empty(len(every), dtype=np.int32)
-            self.own[order] = np.repeat(np.diff(np.append(begin, len(every))), np.diff(np.append(begin, len(every))))
-
-    def bounds(self, bits: int, parts: int) -> np.ndarray:
-        """Where each hash partition begins among the keys."""
-        step = _U(1) << _U(bits - parts.bit_length() + 1)
-        return np.append(np.searchsorted(self.keys, np.arange(parts, dtype=_U) * step), len(self.keys))
-
-    def scores(self, totals: np.ndarray, words: int) -> np.ndarray:
+            self.own[order] = np.repeat(size, size)
+
+    def pages(self, number: int) -> Iterator[pa.RecordBatch]:
+        """(place, page, keys, counts): the place joins the slice's ``number`` and the number of the page's first key."""
+        page = (self.keys >> _U(64 - PAGE_BITS)).astype(np.int32)
+        begin = np.flatnonzero(np.diff(page, prepend=-1))
+        edge = np.append(begin, len(page))
+        for lo in range(0, len(begin), 4096):
+            e = edge[lo : lo + 4097]
+            rest = np.ascontiguousarray(self.keys[e[0] : e[-1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SUFFIX :])
+            keys = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(((e - e[0]) * SUFFIX).astype(np.int32)), pa.py_buffer(rest)])
+            counts = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(self.counts[e[0] : e[-1]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array((number << 32) + e[:-1]), pa.array(page[e[:-1]]), keys, counts], names=["place", "page", "keys", "counts"])
+
+    def scores(self, totals: np.ndarray, words: int, leave_out: bool = True) -> np.ndarray:
         """Sum of log10 S over each document's words."""
         counts = self.words.counts
-        left = np.split(totals[self.at] - self.own, np.cumsum(self.sizes)[:-1])
+        found = totals[self.at] - self.own if leave_out else totals[self.at]
+        left = np.split(found, np.cumsum(self.sizes)[:-1])
         n = len(self.words.hash)
         place = np.arange(n) - np.repeat(self.words.first[:-1], counts)
         one = left[0]
         two, three = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
         two[place >= 1], three[place >= 2] = left[1], left[2]
-        others = np.repeat(words - counts, counts)
+        others = np.repeat(words - counts if leave_out else np.full(len(counts), words), counts)
         with np.errstate(divide="ignore", invalid="ignore"):
             s = np.where(one > 0, one / others, 1.0 / (others + 1))
             s = np.where(place >= 1, np.where(two > 0, two / np.roll(one, 1), BACKOFF * s), s)
@@ -134,7 +139,7 @@ def _text(t: pa.Table) -> pa.Array:
     return column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
 
 
-def _slices(folder: str):
+def _slices(folder: str, limit: int):
     """Writes slices of documents to files that no other attempt uses and reports them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,12 +159,11 @@ def _slices(folder: str):
 
         for batch in batches:
             for lo, hi, data, _ in K.slices(batch.column(1)):
+                if held and size + len(data) > limit:
+                    finish()
                 held.append(batch.slice(lo, hi - lo))
                 size += len(data)
-                if size >= SLICE_BYTES:
-                    # the slice holds references to larger batches; the copy is written at once
-                    finish()
-            if held:
+            if held:  # a copy, so that the rest of the batch can go
                 held = [pa.Table.from_batches(held).take(pa.array(range(sum(len(x) for x in held)))).combine_chunks().to_batches()[0]]
         if held:
             finish()
@@ -169,97 +173,101 @@ def _slices(folder: str):
     return run
 
 
-def _send(bits: int, parts: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path in batch.column(0).to_pylist():
-                s = Slice(_text(_read(path)), bits)
-                edge = s.bounds(bits, parts)
-                for lo in range(0, parts, 64):
-                    mine = [p for p in range(lo, min(parts, lo + 64)) if edge[p] < edge[p + 1]]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(mine, pa.int32()), pa.array([path] * len(mine), pa.string()), pa.array([pack(s.keys[edge[p] : edge[p + 1]]) for p in mine], pa.binary()), pa.array([small(s.counts[edge[p] : edge[p + 1]]) for p in mine], pa.binary())],
-                        names=["p", "path", "keys", "counts"],
-                    )
-
-    return run
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for number, path in zip(*(c.to_pylist() for c in batch.columns)):
+            yield from Slice(_text(_read(path))).pages(number)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The count table of each hash partition, joined to the n-grams that each slice sent."""
-
-    def finish(p: int, held: list[tuple[str, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        keys, counts = [unpack(k) for _, k, _ in held], [unsmall(c) for _, _, c in held]
-        table, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-        rows, at = [], 0
-        for (path, _, _), k, c in zip(held, keys, counts):
-            extra = total[inverse[at : at + len(k)]] - c
-            at += len(k)
-            some = np.flatnonzero(extra)
-            if len(some):
-                rows.append((path, p, pack(some.astype(_U)), small(extra[some])))
-        for lo in range(0, len(rows), 64):
-            path, part, index, extra = zip(*rows[lo : lo + 64])
-            yield pa.RecordBatch.from_arrays([pa.array(path), pa.array(part, pa.int32()), pa.array(index, pa.binary()), pa.array(extra, pa.binary())], names=["path", "p", "at", "extra"])
-
-    part, held = None, []
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (place, i, extra) that follow each other from one page as one row (slice, at, extra)."""
     for batch in batches:
-        for p, path, keys, counts in zip(*(c.to_pylist() for c in batch.columns)):
-            if p != part:
-                if held:
-                    yield from finish(part, held)
-                part, held = p, []
-            held.append((path, keys, counts))
-    if held:
-        yield from finish(part, held)
-
-
-def _score(bits: int, parts: int, words: int):
-    def finish(path: str, held: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
+        place, i, extra = (c.to_numpy() for c in batch.columns)
+        if len(place):
+            begin = np.flatnonzero(np.diff(place, prepend=-1))
+            offsets = pa.array(np.append(begin, len(place)).astype(np.int32))
+            at = ((place & 0xFFFFFFFF) + i).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(place[begin] >> 32), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(extra))], names=["slice", "at", "extra"])
+
+
+def _score(words: int, leave_out: bool):
+    """Scores of the slices of a partition, whose rows are sorted by slice: its file, and what other slices hold of its n-grams."""
+
+    def finish(path: str, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         table = _read(path)
-        s = Slice(_text(table), bits, places=True)
-        edge, totals = s.bounds(bits, parts), s.counts.astype(np.int64)
-        for p, at, extra in held:
-            if at is not None:
-                totals[edge[p] + unpack(at).astype(np.int64)] += unsmall(extra)
-        n = s.words.counts
-        log = s.scores(totals, words)
-        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(n.astype(np.int64)), pa.array(log)], names=["doc_id", "n_words", "log10_score"])
+        s = Slice(_text(table), places=True)
+        totals = s.counts.astype(np.int64)
+        for at, extra in found:
+            totals[at] += extra
+        return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(s.words.counts.astype(np.int64)), pa.array(s.scores(totals, words, leave_out))], names=["doc_id", "n_words", "log10_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slice_, held = None, []
+        now, path, found = None, None, []
         for batch in batches:
-            for path, p, at, extra in zip(*(c.to_pylist() for c in batch.columns)):
-                if path != slice_:
-                    if slice_ is not None:
-                        yield finish(slice_, held)
-                    slice_, held = path, []
-                held.append((p, at, extra))
-        if slice_ is not None:
-            yield finish(slice_, held)
+            number = batch.column(0).to_numpy()
+            begin = np.flatnonzero(np.diff(number, prepend=-1))
+            for lo, hi in zip(begin, np.append(begin[1:], len(number))):
+                if number[lo] != now:
+                    if now is not None:
+                        yield finish(path, found)
+                    now, path, found = number[lo], None, []
+                part = batch.slice(lo, hi - lo)
+                path = next(iter(part.column(3).drop_null().to_pylist()), path)
+                found.append((part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()))
+        if now is not None:
+            yield finish(path, found)
 
     return run
 
 
-def score(spark: SparkSession, docs: DataFrame) -> DataFrame:
+@contextmanager
+def partitioned_by_page(spark: SparkSession):
+    """Lets a join on (page, key) use the partitioning by page that both sides have, instead of a second exchange of the n-grams."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def held_elsewhere(grams: DataFrame) -> DataFrame:
+    """(place, i, extra): for each row of ``grams`` (page, key, place, i, n) whose n-gram other slices hold too, how often they do.
+
+    The count table is the sum by n-gram. N-grams of one slice leave it before the join; what is left has one row
+    for each n-gram and is the side that is hashed, while the n-grams of the documents stream past it.
+    """
+    table = grams.groupBy("page", "key").agg(F.sum("n").alias("total"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi")
+    return grams.join(table.select("page", "key", "total").hint("shuffle_hash"), ["page", "key"]).select("place", "i", (F.col("total") - F.col("n")).alias("extra"))
+
+
+def score(spark: SparkSession, docs: DataFrame, leave_out: bool = True) -> DataFrame:
     """doc_id, n_words, log10_score, log10_per_word (both rounded to 6 places) for every row of ``docs`` (doc_id, text).
 
     Null and blank texts: 0 words, score 0, log10_per_word null. Rows are documents, repeated ones too, each left out of
-    its own counts only. Null doc_ids are carried; other columns are ignored; an empty table gives no rows.
+    its own counts only, or of none if ``leave_out`` is false. Null doc_ids are carried; other columns are ignored; an empty table gives no rows.
     """
     scratch = Scratch(spark, "lm")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    slices = scratch.write(rows.mapInArrow(_slices(scratch.path("slices")), "path string, words long"), "manifest")
-    size = slices.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
-    bits = min(64, SPARE_BITS + int(size.words * ORDER).bit_length())
-    parts = 1 << max(0, int(size.words * ORDER // PARTITION_KEYS).bit_length())
+    written = scratch.write(rows.mapInArrow(_slices(scratch.path("slices"), SLICE_BYTES), "path string, words long"), "written")
+    size = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     each = max(1, min(size.n, 100_000))
-    sent = slices.select("path").repartition(each).mapInArrow(_send(bits, parts), "p int, path string, keys binary, counts binary")
-    back = sent.repartition(min(parts, 100_000), "p").sortWithinPartitions("p").mapInArrow(_count, "path string, p int, at binary, extra binary")
-    back = scratch.write(back, "counts")
-    every = back.union(slices.select("path", F.lit(-1).cast("int"), F.lit(None).cast("binary"), F.lit(None).cast("binary")))
-    scored = every.repartition(each, "path").sortWithinPartitions("path").mapInArrow(_score(bits, parts, int(size.words)), "doc_id long, n_words long, log10_score double")
+    parts = int(min(1 << PAGE_BITS, max(1, size.words // PARTITION_WORDS)))
+    # numbers of at most 31 bits: the scan's partition and the row in it
+    files = scratch.write(written.withColumn("id", F.monotonically_increasing_id()), "numbered")
+    row = F.col("id") % (1 << 33)
+    most = files.agg(F.coalesce(F.max(row), F.lit(0)).alias("m")).first().m
+    slices = files.select((F.shiftright("id", 33) * (most + 1) + row).alias("slice"), "path")
+    pages = slices.repartition(each).mapInArrow(_explode, "place long, page int, keys binary, counts array<int>")
+    dealt = pages.repartition(parts, "page")
+    grams = dealt.select("page", "place", "keys", F.posexplode("counts").alias("i", "n"))
+    grams = grams.select("page", F.expr(f"substring(keys, i * {SUFFIX} + 1, {SUFFIX})").alias("key"), "place", "i", "n")
+    with partitioned_by_page(spark):
+        back = scratch.write(held_elsewhere(grams).mapInArrow(_gather, "slice long, at array<int>, extra array<long>"), "counts")
+    none = [F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("extra")]
+    every = back.withColumn("path", F.lit(None).cast("string")).union(slices.select("slice", *none, "path"))
+    scored = every.repartition(each, "slice").sortWithinPartitions("slice").mapInArrow(_score(int(size.words), leave_out), "doc_id long, n_words long, log10_score double")
     return scored.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round(F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")), 6).alias("log10_per_word"))
 
 

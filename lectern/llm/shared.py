@@ -6,7 +6,6 @@ executor costs a reread and never a recomputation of the whole job. No local che
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -16,14 +15,21 @@ PREFIX = "lectern-scratch-"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder; a temporary one is configured only where none is set (tests)."""
+    """Qualified URI of the shared folder, spark.checkpoint.dir.
+
+    Where it is unset, a folder of this machine serves a local master (tests), and any other master is refused:
+    executors of a cluster don't share machine-local folders. A path without a scheme is resolved by Hadoop on the
+    driver, as Spark itself would, so Python tasks and Spark's writers see the same file system.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = os.environ.get("LECTERN_LOCAL_SCRATCH")
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix=PREFIX)
-            os.environ["LECTERN_LOCAL_SCRATCH"] = found
-    return found.rstrip("/")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/lectern-{spark.sparkContext.applicationId}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(found)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 class Scratch:

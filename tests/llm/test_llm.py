@@ -510,16 +510,31 @@ def test_lm_edges(spark):
 
 
 def test_lm_many_slices(spark, monkeypatch):
+    """Slices, pages and partitions of any size give the same scores."""
     docs = table(spark, "documents")
     want = {r.doc_id: r.log10_score for r in lm.score(spark, docs).collect()}
     monkeypatch.setattr(lm, "SLICE_BYTES", 20_000)
-    monkeypatch.setattr(lm, "PARTITION_KEYS", 5_000)
+    monkeypatch.setattr(lm, "PARTITION_WORDS", 5_000)
     assert {r.doc_id: r.log10_score for r in lm.score(spark, docs.repartition(3)).collect()} == want
 
 
-def test_packed_keys():
-    k = np.unique(np.random.default_rng(1).integers(0, 2**63, 999).astype(np.uint64))
-    assert (lm.unpack(lm.pack(k)) == k).all() and (lm.unsmall(lm.small(np.arange(70_000))) == np.arange(70_000)).all()
+def test_lm_own_counts(spark):
+    """With a document's own counts no n-gram is unseen: a text that occurs once has S = 1 after its first word."""
+    d = spark.createDataFrame([(1, "a b c"), (2, "d d e")], "doc_id long, text string")
+    found = {r.doc_id: r.log10_score for r in lm.score(spark, d, leave_out=False).collect()}
+    assert found == {1: round(float(np.log10(1 / 6)), 6), 2: round(float(np.log10(2 / 6 * 1 / 2)), 6)}
+
+
+def test_lm_order_and_pages():
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.integers(0, 2**63, 5000), r.integers(0, 50, 3000), (7 << 40) + r.integers(0, 2000, 3000)]).astype(np.uint64)
+    assert (lm.sorted_order(x) == np.argsort(x, kind="stable")).all() and len(lm.sorted_order(x[:0])) == 0
+    s = lm.Slice(pa.array([prose(random.Random(2), 4000), None, "a b a b"], pa.large_string()))
+    found = [(place, page, k, n) for b in s.pages(5) for place, page, k, n in zip(*(c.to_pylist() for c in b.columns))]
+    assert len(found) <= 1 << lm.PAGE_BITS
+    keys = [(page << 48) + int.from_bytes(k[6 * i : 6 * i + 6], "big") for _, page, k, n in found for i in range(len(n))]
+    assert keys == s.keys.tolist() and [x for *_, n in found for x in n] == s.counts.tolist()
+    assert [place - (5 << 32) for place, *_ in found] == np.cumsum([0] + [len(n) for *_, n in found])[:-1].tolist()
 
 
 # 8 decontamination

@@ -30,10 +30,12 @@ from .warc import open_fs
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text of a slice; a longer text is a slice of its own.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 14 << 20
 #: Words of the corpus for each partition of the count table.
 PARTITION_WORDS = 400_000
 PAGE_BITS, SUFFIX = 16, 6
+#: Entries of a page have one byte for the count; an n-gram of more is several entries.
+MOST = 127
 _U = np.uint64
 
 
@@ -48,6 +50,18 @@ def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.zeros(0, dtype=_U), first.astype(np.int64)
 
 
+def word_count(text: pa.Array) -> int:
+    total = 0
+    for _, _, data, offs in K.slices(text, 1 << 20):
+        inside = ~K.SPACE[data]
+        begins = inside.copy()
+        begins[1:] &= ~inside[:-1]
+        edges = offs[:-1][offs[:-1] < len(data)]
+        begins[edges] = inside[edges]
+        total += int(np.count_nonzero(begins))
+    return total
+
+
 def sorted_order(x: np.ndarray) -> np.ndarray:
     """A stable argsort of hashes: their first bits and the position sort as one integer, the few ties of unequal hashes again."""
     bits = max(1, int(len(x) - 1).bit_length()) if len(x) else 1
@@ -94,17 +108,28 @@ class Slice:
             self.own = np.empty(len(every), dtype=np.int32)
             self.own[order] = np.repeat(size, size)
 
+    def entries(self) -> np.ndarray:
+        """The key number of each entry: one for every MOST occurrences, or part of them."""
+        return np.repeat(np.arange(len(self.keys)), -(-self.counts // MOST))
+
     def pages(self, number: int) -> Iterator[pa.RecordBatch]:
-        """(place, page, keys, counts): the place joins the slice's ``number`` and the number of the page's first key."""
-        page = (self.keys >> _U(64 - PAGE_BITS)).astype(np.int32)
+        """(place, page, keys, counts): the place joins the slice's ``number`` and the number of the page's first entry."""
+        which = self.entries()
+        if not len(which):
+            return
+        every = self.keys[which]
+        counts = np.full(len(which), MOST, dtype=np.int8)
+        last = np.append(which[1:] != which[:-1], True)
+        counts[last] = (self.counts - 1) % MOST + 1
+        page = (every >> _U(64 - PAGE_BITS)).astype(np.int32)
         begin = np.flatnonzero(np.diff(page, prepend=-1))
         edge = np.append(begin, len(page))
         for lo in range(0, len(begin), 4096):
             e = edge[lo : lo + 4097]
-            rest = np.ascontiguousarray(self.keys[e[0] : e[-1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SUFFIX :])
+            rest = np.ascontiguousarray(every[e[0] : e[-1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SUFFIX :])
             keys = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(((e - e[0]) * SUFFIX).astype(np.int32)), pa.py_buffer(rest)])
-            counts = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(self.counts[e[0] : e[-1]].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array((number << 32) + e[:-1]), pa.array(page[e[:-1]]), keys, counts], names=["place", "page", "keys", "counts"])
+            n = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(counts[e[0] : e[-1]]))
+            yield pa.RecordBatch.from_arrays([pa.array((number << 32) + e[:-1]), pa.array(page[e[:-1]]), keys, n], names=["place", "page", "keys", "counts"])
 
     def scores(self, totals: np.ndarray, words: int, leave_out: bool = True) -> np.ndarray:
         """Sum of log10 S over each document's words."""
@@ -149,10 +174,10 @@ def _slices(folder: str, limit: int):
         def finish() -> None:
             nonlocal held, size
             table = pa.Table.from_batches(held)
-            words = len(word_hashes(_text(table))[0])
+            words = word_count(_text(table))
             files.create_dir(root, recursive=True)
             name = uuid.uuid4().hex
-            with files.open_output_stream(f"{root}/{name}", compression=None) as f, pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            with files.open_output_stream(f"{root}/{name}", compression=None) as f, pa.ipc.new_stream(f, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=5))) as w:
                 w.write_table(table)
             made.append((f"{folder}/{name}", words))
             held, size = [], 0
@@ -180,14 +205,26 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (place, i, extra) that follow each other from one page as one row (slice, at, extra)."""
+    """Rows (place, i, total) that follow each other from one page as one row (slice, at, total); entries are numbered by steps from the one before."""
     for batch in batches:
-        place, i, extra = (c.to_numpy() for c in batch.columns)
+        place, i, total = (c.to_numpy() for c in batch.columns)
         if len(place):
             begin = np.flatnonzero(np.diff(place, prepend=-1))
             offsets = pa.array(np.append(begin, len(place)).astype(np.int32))
-            at = ((place & 0xFFFFFFFF) + i).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(place[begin] >> 32), pa.ListArray.from_arrays(offsets, pa.array(at)), pa.ListArray.from_arrays(offsets, pa.array(extra))], names=["slice", "at", "extra"])
+            at = (place & 0xFFFFFFFF) + i
+            step = np.diff(at, prepend=0)
+            step[begin] = at[begin]
+            yield pa.RecordBatch.from_arrays([pa.array(place[begin] >> 32), pa.ListArray.from_arrays(offsets, pa.array(step.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(total))], names=["slice", "at", "total"])
+
+
+def _numbers(steps: pa.ListArray) -> np.ndarray:
+    """The entry numbers of rows made by ``_gather``."""
+    flat = steps.flatten().to_numpy().astype(np.int64)
+    lens = np.diff(steps.offsets.to_numpy())
+    lens = lens[lens > 0]
+    begin = np.cumsum(lens) - lens
+    sums = np.cumsum(flat)
+    return sums - np.repeat(sums[begin] - flat[begin], lens)
 
 
 def _score(words: int, leave_out: bool):
@@ -196,9 +233,9 @@ def _score(words: int, leave_out: bool):
     def finish(path: str, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         table = _read(path)
         s = Slice(_text(table), places=True)
-        totals = s.counts.astype(np.int64)
-        for at, extra in found:
-            totals[at] += extra
+        totals, which = s.counts.astype(np.int64), s.entries()
+        for at, total in found:
+            totals[which[at]] = total
         return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(s.words.counts.astype(np.int64)), pa.array(s.scores(totals, words, leave_out))], names=["doc_id", "n_words", "log10_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +250,7 @@ def _score(words: int, leave_out: bool):
                     now, path, found = number[lo], None, []
                 part = batch.slice(lo, hi - lo)
                 path = next(iter(part.column(3).drop_null().to_pylist()), path)
-                found.append((part.column(1).flatten().to_numpy(), part.column(2).flatten().to_numpy()))
+                found.append((_numbers(part.column(1)), part.column(2).flatten().to_numpy()))
         if now is not None:
             yield finish(path, found)
 
@@ -221,25 +258,28 @@ def _score(words: int, leave_out: bool):
 
 
 @contextmanager
-def partitioned_by_page(spark: SparkSession):
-    """Lets a join on (page, key) use the partitioning by page that both sides have, instead of a second exchange of the n-grams."""
-    name = "spark.sql.requireAllClusterKeysForCoPartition"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+def one_exchange(spark: SparkSession):
+    """Settings of the counting job: its join on (page, key) uses the partitioning by page that both sides have instead
+    of a second exchange of the n-grams, and the exchange is deleted once the job has written its result."""
+    wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def held_elsewhere(grams: DataFrame) -> DataFrame:
-    """(place, i, extra): for each row of ``grams`` (page, key, place, i, n) whose n-gram other slices hold too, how often they do.
+    """(place, i, total): for each row of ``grams`` (page, key, place, i, n) whose n-gram other slices hold too, the corpus's count.
 
     The count table is the sum by n-gram. N-grams of one slice leave it before the join; what is left has one row
     for each n-gram and is the side that is hashed, while the n-grams of the documents stream past it.
     """
     table = grams.groupBy("page", "key").agg(F.sum("n").alias("total"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi")
-    return grams.join(table.select("page", "key", "total").hint("shuffle_hash"), ["page", "key"]).select("place", "i", (F.col("total") - F.col("n")).alias("extra"))
+    return grams.join(table.select("page", "key", "total").hint("shuffle_hash"), ["page", "key"]).select("place", "i", "total")
 
 
 def score(spark: SparkSession, docs: DataFrame, leave_out: bool = True) -> DataFrame:
@@ -259,13 +299,13 @@ def score(spark: SparkSession, docs: DataFrame, leave_out: bool = True) -> DataF
     row = F.col("id") % (1 << 33)
     most = files.agg(F.coalesce(F.max(row), F.lit(0)).alias("m")).first().m
     slices = files.select((F.shiftright("id", 33) * (most + 1) + row).alias("slice"), "path")
-    pages = slices.repartition(each).mapInArrow(_explode, "place long, page int, keys binary, counts array<int>")
+    pages = slices.repartition(each).mapInArrow(_explode, "place long, page int, keys binary, counts array<tinyint>")
     dealt = pages.repartition(parts, "page")
     grams = dealt.select("page", "place", "keys", F.posexplode("counts").alias("i", "n"))
     grams = grams.select("page", F.expr(f"substring(keys, i * {SUFFIX} + 1, {SUFFIX})").alias("key"), "place", "i", "n")
-    with partitioned_by_page(spark):
-        back = scratch.write(held_elsewhere(grams).mapInArrow(_gather, "slice long, at array<int>, extra array<long>"), "counts")
-    none = [F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("extra")]
+    with one_exchange(spark):
+        back = scratch.write(held_elsewhere(grams).mapInArrow(_gather, "slice long, at array<int>, total array<long>"), "counts")
+    none = [F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("total")]
     every = back.withColumn("path", F.lit(None).cast("string")).union(slices.select("slice", *none, "path"))
     scored = every.repartition(each, "slice").sortWithinPartitions("slice").mapInArrow(_score(int(size.words), leave_out), "doc_id long, n_words long, log10_score double")
     return scored.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round(F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")), 6).alias("log10_per_word"))

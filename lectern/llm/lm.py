@@ -30,10 +30,12 @@ from .warc import open_fs
 ORDER = 3
 BACKOFF = 0.4
 #: Bytes of text of a slice; a longer text is a slice of its own.
-SLICE_BYTES = 14 << 20
+SLICE_BYTES = 16 << 20
 #: Words of the corpus for each partition of the count table.
 PARTITION_WORDS = 400_000
 PAGE_BITS, SUFFIX = 16, 6
+#: The pages are counted in so many rounds, so that only a part of the n-grams is on disk at a time.
+ROUNDS = 2
 #: Entries of a page have one byte for the count; an n-gram of more is several entries.
 MOST = 127
 _U = np.uint64
@@ -112,8 +114,8 @@ class Slice:
         """The key number of each entry: one for every MOST occurrences, or part of them."""
         return np.repeat(np.arange(len(self.keys)), -(-self.counts // MOST))
 
-    def pages(self, number: int) -> Iterator[pa.RecordBatch]:
-        """(place, page, keys, counts): the place joins the slice's ``number`` and the number of the page's first entry."""
+    def pages(self, number: int, turn: int = 0, rounds: int = 1) -> Iterator[pa.RecordBatch]:
+        """(place, page, keys, counts) of the pages of a round: the place joins the slice's ``number`` and the number of the page's first entry."""
         which = self.entries()
         if not len(which):
             return
@@ -122,8 +124,9 @@ class Slice:
         last = np.append(which[1:] != which[:-1], True)
         counts[last] = (self.counts - 1) % MOST + 1
         page = (every >> _U(64 - PAGE_BITS)).astype(np.int32)
-        begin = np.flatnonzero(np.diff(page, prepend=-1))
-        edge = np.append(begin, len(page))
+        lo, hi = np.searchsorted(page, [(turn << PAGE_BITS) // rounds, ((turn + 1) << PAGE_BITS) // rounds])
+        begin = lo + np.flatnonzero(np.diff(page[lo:hi], prepend=-1))
+        edge = np.append(begin, hi)
         for lo in range(0, len(begin), 4096):
             e = edge[lo : lo + 4097]
             rest = np.ascontiguousarray(every[e[0] : e[-1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SUFFIX :])
@@ -198,10 +201,13 @@ def _slices(folder: str, limit: int):
     return run
 
 
-def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for number, path in zip(*(c.to_pylist() for c in batch.columns)):
-            yield from Slice(_text(_read(path))).pages(number)
+def _explode(turn: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, path in zip(*(c.to_pylist() for c in batch.columns)):
+                yield from Slice(_text(_read(path))).pages(number, turn, ROUNDS)
+
+    return run
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,21 +299,24 @@ def score(spark: SparkSession, docs: DataFrame, leave_out: bool = True) -> DataF
     written = scratch.write(rows.mapInArrow(_slices(scratch.path("slices"), SLICE_BYTES), "path string, words long"), "written")
     size = written.agg(F.count("*").alias("n"), F.coalesce(F.sum("words"), F.lit(0)).alias("words")).first()
     each = max(1, min(size.n, 100_000))
-    parts = int(min(1 << PAGE_BITS, max(1, size.words // PARTITION_WORDS)))
+    parts = int(min(1 << PAGE_BITS, max(1, size.words // PARTITION_WORDS // ROUNDS)))
     # numbers of at most 31 bits: the scan's partition and the row in it
     files = scratch.write(written.withColumn("id", F.monotonically_increasing_id()), "numbered")
     row = F.col("id") % (1 << 33)
     most = files.agg(F.coalesce(F.max(row), F.lit(0)).alias("m")).first().m
     slices = files.select((F.shiftright("id", 33) * (most + 1) + row).alias("slice"), "path")
-    pages = slices.repartition(each).mapInArrow(_explode, "place long, page int, keys binary, counts array<tinyint>")
-    dealt = pages.repartition(parts, "page")
-    grams = dealt.select("page", "place", "keys", F.posexplode("counts").alias("i", "n"))
-    grams = grams.select("page", F.expr(f"substring(keys, i * {SUFFIX} + 1, {SUFFIX})").alias("key"), "place", "i", "n")
-    with one_exchange(spark):
-        back = scratch.write(held_elsewhere(grams).mapInArrow(_gather, "slice long, at array<int>, total array<long>"), "counts")
+    back = None
+    for turn in range(ROUNDS):
+        pages = slices.repartition(each).mapInArrow(_explode(turn), "place long, page int, keys binary, counts array<tinyint>")
+        dealt = pages.repartition(parts, "page")
+        grams = dealt.select("page", "place", "keys", F.posexplode("counts").alias("i", "n"))
+        grams = grams.select("page", F.expr(f"substring(keys, i * {SUFFIX} + 1, {SUFFIX})").alias("key"), "place", "i", "n")
+        with one_exchange(spark):
+            part = scratch.write(held_elsewhere(grams).mapInArrow(_gather, "slice long, at array<int>, total array<long>"), "counts")
+        back = part if back is None else back.union(part)
     none = [F.array().cast("array<int>").alias("at"), F.array().cast("array<long>").alias("total")]
     every = back.withColumn("path", F.lit(None).cast("string")).union(slices.select("slice", *none, "path"))
-    scored = every.repartition(each, "slice").sortWithinPartitions("slice").mapInArrow(_score(int(size.words), leave_out), "doc_id long, n_words long, log10_score double")
+    scored = every.repartition(3 * each, "slice").sortWithinPartitions("slice").mapInArrow(_score(int(size.words), leave_out), "doc_id long, n_words long, log10_score double")
     return scored.select("doc_id", "n_words", F.round("log10_score", 6).alias("log10_score"), F.round(F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")), 6).alias("log10_per_word"))
 
 

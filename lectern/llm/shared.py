@@ -44,7 +44,7 @@ class Scratch:
         """Write ``df`` as Parquet in the shared folder and return the reread table."""
         self._n += 1
         path = f"{self.root}/{self._n:03d}-{label}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def path(self, label: str) -> str:

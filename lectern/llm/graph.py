@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, spread_join
 
 
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
@@ -13,7 +13,7 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     Each round maps every node to its smallest neighbour or itself, replaces edge ends by their images and
     drops loops. Every node that stays has no smaller neighbour, so at least half of the nodes with edges go
     in a round; the smallest id of a component is never replaced. The rounds' maps are then composed.
-    Hubs are safe: minima combine on the map side and joins are equi-joins that AQE may split. Self loops
+    Hubs are safe: minima combine on the map side, and the edges of heavy nodes are joined where they lie. Self loops
     and repeated edges are allowed; null ends are ignored; no edges give an empty table.
     """
     live = edges.where("a is not null and b is not null")
@@ -21,11 +21,11 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     maps: list[DataFrame] = []
     while True:
         both = live.select("a", "b").union(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        to = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("to")), "map")
+        to = scratch.write(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("a"), F.min("b")).alias("to"), F.count("*").alias("m")), "map")
         maps.append(to)
+        half = spread_join(live, to.select(F.col("id").alias("a"), F.col("to").alias("x"), "m"), ["a"])
         step = (
-            live.join(to.select(F.col("id").alias("a"), F.col("to").alias("x")), "a")
-            .join(to.select(F.col("id").alias("b"), F.col("to").alias("y")), "b")
+            spread_join(half, to.select(F.col("id").alias("b"), F.col("to").alias("y"), "m"), ["b"])
             .where("x <> y")
             .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             .distinct()

@@ -7,10 +7,14 @@ after at most 2T rounds. Values of earlier rounds order before later ones, which
 agree with probability equal to the Jaccard similarity while large sets need one or two rounds only.
 
 Bands of R coordinates propose pairs. At similarity 0.75 and the production values (T = 128, R = 4) all
-32 bands miss with probability 5e-6. Texts with equal sets are one class, so copies are never paired.
-Each class is first verified against one leader of its buckets. Buckets that then still hold several
-components are compared exhaustively, in blocks of bounded size that count exact intersections in place
-and emit a spanning forest of the links found, never the pairs. A pair is a link only if the full sets satisfy 100 * inter >= 75 * union.
+32 bands miss with probability 5e-6. Texts with equal sets are one class, a node of its own whatever the doc_ids of its
+rows, so copies are never paired. Each class is first verified against one leader of its buckets. In buckets that then
+still hold several components, the members outside the largest component are compared with all others, in blocks of
+bounded size that count exact intersections in place and emit a spanning forest of the links found, never the pairs.
+A pair is a link only if the full sets satisfy 100 * inter >= 75 * union.
+
+Large groups are split everywhere: classes and minima combine on the map side, rows of heavy buckets, classes and hubs
+are joined by broadcast (``shared.spread_join``), and a leader's text is repeated for every FOLLOWERS texts compared with it.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import kernel as K
 from .graph import components
-from .shared import Scratch
+from .shared import Scratch, heavy_limit, spread_join
 
 T, R = 128, 4
 WORDS = 5
@@ -33,6 +37,8 @@ BAND = K.constants(R, 103)
 ROUND_TAG = K.constants(2 * T, 107)
 #: Bounds of a chunk; two chunks of a bucket meet in one block. Smaller chunks copy a large bucket's rows to more blocks.
 CHUNK_ROWS, CHUNK_SHINGLES = 512, 400_000
+#: Texts compared with one leader in a task, if the leader is heavy.
+FOLLOWERS = 512
 #: Shingles that more texts of a block hold are counted by a matrix product.
 LIGHT = 12
 _U = np.uint64
@@ -71,18 +77,23 @@ def sketches(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def set_keys(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Two 64-bit keys of each set, whatever the order of its members."""
+    sums = np.zeros((2, len(first) - 1), dtype=_U)
+    for k in range(2):
+        sums[k] = np.diff(np.concatenate([np.zeros(1, dtype=_U), np.cumsum(K.mix(sets ^ BAND[k]), dtype=_U)])[first])
+    return sums
+
+
 def digest(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, end row, set sizes, two set keys, band keys) of slices of a text column."""
     for lo, hi, data, offs in K.slices(column):
         sets, first = K.distinct_sets(*K.Words(data, offs).grams(WORDS, whole_if_short=True))
         sizes = np.diff(first)
-        sums = np.zeros((2, len(sizes)), dtype=_U)
-        for k in range(2):
-            sums[k] = np.diff(np.concatenate([np.zeros(1, dtype=_U), np.cumsum(K.mix(sets ^ BAND[k]), dtype=_U)])[first])
         sk = sketches(sets, first)
         bands = sk.reshape(len(sizes), T // R, R)
         keys = K.mix((bands * BAND).sum(axis=2, dtype=_U) + ROUND[: T // R])
-        yield lo, hi, sizes, sums, keys
+        yield lo, hi, sizes, set_keys(sets, first), keys
 
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,11 +127,30 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([a.take(at), b.take(at)], names=["a", "b"])
 
 
+def _own_text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (v, n, k1, k2, text) whose text has that class's set: a doc_id of several texts brings all of them here."""
+    for batch in batches:
+        keep: list[np.ndarray] = []
+        n, k1, k2 = (batch.column(c).to_numpy() for c in (1, 2, 3))
+        for lo, hi, data, offs in K.slices(batch.column(4)):
+            sets, first = K.distinct_sets(*K.Words(data, offs).grams(WORDS, whole_if_short=True))
+            sums = set_keys(sets, first).view(np.int64)
+            keep.append(lo + np.flatnonzero((np.diff(first) == n[lo:hi]) & (sums[0] == k1[lo:hi]) & (sums[1] == k2[lo:hi])))
+        at = pa.array(np.concatenate(keep) if keep else np.zeros(0, dtype=np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(4).take(at)], names=["v", "text"])
+
+
 def _verified(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
+    """The pairs (a, b) whose full sets are similar enough; a heavy b is dealt over many tasks."""
+    sizes = pairs.groupBy("b").agg(F.count("*").alias("m"))
+    heavy = sizes.where(F.col("m") >= heavy_limit(pairs.count())).select("b", F.ceil(F.col("m") / FOLLOWERS).cast("int").alias("parts"))
+    heavy = F.broadcast(heavy)  # at most MOST_HEAVY rows
+    left = texts.select(F.col("v").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("v").alias("b"), F.col("text").alias("text_b"))
+    parts = F.coalesce("parts", F.lit(1))
+    right = right.join(pairs.select("b").distinct(), "b").join(heavy, "b", "left").select("b", "text_b", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = pairs.join(heavy, "b", "left").select("a", "b", F.pmod(F.xxhash64("a"), parts).cast("int").alias("part"))
+    return dealt.join(left, "a").join(right, ["b", "part"]).select("a", "b", "text_a", "text_b").mapInArrow(_verify_batches, "a long, b long")
 
 
 def _links_within(sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -193,22 +223,30 @@ def _within_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield finish(held)
 
 
-def _linked_within(scratch: Scratch, labelled: DataFrame, reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) among the members of every bucket that still holds several components.
+def _linked_within(scratch: Scratch, labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) among the members ``labelled`` (key, v, n, c) of every bucket that still holds several components c.
 
-    Buckets of equal membership are compared once. A bucket is cut into chunks of bounded size, and every two
-    chunks meet in one block, whose exact intersections are counted in place: no pair is ever a row.
+    Buckets of equal membership are compared once. The largest component of a bucket, and the other members, are cut into chunks
+    of bounded size. Every chunk of the others meets all chunks in a block, whose exact intersections are counted in place: no
+    pair is ever a row, and members of the largest component do not meet each other.
     """
     h1, h2 = F.xxhash64("v"), F.xxhash64("v", F.lit(1))
-    keys = labelled.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2")).where("lo < hi")
-    keys = keys.groupBy("m", "x1", "x2").agg(F.min("key").alias("key")).select("key")
-    rest = scratch.write(labelled.select("key", "v").join(keys, "key").join(reps.select("v", "n"), "v"), "mixed")
-    sizes = rest.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / CHUNK_ROWS), F.ceil(F.sum("n") / CHUNK_SHINGLES), F.lit(1)).cast("int").alias("chunks"))
-    placed = rest.join(sizes, "key").withColumn("mine", F.pmod(F.xxhash64("v", F.lit(5)), F.col("chunks")).cast("int"))
-    # chunk c meets chunks 0..chunks-1; with one chunk the block is (0, 0)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    blocks = placed.select("key", "v", "mine", "chunks", other.alias("o")).where("mine <> o or chunks = 1").select("key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "v")
-    full = blocks.join(texts.select(F.col("doc_id").alias("v"), "text"), "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    by_component = labelled.groupBy("key", "c").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.bit_xor(h1).alias("x1"), F.bit_xor(h2).alias("x2"))
+    biggest = F.max_by("c", F.struct("m", "c"))
+    keys = by_component.groupBy("key").agg(biggest.alias("g"), F.count("*").alias("parts"), F.sum("m").alias("m"), F.max(F.struct("m", "c", "n")).alias("most"), F.sum("n").alias("n"), F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2")).where("parts > 1")
+    chunks = lambda m, n: F.greatest(F.ceil(m / CHUNK_ROWS), F.ceil(n / CHUNK_SHINGLES), F.lit(1)).cast("int")
+    keys = keys.select("key", "g", "m", "x1", "x2", chunks(F.col("most.m"), F.col("most.n")).alias("inner"), chunks(F.col("m") - F.col("most.m"), F.col("n") - F.col("most.n")).alias("outer"))
+    keys = scratch.write(keys.groupBy("m", "x1", "x2").agg(F.min(F.struct("key", "g", "inner", "outer")).alias("k")).select("m", "k.*"), "mixed")
+    rest = spread_join(labelled.select("key", "v", "c"), keys, ["key"])
+    inside = F.col("c") == F.col("g")
+    # blocks (i, j): i a chunk of the others; j one of theirs, not before it, or, from ``outer`` on, one of the largest component
+    mine = F.pmod(F.xxhash64("v", F.lit(5)), F.when(inside, F.col("inner")).otherwise(F.col("outer"))).cast("int")
+    placed = rest.select("key", "v", inside.alias("inside"), "inner", "outer", F.when(inside, mine + F.col("outer")).otherwise(mine).alias("mine"))
+    ends = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("inner") + F.col("outer"))
+    placed = placed.withColumn("o", F.explode(F.sequence(F.lit(0), ends - 1)))
+    # members of one chunk meet in each of its blocks; a chunk of the largest component is always among them
+    blocks = placed.where("mine <> o").select("key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "v")
+    full = blocks.join(texts, "v").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return full.select("key", "i", "j", "v", "text").mapInArrow(_within_batches, "a long, b long")
 
 
@@ -216,48 +254,36 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text; other columns are ignored).
 
     Null or blank text: n_shingles 0, linked with nothing, kept. Fewer than five words: the whole sequence is the
-    one shingle. Repeated rows: each row is returned; rows that share a doc_id are one node, all of them kept if it
-    is its component's smallest. Null doc_id: the row is its own component (null, kept). Ties: the smallest doc_id
-    names the component. Empty table: no rows.
+    one shingle. Repeated rows: each row is returned, kept if its doc_id is its component's smallest; rows that share a doc_id but
+    not a text are compared each by its own text. Null doc_id: the row is its own component (null, kept). Ties: the smallest
+    doc_id names the component. Empty table: no rows.
     """
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.write(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
     real = rows.where("n_shingles > 0 and doc_id is not null")
-    classes = real.groupBy("k1", "k2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    copied = scratch.write(classes.where("m > 1"), "copied")
-    # one row for each class: rows of larger classes but their representative go
-    followers = copied.select("k1", "k2", "n_shingles", "rep")
-    reps = (
-        real.join(followers, ["k1", "k2", "n_shingles"], "left")
-        .where("rep is null or doc_id = rep")
-        .select(F.col("doc_id").alias("v"), F.col("n_shingles").alias("n"), "bands")
-    )
-    reps = reps.dropDuplicates(["v", "n"])
-    reps = scratch.write(reps, "reps")
-    exploded = reps.select("v", F.explode("bands").alias("key"))
+    same = ["k1", "k2", "n_shingles"]
+    classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("bands").alias("bands"))
+    classes = scratch.write(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    exploded = classes.select("v", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = scratch.write(exploded.groupBy("key").agg(F.min("v").alias("leader"), F.count("*").alias("m")).where("m > 1"), "buckets")
-    members = scratch.write(exploded.join(buckets.select("key", "leader"), "key"), "members")
-    stars = members.where("v <> leader").groupBy(F.col("v").alias("a")).agg(F.min("leader").alias("b"))
-    involved = members.select(F.col("v").alias("doc_id")).distinct()
-    texts = scratch.write(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+    members = scratch.write(spread_join(exploded, buckets, ["key"]), "members")
+    stars = scratch.write(members.where("v <> leader").groupBy(F.col("v").alias("a")).agg(F.min("leader").alias("b")), "stars")
+    involved = classes.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("n_shingles").alias("n"), "k1", "k2", F.col("rep").alias("doc_id"))
+    found = docs.join(involved, "doc_id").select("v", "n", "k1", "k2", "text").mapInArrow(_own_text_batches, "v long, text string")
+    texts = scratch.write(found.dropDuplicates(["v"]), "texts")
     links = scratch.write(_verified(texts, stars), "links")
     first = components(scratch, links)
-    labelled = members.join(first.select(F.col("id").alias("v"), "component"), "v", "left").select("key", "v", F.coalesce("component", "v").alias("c"))
-    labelled = scratch.write(labelled, "labelled")
-    more = scratch.write(_linked_within(scratch, labelled, reps, texts), "links")
-    # links among the first pass's components finish the closure
-    named = first.select(F.col("id"), F.col("component"))
-    bridge = (
-        more.join(named.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left")
-        .join(named.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-        .select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    )
-    second = components(scratch, bridge)
-    nodes = first.select("id", "component").union(second.select("id", "id")).distinct()
-    final = nodes.join(second.select(F.col("id").alias("component"), F.col("component").alias("last")), "component", "left").select("id", F.coalesce("last", "component").alias("root"))
-    final = scratch.write(final.groupBy("id").agg(F.min("root").alias("root")).where("root < id"), "final")
-    # only documents of copied classes or linked nodes are joined; all others are their own component
-    classed = rows.join(followers, ["k1", "k2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("id"))
-    out = classed.join(final, "id", "left").select("doc_id", "n_shingles", F.coalesce("root", "id").alias("component_id"))
+    labelled = members.join(first.select(F.col("id").alias("v"), "component"), "v", "left").select("key", "v", "n", F.coalesce("component", "v").alias("c"))
+    more = scratch.write(_linked_within(scratch, scratch.write(labelled, "labelled"), texts), "links")
+    roots = components(scratch, links.union(more)).select(F.col("id").alias("v"), F.col("component").alias("root"))
+    named = scratch.write(classes.select(*same, "v", "rep", "m").join(roots, "v", "left").select(*same, "rep", "m", F.coalesce("root", "v").alias("root")), "named")
+    smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("m"))
+    # a row of a class without copies and links is its own component; all others get the component of their class
+    known = spread_join(named.withColumnRenamed("m", "copies"), smallest, ["root"]).where("copies > 1 or rep <> component_id")
+    known = scratch.write(known.select(*same, "component_id", F.col("copies").alias("m")), "known")
+    digits = rows.select("doc_id", *same)
+    out = spread_join(digits.where("n_shingles > 0"), known, same, "left").select("doc_id", "n_shingles", "component_id")
+    out = out.unionByName(digits.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 PREFIX = "lectern-scratch-"
 
@@ -50,3 +50,27 @@ class Scratch:
     def path(self, label: str) -> str:
         self._n += 1
         return f"{self.root}/{self._n:03d}-{label}"
+
+
+#: Keys that hold this part of all rows, or more, are heavy: there are at most so many, and they may be broadcast.
+MOST_HEAVY, LEAST_HEAVY = 100_000, 1000
+
+
+def heavy_limit(rows: int) -> int:
+    """Rows from which a key is heavy."""
+    return max(LEAST_HEAVY, -(-rows // MOST_HEAVY))
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined to ``right``, which has one row for each key and in ``m`` how many rows of ``left`` have it.
+
+    Heavy keys, at most MOST_HEAVY, are joined by broadcast where the rows of ``left`` lie; all others hold too few rows to
+    burden the task that their shuffle deals them to. ``left`` may be read twice, so it should be a written table. ``m`` is dropped.
+    """
+    size = right.agg(F.coalesce(F.sum("m"), F.lit(0)).alias("rows"), F.coalesce(F.max("m"), F.lit(0)).alias("most")).first()
+    limit = heavy_limit(size.rows)
+    if size.most < limit:
+        return left.join(right.drop("m"), on, how)
+    heavy = right.where(F.col("m") >= limit).drop("m")
+    cold = left.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(right.where(F.col("m") < limit).drop("m"), on, how)
+    return left.join(F.broadcast(heavy), on).unionByName(cold)

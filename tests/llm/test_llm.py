@@ -422,7 +422,13 @@ def mutated(r, text, share):
 
 
 @pytest.mark.parametrize("seed", range(2))
-def test_minhash(spark, seed):
+def test_minhash(spark, seed, monkeypatch):
+    """The second run takes every group of three as heavy and cuts buckets in chunks of seven."""
+    if seed:
+        monkeypatch.setattr(shared, "LEAST_HEAVY", 3)
+        monkeypatch.setattr(shared, "MOST_HEAVY", 10**9)
+        monkeypatch.setattr(minhash, "CHUNK_ROWS", 7)
+        monkeypatch.setattr(minhash, "FOLLOWERS", 2)
     r = random.Random(seed)
     texts = [prose(r, r.randrange(1, 120)) for _ in range(60)]
     base = prose(r, 150)
@@ -444,6 +450,14 @@ def test_minhash_edges(spark):
     assert minhash.near_duplicates(spark, empty_docs(spark)).count() == 0
 
 
+def test_minhash_of_a_doc_id_with_two_texts(spark):
+    r = random.Random(4)
+    a, b = prose(r, 60), prose(r, 60)
+    rows = [(9, a), (9, b), (9, b), (2, a + " more"), (3, b + " more")]
+    out = minhash.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x.doc_id, x.component_id, x.kept) for x in out) == [(2, 2, True), (3, 3, True), (9, 2, False), (9, 3, False), (9, 3, False)]
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(9)
     x = r.integers(0, 2**63, 3000).astype(np.uint64)

@@ -317,7 +317,14 @@ def brute_links(rows):
     return {i: (links[i], root(i)) for i, _ in rows}
 
 
-def test_embeddings(spark):
+@pytest.mark.parametrize("heavy", [False, True])
+def test_embeddings(spark, monkeypatch, heavy):
+    """Once with every cell cut in chunks of nine members and tiles of seven."""
+    if heavy:
+        monkeypatch.setattr(shared, "LEAST_HEAVY", 2)
+        monkeypatch.setattr(shared, "MOST_HEAVY", 10**9)
+        monkeypatch.setattr(embeddings, "MEMBERS", 9)
+        monkeypatch.setattr(embeddings, "QUERIES", 7)
     r = np.random.default_rng(5)
     base = r.standard_normal((150, 16))
     rows = [(i, v.tolist()) for i, v in enumerate(base)]
@@ -342,6 +349,29 @@ def test_embeddings_edges(spark):
     assert sorted((r.vec_id or -1, r.n_links, r.component_id or -1, r.kept) for r in out) == [(-1, 0, -1, True), (1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True)]
 
 
+def test_embedding_classes_have_two_keys(spark):
+    """A constant hashed after the vector continues the first key and would add nothing to it; hashed before, it does."""
+    d = spark.createDataFrame([([float(i), 1.0],) for i in range(50)], "e array<double>")
+    k = d.select(F.xxhash64("e", F.lit(1)).alias("after"), F.xxhash64(F.lit(1), "e").alias("before")).collect()
+    assert all(r.after != r.before for r in k) and len({r.before for r in k}) == 50
+
+
+def test_vec_id_with_two_vectors(spark):
+    rows = [(9, [1.0, 0.0]), (9, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.01, 1.0])]
+    out = embeddings.near_duplicates(spark, spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(2, 1, 2), (3, 1, 3), (9, 1, 2), (9, 1, 3)]
+
+
+def test_visits_weigh_queries_alike():
+    """A group that holds half of the sample does not decide how many cells are visited for the others."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((600, 8))
+    x[300:] = x[0] + 0.01 * r.standard_normal((300, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    codes = [embeddings.kmeans(x[:, :4], 6), embeddings.kmeans(x[:, 4:], 6)]
+    assert 1 <= embeddings.visits_needed(x, codes) <= 36
+
+
 def test_embeddings_table(spark):
     rows = [(r.vec_id, r.embedding) for r in table(spark, "embeddings").collect()]
     want = brute_links(rows)

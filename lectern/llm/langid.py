@@ -77,28 +77,29 @@ def _statistics() -> callable:
         seen = np.zeros(BUCKETS + 1, dtype=np.int64)
         rows = 0
         for batch in batches:
-            lang, chosen, text = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            lang, places, text = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi, buckets, at, _ in features(text):
-                langs, ids, counts = [], [], []
+                langs, at_, ids, counts = [], [], [], []
                 for d in range(hi - lo):
                     found = np.bincount(buckets[:, at[d] : at[d + 1]].ravel(), minlength=BUCKETS + 1)[:BUCKETS]
                     nz = np.flatnonzero(found)
                     seen[nz] += 1
                     rows += 1
-                    if chosen[lo + d]:
+                    if places[lo + d] is not None:
                         langs.append(lang[lo + d].as_py())
+                        at_.append(places[lo + d])
                         ids.append(nz.astype(np.uint16).tobytes())
                         counts.append(np.minimum(found[nz], 65535).astype(np.uint16).tobytes())
                 if langs:
-                    yield _row(langs, ids, counts)
+                    yield _row(langs, at_, ids, counts)
         seen[BUCKETS] = rows
         nz = np.flatnonzero(seen)
         if len(nz):
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(nz), pa.string()), pa.nulls(len(nz), pa.binary()), pa.nulls(len(nz), pa.binary()), pa.array(nz), pa.array(seen[nz])], names=["lang", "ids", "counts", "bucket", "df"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(nz), pa.string()), pa.nulls(len(nz), pa.int64()), pa.nulls(len(nz), pa.binary()), pa.nulls(len(nz), pa.binary()), pa.array(nz), pa.array(seen[nz])], names=["lang", "place", "ids", "counts", "bucket", "df"])
 
-    def _row(langs, ids, counts):
+    def _row(langs, places, ids, counts):
         n = len(langs)
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["lang", "ids", "counts", "bucket", "df"])
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.int64()), pa.array(ids, pa.binary()), pa.array(counts, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=["lang", "place", "ids", "counts", "bucket", "df"])
 
     return run
 
@@ -155,29 +156,38 @@ def calibrate(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((a + b) / 2))
 
 
+def _valid(name: str) -> F.Column:
+    """The text, empty for null; bytes that are not UTF-8 become replacement characters."""
+    return F.coalesce(F.make_valid_utf8(F.col(name).cast("string")), F.lit(""))
+
+
 def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from ``train`` (key, lang, text); None without labelled rows. The sample is the ``sample`` rows of least hash of key."""
+    """Learn from ``train`` (key, lang, text); None without labelled rows.
+
+    The sample is the ``sample`` rows of least hash of key, in the order of the hash and up to SAMPLE_BYTES of features,
+    so it does not depend on how rows arrive.
+    """
     train = train.where("lang is not null")
     total = train.count()
     if not total:
         return None
     share = min(1.0, 1.2 * sample / total + 50 / total)
     edge = int(-(2**63) + share * (2**64 - 1))
-    chosen = F.xxhash64(F.col("key").cast("string")) <= F.lit(min(edge, 2**63 - 1)).cast("long")
-    found = train.select("lang", chosen.alias("chosen"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_statistics(), "lang string, ids binary, counts binary, bucket long, df long")
-    merged = found.groupBy("lang", "ids", "counts", "bucket").agg(F.sum("df").alias("df"), F.count("*").alias("times"))
+    place = F.xxhash64(F.col("key").cast("string"))
+    place = F.when(place <= F.lit(min(edge, 2**63 - 1)).cast("long"), place)
+    found = train.select("lang", place.alias("place"), _valid("text").alias("text")).mapInArrow(_statistics(), "lang string, place long, ids binary, counts binary, bucket long, df long")
+    merged = found.groupBy("lang", "place", "ids", "counts", "bucket").agg(F.sum("df").alias("df"), F.count("*").alias("times"))
     frequency = np.zeros(BUCKETS + 1)
     raw, size = [], 0
-    for r in merged.toLocalIterator():
-        if r.bucket is None:
-            if size < SAMPLE_BYTES:
-                raw += [(r.lang, r.ids, r.counts)] * min(r.times, sample)
-                size += len(r.ids) + len(r.counts)
-        else:
+    for r in merged.orderBy("place", "lang", "ids", "counts", "bucket").toLocalIterator():  # document frequencies first, at most BUCKETS + 1 rows
+        if r.bucket is not None:
             frequency[r.bucket] = r.df
+        elif len(raw) < sample and size < SAMPLE_BYTES:
+            raw += [(r.lang, r.ids, r.counts)] * min(r.times, sample - len(raw))
+            size += len(r.ids) + len(r.counts)
+        else:
+            break
     raw = sorted(raw)
-    if len(raw) > sample:
-        raw = [raw[i] for i in np.sort(np.random.default_rng(3).permutation(len(raw))[:sample])]
     idf = np.append(np.log((1 + frequency[BUCKETS]) / (1 + frequency[:BUCKETS])) + 1, 0.0)
     languages = sorted({x[0] for x in raw})
     rows = []
@@ -227,7 +237,7 @@ def predict(spark: SparkSession, rows: DataFrame, model: Model | None) -> DataFr
             langs = pa.array([m.languages[i] if i >= 0 else UNDETERMINED for i in pred], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], langs, pa.array(np.where(pred >= 0, score, 0.0))], names=[*names, "lang_pred", "score"])
 
-    text = F.col("text").cast("string")
+    text = _valid("text")
     return rows.select(*[F.col(f"`{n}`") for n in names], text.alias("text"), F.coalesce(text.rlike("\\p{L}"), F.lit(False)).alias("letters")).mapInArrow(run, f"{kind}, lang_pred string, score double")
 
 

@@ -213,21 +213,27 @@ def _sample_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learn from the ``sample`` rows of ``labels`` (doc_id, quality) of least hash that are not held out.
+    """Learn from the ``sample`` rows of ``labels`` (doc_id, quality) of least hash that are not held out, up to SAMPLE_LINES lines.
+
+    A document's label is that of all its lines, so transitions learn how far labels persist, no more.
 
     Null labels and documents with conflicting labels are passed over. None if nothing is left.
     """
     usable = labels.where(~held_out("doc_id", 3, 1) & F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1))
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
-    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(sample)
+    place = F.xxhash64(F.col("doc_id").cast("string"))
+    chosen = usable.select("doc_id", F.col("quality").cast("int").alias("quality")).orderBy(place, "doc_id").limit(sample)
     # at most ``sample`` rows of 12 bytes
     joined = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-    rows = joined.mapInArrow(_sample_batches, "doc_id long, quality int, x binary, lens binary").dropDuplicates(["doc_id"])
+    seen = joined.mapInArrow(_sample_batches, "doc_id long, quality int, x binary, lens binary")
+    # one text of a repeated doc_id, and in the order of the hash, so that neither bound depends on how rows arrive
+    rows = seen.groupBy("doc_id", "quality").agg(F.min(F.struct("lens", "x")).alias("r")).select("doc_id", "quality", "r.*").orderBy(place, "doc_id")
     found, lines = [], 0
     for r in rows.toLocalIterator():
-        if lines < SAMPLE_LINES:
-            found.append(r)
-            lines += len(r.lens) // 4
+        if lines >= SAMPLE_LINES:
+            break
+        found.append(r)
+        lines += len(r.lens) // 4
     rows = sorted(found, key=lambda r: r.doc_id)
     if not rows:
         return None

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .shared import Scratch
+from .shared import Scratch, spread_join
 
 #: Compressed bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
@@ -143,17 +143,19 @@ def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), uri
 
 
-def write_archives(scratch: Scratch, pages: DataFrame, least_bytes: int = 0) -> DataFrame:
+def write_archives(scratch: Scratch, pages: DataFrame, least_bytes: int = 0, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Write a record for each row of ``pages`` (page_id, url, html); returns the manifest (path, records, bytes).
 
     Of records whose payloads are equal and have ``least_bytes`` or more, that with the largest page_id is a response and
     the others revisit it; rows without a page_id revisit too but are never referred to. Null html is an empty payload, a
-    null url an empty one. Rows that repeat the largest page_id are responses all.
+    null url an empty one; bytes that are not UTF-8 are written as they are. Rows that repeat the largest page_id are responses all.
+    A task begins another archive after ``roll_bytes``. Payloads of a heavy digest do not move: its keeper is brought to them.
     """
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b"")).alias("html"))
     rows = rows.withColumn("sha", F.unhex(F.sha1("html"))).withColumn("n", F.octet_length("html"))
     shared = rows.groupBy("sha", "n").agg(F.max("page_id").alias("keeper"), F.count("*").alias("m")).where((F.col("m") > 1) & (F.col("n") >= least_bytes) & F.col("keeper").isNotNull())
-    placed = rows.join(shared.select("sha", "n", "keeper"), ["sha", "n"], "left").select("page_id", "url", "html", "keeper")
+    shared = scratch.write(shared, "shared")
+    placed = spread_join(rows, shared, ["sha", "n"], "left").select("page_id", F.col("url").cast("binary").alias("url"), "html", "keeper")
     folder = scratch.path("archives")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +179,10 @@ def write_archives(scratch: Scratch, pages: DataFrame, least_bytes: int = 0) ->
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         path = f"{folder}/{name}"
                         out = files.open_output_stream(f"{root}/{name}", compression=None)
-                    record = encode_record(page_id, url, html.encode(), keeper, keeper is not None and page_id != keeper)
+                    record = encode_record(page_id, None if url is None else url.decode("utf-8", "replace"), html, keeper, keeper is not None and page_id != keeper)
                     out.write(record)
                     records, size = records + 1, size + len(record)
-                    if size >= ROLL_BYTES:
+                    if size >= roll_bytes:
                         finish()
         finish()
         if done:

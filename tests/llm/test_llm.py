@@ -142,6 +142,30 @@ def test_boundaries(seed):
     assert packing.boundaries(np.zeros(0), np.zeros(0), 3) == []
 
 
+def plain_padding(edges, counts, buckets):
+    """Least padding by the full recurrence over every split."""
+    best = {(0, 0): 0}
+    for k in range(1, buckets + 1):
+        for i in range(1, len(edges) + 1):
+            ways, pad = [], 0
+            for j in range(i - 1, -1, -1):
+                pad += (edges[i - 1] - edges[j]) * counts[j]
+                if (k - 1, j) in best:
+                    ways.append(best[k - 1, j] + pad)
+            if ways:
+                best[k, i] = min(ways)
+    return min(best[k, len(edges)] for k in range(1, buckets + 1) if (k, len(edges)) in best)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_boundaries_of_long_texts(seed):
+    r = np.random.default_rng(seed)
+    edges, counts = np.unique(np.concatenate([r.integers(1, 900, 80), (10 ** r.uniform(3, 5, 60)).astype(int)]), return_counts=True)
+    limits = packing.boundaries(edges.astype(float), counts, 5)
+    got = sum((min(b for b in limits if b >= x) - x) * c for x, c in zip(edges.tolist(), counts.tolist()))
+    assert got == plain_padding(edges.tolist(), counts.tolist(), 5)
+
+
 def test_packing(spark):
     docs = table(spark, "documents")
     out = packing.pack(spark, clash(docs), 4, 2000).collect()
@@ -156,9 +180,9 @@ def test_packing(spark):
         last = max(b for k, b in groups if k == bucket)
         assert sorted(r.slot for r in rows) == list(range(len(rows))) and (len(rows) == size or batch == last and len(rows) < size)
     edges, counts = np.unique(list(want.values()), return_counts=True)
-    coarse = packing.boundaries(edges.astype(float), counts, 4)
-    if max(want.values()) <= packing.EXACT:
-        assert {r.bucket_tokens for r in out} == set(coarse)
+    assert max(want.values()) > 1024
+    assert {r.bucket_tokens for r in out} == set(packing.boundaries(edges.astype(float), counts, 4))
+    assert sum(r.padding for r in out) == plain_padding(edges, counts, 4)
 
 
 def test_packing_edges(spark):
@@ -166,8 +190,9 @@ def test_packing_edges(spark):
     assert len(out) == 10 and len({(r.bucket, r.batch, r.slot) for r in out}) == 10
     assert [r.n_tokens for r in out if r.doc_id in (1, 2, 3)] == [1, 1, 1]
     assert packing.pack(spark, empty_docs(spark)).count() == 0
-    r = spark.range(1, 200_000, 997).select(F.col("id"), packing.bin_edge(F.col("id")).alias("e")).collect()
-    assert all(x.id <= x.e <= x.id * 1.01 + 1 for x in r)
+    null = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b").alias("text"))
+    out = packing.pack(spark, null).collect()
+    assert len({(r.bucket, r.batch, r.slot) for r in out}) == 3000
 
 
 # 3 licences
@@ -405,6 +430,18 @@ def test_quality_held_out(spark):
     assert len(out) > 80 and sum(r.predicted == r.quality for r in out) >= 0.95 * len(out)
 
 
+def test_samples_do_not_depend_on_arrival(spark, monkeypatch):
+    """Bounded samples are the rows of least hash, however the table is dealt."""
+    monkeypatch.setattr(quality, "SAMPLE_LINES", 300)
+    monkeypatch.setattr(langid, "SAMPLE_BYTES", 60_000)
+    docs, labels = table(spark, "documents"), table(spark, "labels")
+    train = docs.select(F.col("doc_id").alias("key"), "lang", "text")
+    a, b = langid.fit(train), langid.fit(train.repartition(5, "lang"))
+    assert (a.weights == b.weights).all() and a.temperature == b.temperature
+    c, d = quality.fit(docs, labels), quality.fit(docs.repartition(5, "lang"), labels)
+    assert (c.weights == d.weights).all() and c.slope == d.slope
+
+
 def test_quality_edges(spark):
     labels = table(spark, "labels")
     docs = table(spark, "documents")
@@ -687,6 +724,31 @@ def test_warc_edges(spark):
     assert warc.round_trip(spark, d.limit(0)).count() == 0
 
 
+def test_warc_rolls_and_heavy_digests(spark, monkeypatch):
+    monkeypatch.setattr(shared, "LEAST_HEAVY", 10)
+    d = spark.range(400).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, "popular").otherwise(F.sha2(F.col("id").cast("string"), 512)).alias("html"))
+    scratch = shared.Scratch(spark, "t")
+    manifest = warc.write_archives(scratch, d.repartition(2), roll_bytes=20_000)
+    found = manifest.collect()
+    assert len(found) > 4 and sum(r.records for r in found) == 400 and all(r.bytes < 21_000 for r in found)
+    out = {r.page_id: (r.record_type, r.refers_to) for r in warc.read_archives(manifest).collect()}
+    assert len(out) == 400 and all(out[i] == (("revisit", 399) if i % 3 == 0 and i < 399 else ("response", None)) for i in range(400))
+
+
+def broken(spark, column):
+    """Rows whose text is not valid UTF-8."""
+    return spark.sql(f"select id as doc_id, id as page_id, 'en' lang, 'u' url, cast(concat(x'4142e9', cast(concat(' one two three ', id) as binary), x'ff') as string) {column} from range(6)")
+
+
+def test_bytes_that_are_not_utf8(spark):
+    d = broken(spark, "text")
+    assert {r.lang_pred for r in langid.identify(spark, d).collect()} == {"en"}
+    assert minhash.near_duplicates(spark, d).count() == packing.pack(spark, d).count() == lm.score(spark, d).count() == 6
+    assert quality.quality(spark, d, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int")).count() == 6
+    out = warc.round_trip(spark, broken(spark, "html")).collect()
+    assert [r.payload_bytes for r in out] == [3 + len(" one two three 0") + 1] * 6
+
+
 def test_warc_reader_refuses_damage():
     good = warc.encode_record(1, "u", b"payload" * 50_000, None, False) + warc.encode_record(2, "u", b"", 1, True)
     assert [r["page_id"] for r in warc.read_records(io.BytesIO(good))] == [1, 2]

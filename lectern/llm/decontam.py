@@ -6,9 +6,10 @@ all windows of the training documents are joined to those of the benchmark; arou
 and the item are aligned and the run of most agreeing tokens is measured, among those with enough agreement,
 substitutions included. An item of under six tokens, which no mask fits, is found where it occurs whole.
 
-The seed table of the benchmark is shipped to the tasks (a broadcast hash join) in blocks of a bounded
-number of bytes; a benchmark beyond one block is processed block by block against all documents, so the
-broadcast never grows and nothing is left out.
+The seed table of a benchmark of up to BLOCK_BYTES is shipped to the tasks (a broadcast hash join). A larger one is
+joined by shuffle: a document's distinct seed hashes that pass a bit filter of the benchmark's become rows, are joined to
+the table of the benchmark's seeds and combined to a list of candidate items for each document; documents that have
+one are read again and verified against the texts of these items. So the documents are read twice whatever the benchmark's size.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from . import kernel as K
+from .shared import Scratch, spread_join
 
 #: Masks over token positions: a contiguous one, and ones that pass every 6th, 5th and 4th token substituted.
 MASKS = ("111111", "11011011", "111001011", "1100110011")
@@ -27,9 +29,10 @@ SEED_TOKENS = 6
 #: A run counts with so many agreeing tokens (or, for a shorter item, this share of it) and this share of agreement.
 MIN_MATCHES, MIN_COVER, MIN_IDENTITY = 10, 0.8, 0.75
 IDENTITY_IS, IDENTITY_OF = MIN_IDENTITY.as_integer_ratio()
-#: Bytes of benchmark text whose seeds are broadcast at once.
+#: Bytes of benchmark text whose seeds are broadcast; a larger benchmark is joined by shuffle.
 BLOCK_BYTES = 8 << 20
-FILTER_BITS = 22
+#: Bits of the filter of a broadcast table, and of the one that spares documents' seeds the shuffle (a byte each).
+FILTER_BITS, SHUFFLE_BITS = 22, 26
 SEPARATOR = np.ones(256, dtype=bool)
 SEPARATOR[48:58] = SEPARATOR[65:91] = SEPARATOR[97:123] = False
 SEPARATOR[128:] = False  # what ``spelled`` leaves of them are letters, marks and digits
@@ -149,34 +152,100 @@ def overlaps(table: Seeds, words: K.Words) -> Iterator[tuple[int, int, int, int,
         yield doc, item, *run
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def seed_keys(words: K.Words, short: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(document, hash) of all seeds, and of all runs of one to five tokens, as which items of that size count whole."""
+    for at, h in seeds(words):
+        yield np.searchsorted(words.first, at, side="right") - 1, h
+    for n in range(1, SEED_TOKENS):
+        if short:
+            at, h = sequences(words, n)
+            yield np.searchsorted(words.first, at, side="right") - 1, h
+        else:
+            item = np.flatnonzero(words.counts == n)
+            if len(item):
+                at, h = sequences(words, n)
+                yield item, h[np.searchsorted(at, words.first[item])]
+
+
+def _keys(kept: bytes | None):
+    """Distinct (row, h) of rows (row, text): a document's that pass the bit filter, or an item's own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        passes = None if kept is None else np.frombuffer(kept.value, dtype=bool)
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for lo, hi, data, offs in K.slices(batch.column(1)):
+                parts = []
+                for doc, h in seed_keys(K.Words(data, offs, SEPARATOR), kept is not None):
+                    some = slice(None) if passes is None else passes[h >> _U(64 - SHUFFLE_BITS)]
+                    parts.append(np.column_stack([doc[some].astype(_U), h[some]]))
+                if parts:
+                    found = np.unique(np.concatenate(parts), axis=0)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[lo + found[:, 0].astype(np.int64)]), pa.array(found[:, 1].view(np.int64))], names=["row", "h"])
+
+    return run
+
+
+def _verify_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, item, matches, ...) of rows (row, text, item, item text)."""
+    names = ["row", "item", "matches", "run_tokens", "doc_token", "item_token"]
+    for batch in batches:
+        out = []
+        for row, text, item, wanted in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            data, offs = K.buffers(pa.array([text], pa.large_string()))
+            for _, _, *rest in overlaps(Seeds([(item, wanted)]), K.Words(data, offs, SEPARATOR)):
+                out.append((row, item, *rest))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names)
+
+
+def _by_shuffle(scratch: Scratch, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``contaminated`` for rows (row, text) of documents and items, as (row, item, ...)."""
+    spark = scratch.spark
+    table = scratch.write(items.mapInArrow(_keys(None), "row long, h long"), "seeds").withColumnRenamed("row", "item")
+    slots = table.select(F.shiftrightunsigned("h", 64 - SHUFFLE_BITS).alias("slot")).distinct()
+    # the filter's set bytes, gathered in pieces of a bounded number
+    passes = np.zeros(1 << SHUFFLE_BITS, dtype=bool)
+    for r in slots.groupBy(F.floor(F.col("slot") / 4096).alias("p")).agg(F.collect_list("slot").alias("slots")).toLocalIterator():
+        passes[r.slots] = True
+    kept = spark.sparkContext.broadcast(passes.tobytes())
+    seen = scratch.write(docs.mapInArrow(_keys(kept), "row long, h long"), "hashes")
+    # the items of a seed are as many as the benchmark holds it; a seed of many documents is joined where these lie
+    shared = scratch.write(table.groupBy("h").agg(F.collect_list("item").alias("items")).join(seen.groupBy("h").agg(F.count("*").alias("m")), "h"), "shared")
+    pairs = scratch.write(spread_join(seen, shared, ["h"]).select("row", F.explode("items").alias("item")).distinct(), "candidates")
+    texts = docs.join(pairs, "row").join(items.select(F.col("row").alias("item"), F.col("text").alias("wanted")), "item")
+    return texts.select("row", "text", "item", "wanted").mapInArrow(_verify_rows, "row long, item long, matches long, run_tokens long, doc_token long, item_token long")
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """doc_id, item_id, matches, run_tokens, doc_token, item_token: one row for each row of ``docs`` and item that overlap.
 
     Null and empty texts overlap with nothing; items of one to five tokens only with documents that hold them whole. Among runs of equal matches the one first in
-    the document is reported. Repeated rows report each; a null doc_id or item_id is carried. Other columns are ignored.
+    the document is reported. Repeated rows report each; a null doc_id or item_id is carried. Other columns are ignored, but for
+    ``keys``, whole numbers that are returned instead of doc_id.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), spelled(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
+    keys = keys or ["doc_id"]
+    docs = docs.select(*[F.col(k).cast("long").alias(k) for k in keys], spelled(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text"))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), spelled(F.col("text")).alias("text")).where("text is not null").distinct()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    out = None
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()  # about BLOCK_BYTES
-        shared = spark.sparkContext.broadcast(Seeds(sorted(((r.item_id, r.text) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            table = shared.value
-            for batch in batches:
-                ids = batch.column(0)
-                for lo, hi, data, offs in K.slices(batch.column(1)):
-                    rows = list(overlaps(table, K.Words(data, offs, SEPARATOR)))
-                    if rows:
-                        doc, item, *rest = zip(*rows)
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.slice(lo, hi - lo).take(pa.array(doc)), pa.array([table.ids[i] for i in item], pa.int64()), *[pa.array(x, pa.int64()) for x in rest]],
-                            names=["doc_id", "item_id", "matches", "run_tokens", "doc_token", "item_token"],
-                        )
-
-        found = docs.mapInArrow(run, "doc_id long, item_id long, matches long, run_tokens long, doc_token long, item_token long")
-        out = found if out is None else out.union(found)
-    return out
+    kind = ", ".join(f"`{k}` long" for k in keys)
+    rest = ["matches", "run_tokens", "doc_token", "item_token"]
+    if items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n > BLOCK_BYTES:
+        scratch = Scratch(spark, "decontam")
+        items = scratch.write(items.withColumn("row", F.monotonically_increasing_id()), "items")
+        numbered = scratch.write(docs.withColumn("row", F.monotonically_increasing_id()), "docs")
+        found = scratch.write(_by_shuffle(scratch, numbered.select("row", "text"), items.select("row", "text")), "found")
+        return found.join(numbered.drop("text"), "row").join(items.select(F.col("row").alias("item"), "item_id"), "item").select(*keys, "item_id", *rest)
+    part = items.collect()  # at most BLOCK_BYTES of text
+    shared = spark.sparkContext.broadcast(Seeds(sorted(((r.item_id, r.text) for r in part), key=lambda r: (r[0] is None, r[0] or 0, r[1]))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for batch in batches:
+            for lo, hi, data, offs in K.slices(batch.column(len(keys))):
+                rows = list(overlaps(table, K.Words(data, offs, SEPARATOR)))
+                if rows:
+                    doc, item, *found = zip(*rows)
+                    at = pa.array(doc)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(lo, hi - lo).take(at) for k in range(len(keys))], pa.array([table.ids[i] for i in item], pa.int64()), *[pa.array(x, pa.int64()) for x in found]], names=[*keys, "item_id", *rest])
+
+    return docs.mapInArrow(run, f"{kind}, item_id long, matches long, run_tokens long, doc_token long, item_token long")

@@ -697,11 +697,15 @@ def test_decontamination_of_any_script_and_short_items(spark):
     assert [x.license_id for x in licenses.scan(spark, spark.createDataFrame([(1, notice)], "doc_id long, text string")).collect()] == ["MIT"]
 
 
-def test_decontamination_blocks(spark, monkeypatch):
-    d, b = table(spark, "documents"), table(spark, "benchmark")
-    want = sorted(decontam.contaminated(spark, d, b).collect())
+def test_decontamination_by_shuffle(spark, monkeypatch):
+    d = table(spark, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(None, "so few words here"), (-1, "x so few words here y")], "doc_id long, text string"))
+    b = table(spark, "benchmark").select("item_id", "text").unionByName(spark.createDataFrame([(77_777, "few words"), (77_778, None)], "item_id long, text string"))
+    order = lambda rows: sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+    want = order(decontam.contaminated(spark, d, b).collect())
     monkeypatch.setattr(decontam, "BLOCK_BYTES", 1500)
-    assert sorted(decontam.contaminated(spark, d, b).collect()) == want and want
+    monkeypatch.setattr(shared, "LEAST_HEAVY", 3)
+    assert {r.doc_id for r in want if r.item_id == 77_777} == {None, -1}
+    assert order(decontam.contaminated(spark, d, b).collect()) == want and want
 
 
 def test_decontamination_edges(spark):

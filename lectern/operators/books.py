@@ -124,8 +124,8 @@ def chunk_table(chunks: DataFrame, vocabulary: dict[str, int]) -> DataFrame:
 
 
 def book_table(chunks: DataFrame) -> DataFrame:
-    """(book_id, title, author, quality_score) from the chunk table: the mean of a book's scores."""
-    return chunks.groupBy("book_id").agg(F.min("title").alias("title"), F.min("author").alias("author"), F.avg("quality_score").alias("quality_score"))
+    """(book_id, title, author, quality_score, processed_date) from the chunk table: the mean of a book's scores, and today."""
+    return chunks.groupBy("book_id").agg(F.min("title").alias("title"), F.min("author").alias("author"), F.avg("quality_score").alias("quality_score")).withColumn("processed_date", F.current_date())
 
 
 def diagram_table(chunks: DataFrame) -> DataFrame:
@@ -151,6 +151,18 @@ def audit(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("book_id").agg(F.count("*").alias("chunks"), F.avg("quality_score").alias("avg_quality"), F.sum(F.col("is_instructional").cast("long")).alias("instructional"))
 
 
+def diagram_audit(diagrams: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(book_id, diagrams, ocr): diagrams of every book, and how many of them are not tied to a move."""
+    placed = diagrams.select("chunk_id", "is_ocr_based").join(chunks.select("chunk_id", "book_id"), "chunk_id")
+    return placed.groupBy("book_id").agg(F.count("*").alias("diagrams"), F.count_if("is_ocr_based").alias("ocr"))
+
+
+def marked_diagrams(answers: DataFrame, known: DataFrame, text: str = "text") -> DataFrame:
+    """``answers`` without the text, a row for each [DIAGRAM_ID:...] marker of it: ``marker`` and ``diagram`` of ``known`` (marker, diagram), ``missing`` where there is none."""
+    marks = answers.withColumn("marker", F.explode(F.regexp_extract_all(text, F.lit(r"\[DIAGRAM_ID:([^\]]+)\]"), F.lit(1)))).drop(text)
+    return marks.join(known, "marker", "left").withColumn("diagram", F.coalesce("diagram", F.lit("missing")))
+
+
 def at_position(chunks: DataFrame, books: DataFrame, fen: str, limit: int = 10) -> DataFrame:
     """The best chunks at a position, with title and author; ValueError for a malformed FEN."""
     wanted = chess.Position.parse(fen).fen()

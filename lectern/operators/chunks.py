@@ -114,6 +114,16 @@ def statistics(games: DataFrame, chunks: DataFrame) -> DataFrame:
     return out.withColumn("cost", F.col("tokens") * COST / 1e6)
 
 
+def first_games(games: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` games of each file."""
+    return games.where(F.col("game_no") <= limit)
+
+
+def first_errors(failed: DataFrame, most: int = 10) -> DataFrame:
+    """A report of the first errors (file, game_no) by file and number."""
+    return failed.orderBy("file", "game_no").limit(most)
+
+
 def by_source_type(games: DataFrame) -> DataFrame:
     """Games of each source type, most first."""
     return games.where("text is not null").groupBy("source_type").agg(F.count("*").alias("games")).orderBy(F.desc("games"), "source_type")

@@ -38,7 +38,7 @@ def canonical(fen: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def fen_after(text: pd.Series) -> pd.Series:
     """The position after the moves of a text from move 1, null without two plies."""
-    return text.map(lambda x: chess.moves_to_fen(x) if x else None)
+    return text.map(lambda x: pgn.position_after(x) if x else None)
 
 
 def cell(fen: Column, square: str) -> Column:

@@ -3,68 +3,59 @@
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions import chess, text as X
-from .games import FEN, analysis_url, fits_opening
+from .games import FEN, analysis_url, canonical, fen_after, fits_opening
 
 #: Context around a match: caption both sides, moves before and after; positions read and shown at most. Fixed values.
 CAPTION, BEFORE, AFTER, READ, SHOWN = 250, 500, 300, 5, 3
-NUMBERED = re.compile(r"\b(\d+)\.\s*[a-hNBRQKO]")
-FOUND = T.ArrayType(T.StructType().add("fen", "string").add("type", "string").add("context", "string").add("moves_parsed", "integer"))
+#: A numbered move in prose: a fixed pattern.
+NUMBERED = r"\b(\d+)\.\s*[a-hNBRQKO]"
 #: A move in prose, with its number if it has one: a fixed pattern.
 MOVE_IN_PROSE = r"((?:\d{1,3}(?:\.\.\.|\.)\s*)?[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:\=[QRBN])?[\+#]?|O-O(?:-O)?)"
+PLACES = T.ArrayType(T.StructType().add("kind", "string").add("at", "integer"))
 
 
-def found_in(text: str) -> list[tuple[str, str, str, int | None]]:
-    """(fen, type, context, moves_parsed) of valid FENs, then of move sequences not seen before, until five are found.
-
-    FENs are all taken, even repeated; the starting position never is.
-    """
-    context = lambda at: text[max(0, at - CAPTION) : at + CAPTION].strip()
-    rows: list[tuple[str, str, str, int | None]] = []
-    for m in re.finditer(FEN, text):
-        try:
-            chess.Position.parse(m[1])
-        except ValueError:
-            continue
-        if m[1] != chess.START:
-            rows.append((m[1], "fen", context(m.start()), None))
-    replay, seen = lru_cache(64)(chess.moves_to_fen), {chess.START}
-    for m in NUMBERED.finditer(text):
-        fen = replay(text[max(0, m.start() - BEFORE) : m.start() + AFTER])
-        if fen is None or fen in seen:
-            continue
-        side, number = fen.split()[1], int(fen.split()[5])
-        parsed = number - 1 + (side == "b")
-        if parsed < 1:
-            continue
-        seen.add(fen)
-        rows.append((fen, "moves", context(m.start()), parsed))
-        if len(rows) >= READ:
-            break
-    return rows
+@F.pandas_udf(PLACES)
+def places(text: pd.Series) -> pd.Series:
+    """Where FENs and numbered moves begin in a text: offsets, which no built-in function gives."""
+    return text.map(lambda x: [{"kind": k, "at": m.start()} for k, p in (("fen", FEN), ("moves", NUMBERED)) for m in re.finditer(p, x or "")])
 
 
-@F.pandas_udf(FOUND)
-def positions_in(text: pd.Series) -> pd.Series:
-    """The positions of a text; none for a null."""
-    return text.map(lambda x: [dict(zip(("fen", "type", "context", "moves_parsed"), r)) for r in found_in(x)] if x else [])
+def around(text: Column, at: Column, before: int, after: int) -> Column:
+    """The characters from ``before`` an offset to ``after`` it."""
+    begin = F.greatest(at - before, F.lit(0))
+    return F.substring(text, begin + 1, at + after - begin)
 
 
-def positions(rows: DataFrame, text: str = "text", query: str = "") -> DataFrame:
-    """``rows`` with ``positions``: up to three of fen, type, caption, moves_parsed, url.
+def positions(rows: DataFrame, key: str, text: str = "text", query: str = "") -> DataFrame:
+    """(key, place, fen, type, caption, moves_parsed, url): up to three positions of each text.
 
-    With a query that names an opening, those with its pawns; if none has them, all.
+    Matches become rows with the characters around them. Valid FENs come first, even repeated ones; then the positions that moves
+    reach, once each, until five are found. The starting position never counts. With a query that names an opening,
+    those with its pawns; if none has them, all. ``key`` tells texts apart; a null text has no positions.
     """
-    held = rows.withColumn("_p", positions_in(F.col(text)))
-    fits = F.filter("_p", lambda p: fits_opening(p["fen"], query))
-    best = F.slice(F.when(F.size(fits) > 0, fits).otherwise(F.col("_p")), 1, SHOWN)
-    shown = F.transform(best, lambda p: F.struct(p["fen"].alias("fen"), p["type"].alias("type"), X.clean_caption(p["context"]).alias("caption"), p["moves_parsed"].alias("moves_parsed"), analysis_url(p["fen"]).alias("url")))
-    return held.withColumn("positions", shown).drop("_p")
+    t = F.coalesce(F.col(text), F.lit(""))
+    hits = rows.select(F.col(key), F.explode(F.transform(places(t), lambda p: F.struct(p["kind"].alias("type"), p["at"].alias("at"), around(t, p["at"], 0, 120).alias("here"), around(t, p["at"], BEFORE, AFTER).alias("moves"), around(t, p["at"], CAPTION, CAPTION).alias("caption")))).alias("h"))
+    given = F.col("h.type") == "fen"
+    written = F.regexp_extract("h.here", FEN, 1)
+    found = hits.select(key, "h.type", "h.at", "h.caption", F.when(given, written).alias("_given"), fen_after(F.when(~given, F.col("h.moves"))).alias("_reached"))
+    found = found.withColumn("fen", F.when(canonical("_given").isNotNull(), F.col("_given")).otherwise(F.col("_reached"))).where(F.col("fen").isNotNull() & (F.col("fen") != chess.START))
+    clock = F.split("fen", " ")
+    found = found.withColumn("moves_parsed", F.when(F.col("type") == "moves", clock[5].cast("int") - 1 + (clock[1] == "b").cast("int"))).where("type = 'fen' or moves_parsed >= 1")
+    of, order = [F.col(key)], [F.col("type"), F.col("at")]
+    found = found.withColumn("_again", F.row_number().over(W.partitionBy(*of, "type", "fen").orderBy("at"))).where("type = 'fen' or _again = 1")
+    each = W.partitionBy(*of).orderBy(*order)
+    found = found.withColumns({"_n": F.row_number().over(each), "_fens": F.count_if(F.col("type") == "fen").over(W.partitionBy(*of))})
+    # the list is closed by the move that fills it, so one move is read whatever the number of FENs
+    found = found.where((F.col("_n") <= READ) | (F.col("type") == "fen") | (F.col("_n") == F.col("_fens") + 1))
+    found = found.withColumn("_fits", fits_opening(F.col("fen"), query))
+    found = found.withColumn("_some", F.max("_fits").over(W.partitionBy(*of))).where("_fits or not _some")
+    found = found.withColumn("place", F.row_number().over(each).cast("long")).where(F.col("place") <= SHOWN)
+    return found.select(key, "place", "fen", "type", X.clean_caption(X.squeezed(F.col("caption"))).alias("caption"), "moves_parsed", analysis_url(F.col("fen")).alias("url"))
 
 
 def moves_in(text: Column) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
 
 # Words that carry no meaning in a question, for the service and for the agent.
-FILLERS = "tell me about the a an what is".split()
-QUESTION_WORDS = (
-    "the is what who where how when a an in on of to for with by from about tell me show give explain please can you does do did which are "
-    "key concepts ideas topics essential main principle principles"
-).split()
+FILLERS = ["tell", "me", "about", "the", "a", "an", "what", "is"]
+QUESTION_WORDS = [
+    "the", "is", "what", "who", "where", "how", "when", "a", "an", "in", "on", "of", "to", "for", "with", "by", "from", "about",
+    "tell", "me", "show", "give", "explain", "please", "can", "you", "does", "do", "did", "which", "are",
+    "key", "concepts", "ideas", "topics", "essential", "main", "principle", "principles",
+]
 NOISE_TITLES = ["index", "bibliography", "contents", "about the author", "game list"]
 NOISE_PREFIXES = ["index of", "index (", "bibliography", "copyright", "contents", "preface"]
 
@@ -22,20 +25,25 @@ def query_terms(query: str, fillers: list[str] = FILLERS) -> list[str]:
     return [w for w in words if w not in fillers] or words
 
 
+def sanitised(query: str) -> str:
+    """A question without characters that the search syntax gives a meaning to, but for quotes and hyphens."""
+    return re.sub(r'[^\w\s"-]|_', "", query)
+
+
 def agent_terms(query: str) -> list[str]:
-    """Sanitised words of a question without question words; may be empty."""
-    safe = "".join(c for c in query if c.isalnum() or c.isspace() or c in '"-')
-    found = [t for t in safe.split() if t.replace("-", "").isalnum() or t.startswith('"')]
-    return [t.replace('"', "") for t in found if t.lower() not in QUESTION_WORDS]
+    """Lower-case words of a sanitised question without question words; may be empty."""
+    listed = (t for t in sanitised(query).lower().split() if t.startswith('"') or t.strip("-"))
+    return [t.replace('"', "") for t in listed if t not in QUESTION_WORDS and t.replace('"', "")]
 
 
 def matched(docs: DataFrame, words: list[str]) -> DataFrame:
     """``docs`` with the array ``tf`` of the words' counts, the length ``len`` and ``phrase``, the count of their sequence.
 
-    Words are letters, digits and underscores; null text has none of them.
+    Words are letters, digits and underscores, whatever their case; null text has none of them. Any other character of a word
+    stands for itself, so such a word occurs nowhere.
     """
     text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"tf": F.array(*[X.term_count(text, [k]) for k in words]), "len": X.term_total(text), "phrase": X.term_count(text, words) if words else F.lit(0).cast("long")})
+    return docs.withColumns({"tf": F.array(*[X.term_count(text, [k.lower()]) for k in words]), "len": X.term_total(text), "phrase": X.term_count(text, [k.lower() for k in words]) if words else F.lit(0).cast("long")})
 
 
 def bm25(docs: DataFrame, words: list[str], any_word: bool = False, phrase: bool = False) -> DataFrame:
@@ -68,15 +76,25 @@ def like(docs: DataFrame, query: str) -> DataFrame:
     return docs.where(F.col("text").ilike(f"%{query}%"))
 
 
-def without_noise(hits: DataFrame) -> DataFrame:
-    """Drops hits of front and back matter: by title and chapter (null ones too), and by how the content begins."""
+def without_noisy_titles(hits: DataFrame) -> DataFrame:
+    """Drops hits of front and back matter by title and chapter; null ones go too."""
     keep = F.lit(True)
     for k in NOISE_TITLES:
         keep = keep & ~F.col("title").ilike(f"%{k}%") & ~F.col("chapter").ilike(f"%{k}%")
+    return hits.where(keep)
+
+
+def without_noisy_starts(hits: DataFrame) -> DataFrame:
+    """Drops hits of front and back matter by how the content begins."""
     start = F.trim(F.lower(F.substring("content", 1, 100)))
+    noisy = F.lit(False)
     for p in NOISE_PREFIXES:
-        keep = keep & ~F.startswith(start, F.lit(p))
-    return hits.where(keep)
+        noisy = noisy | F.startswith(start, F.lit(p))
+    return hits.where(~noisy)
+
+
+def without_noise(hits: DataFrame) -> DataFrame:
+    return without_noisy_starts(without_noisy_titles(hits))
 
 
 def first_of_each(hits: DataFrame, order: list[Column]) -> DataFrame:
@@ -85,6 +103,16 @@ def first_of_each(hits: DataFrame, order: list[Column]) -> DataFrame:
     return hits.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+def numbered(hits: DataFrame, limit: int, order: list[Column]) -> DataFrame:
+    """The first ``limit`` hits with their ``rank``; a top-k report."""
+    return hits.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(W.orderBy(*order)).cast("long"))
+
+
+def with_total(hits: DataFrame) -> DataFrame:
+    """Limited hits with ``total``, how many there are."""
+    return hits.withColumn("total", F.count("*").over(W.partitionBy()))
+
+
 def with_snippets(rows: DataFrame, word: str, width: int = 160) -> DataFrame:
     """``rows`` (text) with ``snippet``: tokens around the first hit, the hit marked with ** and cuts with ...
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
-from ..operators import books, chunks, coach, corpus, games, positions, search
+from ..operators import books, chunks, coach, corpus, games, index, positions, search
 from ..sources import markup, pgn
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -15,7 +15,7 @@ ORACLE: dict[str, str] = {}
 
 WORDS = "regexp_extract_all(lower(text), '[^\\s]+')"
 TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
-SQUEEZED = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+SQUEEZED = "trim(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', ' ', 'g'))"
 SEARCH_WORDS = ["the", "with", "from"]
 OTHER_WORDS = ["that", "this"]
 VOCABULARY = {"in_the": 5, "plan": 3, "that": 2, "er": 1}
@@ -142,6 +142,68 @@ def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.context(hits.orderBy("score", "doc_id").limit(5).withColumn("rank", F.row_number().over(W.orderBy("score", "doc_id"))))
 
 
+@query(f"""with t as (select doc_id, unnest({TERMS}) term, unnest(range(len({TERMS}))) p from documents)
+select term, doc_id, count(*) tf, string_agg(p::varchar, ',' order by p) positions from t group by term, doc_id""")
+def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inverted index of all documents."""
+    found = index.build(docs(spark, sf_dir)).postings
+    return found.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs(spark, sf_dir).select("doc_id", F.col("source").alias("title"), F.col("lang").alias("chapter"), F.col("text").alias("content"))
+
+
+_NOISY_TITLE = " and ".join(f"title not ilike '%{k}%' and chapter not ilike '%{k}%'" for k in search.NOISE_TITLES)
+_NOISY_START = " or ".join(f"starts_with(trim(lower(left(content, 100))), '{p}')" for p in search.NOISE_PREFIXES)
+
+
+def _library_sql(hit: str) -> str:
+    return f"""with {hit}, h as (select doc_id, source title, lang chapter, text content, score from hit), k as (select * from h where {_NOISY_TITLE} order by score, doc_id limit 80),
+r as (select *, row_number() over (partition by title, left(content, 100) order by score, doc_id) f from k where not ({_NOISY_START}))
+select doc_id, {_ROUND.format('score')} score, row_number() over (order by score, doc_id) "rank" from r where f = 1 order by score, doc_id limit 10"""
+
+
+@query(_library_sql(_bm25_sql(["that", "under"], phrase=True)))
+def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question: its meaningful words as a phrase, or all of them; noise and repetitions go after an over-fetch."""
+    found = index.library(index.build(docs(spark, sf_dir)), _passages(spark, sf_dir), "What are the key ideas of THAT, under?")
+    return found.select("doc_id", X.rounded(F.col("score")).alias("score"), "rank")
+
+
+@query(_library_sql(_bm25_sql(["qqqq", "that"], "or")))
+def library_search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question of which no document has all the words."""
+    found = index.library(index.build(docs(spark, sf_dir)), _passages(spark, sf_dir), "Explain Qqqq: that")
+    return found.select("doc_id", X.rounded(F.col("score")).alias("score"), "rank")
+
+
+def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs(spark, sf_dir).select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return rows.withColumn("quality", F.coalesce("quality", F.lit(0)))
+
+
+@query(f"""with {_bm25_sql(['with', 'from'])}, r as (select doc_id, score, row_number() over (order by score, coalesce(quality, 0) desc, doc_id) "rank" from hit left join labels using (doc_id) qualify "rank" <= 10)
+select doc_id, {_ROUND.format('score')} score, "rank", count(*) over () total from r""")
+def concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of a query, from the index; the total counts the rows shown."""
+    found = index.concept(index.build(docs(spark, sf_dir)), _rated(spark, sf_dir), "What is the With from")
+    return found.select("doc_id", X.rounded(F.col("score")).alias("score"), "rank", "total")
+
+
+@query("""with r as (select doc_id, row_number() over (order by doc_id) "rank" from documents where text ilike '%MIT License.%' qualify "rank" <= 10) select doc_id, "rank", count(*) over () total from r""")
+def concept_search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query that the search syntax refuses becomes a substring search."""
+    return index.concept(index.build(docs(spark, sf_dir)), _rated(spark, sf_dir), "MIT License.").select("doc_id", "rank", "total")
+
+
+@query("select source book_id, count(*) diagrams, count(*) filter (quality = 1) ocr from labels join documents using (doc_id) group by source")
+def diagram_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand in for diagrams, documents for chunks, sources for books."""
+    marks = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), (F.col("quality") == 1).alias("is_ocr_based"))
+    return books.diagram_audit(marks, docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("book_id")))
+
+
 @query()
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A marked fragment for every document with the word; fragment choice is an approximation."""
@@ -376,9 +438,9 @@ select conv_id, turn, marker, coalesce(diagram, 'missing') diagram from m left j
 def diagram_marker_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers of answers joined to known diagrams, missing ones flagged."""
     text = F.concat(F.lit("see [DIAGRAM_ID:D"), (F.col("turn") % 3).cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
-    marks = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(F.regexp_extract_all(text, F.lit(r"\[DIAGRAM_ID:([^\]]+)\]"), F.lit(1))).alias("marker"))
+    answers = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", text.alias("text"))
     known = spark.createDataFrame([("D0", "first"), ("D1", "second")], "marker string, diagram string")
-    return marks.join(known, "marker", "left").select("conv_id", "turn", "marker", F.coalesce("diagram", F.lit("missing")).alias("diagram"))
+    return books.marked_diagrams(answers, known).select("conv_id", "turn", "marker", "diagram")
 
 
 @query("select * from (values (1, 'p', 'r', 'https://lichess.org/analysis/rnbqkbnr/pp1ppppp/8/2p5/4P3/8/PPPP1PPP/RNBQKBNR%20w%20KQkq%20-%200%202'), (2, '.', 'r', 'https://lichess.org/analysis/rnbqkbnr/pppp1ppp/4p3/8/4P3/8/PPPP1PPP/RNBQKBNR%20w%20KQkq%20-%200%202'), (3, '.', '.', 'https://lichess.org/analysis/8/8/8/8/8/8/8/K1k5%20w%20-%20-%200%201')) v(id, c5, a8, url)")
@@ -425,7 +487,10 @@ def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positions.positions(docs(spark, sf_dir)).select("doc_id", F.explode("positions").alias("p")).select("doc_id", "p.*")
+    """Positions in texts that are made of a line of moves for each document, cut at a length that its number gives."""
+    line = "Then 1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Ba4 Nf6 5. O-O Be7 ends it."
+    made = docs(spark, sf_dir).select("doc_id", F.concat(F.substring("text", 1, 20), F.lit(" "), F.substring(F.lit(line), F.lit(1), (F.col("doc_id") % 40 + 12).cast("int"))).alias("text"))
+    return positions.positions(made, "doc_id").select("doc_id", "place", "fen", "type", "moves_parsed", "url")
 
 
 @query("""select doc_id, list_transform(regexp_extract_all(text, '((?:\\d{1,3}(?:\\.\\.\\.|\\.)\\s*)?[KQRBN]?[a-h]?[1-8]?x?[a-h][1-8](?:\\=[QRBN])?[\\+#]?|O-O(?:-O)?)', 1),

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+import warnings
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import chess
@@ -14,6 +16,8 @@ from ..functions import chess
 ROSTER = ["Event", "Site", "Date", "Round", "White", "Black", "Result"]
 TOKEN = re.compile(r"\{[^}]*\}|;[^\n]*|\$\d+|\(|\)|[^\s(){};$]+")
 GAMES = "file string, game_no long, raw string"
+#: Comments and variations of a game in prose, move numbers, and words (named) that may be moves.
+PROSE = re.compile(r"\{[^}]*\}|\([^)]*\)|\d+\.+|(?P<word>(?:(?!\d+\.)[^\s{(])+)|[{(]")
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 MARKS = {"!": 1, "?": 2, "!!": 3, "??": 4, "!?": 5, "?!": 6}
 WIDTH = 80
@@ -22,6 +26,7 @@ WIDTH = 80
 def read(spark: SparkSession, path: str, recursive: bool = False, decoding: str = "fallback") -> DataFrame:
     """(file, game_no, raw) of every game in the ``*.pgn`` files of ``path``, but for those named ``._*``.
 
+    A single file may have its suffix in any case. A path that does not exist is warned of and has no games.
     Files are cut at ``[Event`` tags by the reader itself, so a file of any size is read in splits. Numbers follow the
     order in the file; blank blocks take no number.
 
@@ -29,7 +34,16 @@ def read(spark: SparkSession, path: str, recursive: bool = False, decoding: str
     """
     if decoding not in ("fallback", "ignore"):
         raise ValueError(f"decoding is fallback or ignore, not {decoding}")
-    raw = spark.read.option("lineSep", "\n[Event ").option("pathGlobFilter", "*.pgn").option("recursiveFileLookup", recursive).text(path)
+    reader = spark.read.option("lineSep", "\n[Event ").option("recursiveFileLookup", recursive)
+    if not path.lower().endswith(".pgn"):
+        reader = reader.option("pathGlobFilter", "*.pgn")
+    try:
+        raw = reader.text(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        warnings.warn(f"no games: {path} does not exist", stacklevel=2)
+        return spark.createDataFrame([], GAMES)
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("_name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
     rows = rows.where(~F.startswith("_name", F.lit("._"))).drop("_name")
     if decoding == "fallback":
@@ -54,9 +68,9 @@ def split(text: Column) -> Column:
 
 
 def header(raw: Column, tag: str, default: str = "Unknown") -> Column:
-    """A header's value, or the default."""
-    found = F.regexp_extract(raw, rf'\[{tag}\s+"([^"]*)"\]', 1)
-    return F.when(found == "", F.lit(default)).otherwise(found)
+    """A header's value, or the default where the tag is missing; an empty value is a value."""
+    pattern = rf'\[{tag}\s+"([^"]*)"\]'
+    return F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, 1)).otherwise(F.lit(default))
 
 
 class Node:
@@ -134,6 +148,27 @@ def tree(raw: str) -> Node:
     return root
 
 
+def played(words: Iterable[str], most: int) -> Iterator[chess.Position]:
+    """The positions after the legal moves among the words, up to ``most`` or a result."""
+    now = chess.Position.parse(chess.START)
+    for word in words:
+        if word in RESULTS or not most:
+            return
+        try:
+            now = now.play(now.san(word))
+        except ValueError:
+            continue
+        most -= 1
+        yield now
+
+
+def position_after(text: str, plies: int = 20, least: int = 2) -> str | None:
+    """The FEN that the moves of a prose text reach from its first ``1.``; None without ``least`` plies."""
+    begin = re.search(r"\b1\.\s*[a-hNBRQKO]", text)
+    reached = list(played((m["word"] for m in PROSE.finditer(text, begin.start()) if m["word"]), plies)) if begin else []
+    return reached[-1].fen() if len(reached) >= least else None
+
+
 def prune(node: Node) -> None:
     """Takes away the variations of a node that hold no comment, and those at the first move of each variation kept."""
     node.children[1:] = [v for v in node.children[1:] if v.commented()]

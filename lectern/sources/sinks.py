@@ -10,14 +10,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Chunks as JSON lines, one folder, as many files as partitions."""
-    chunks.write.mode("overwrite").json(path)
+def write_chunks(chunks: DataFrame, path: str, statistics: DataFrame | None = None) -> None:
+    """Chunks as JSON lines below ``path/chunks``, as many files as partitions; the run's statistics, one row, and the time of writing below ``path/stats``."""
+    chunks.write.mode("overwrite").json(f"{path}/chunks")
+    if statistics is not None:
+        statistics.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("overwrite").json(f"{path}/stats")
 
 
-def write_kept(games: DataFrame, path: str) -> None:
-    """Raw games in text files by threshold, separated by an empty line."""
-    games.select("threshold", F.concat("raw", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy("threshold").text(path)
+def write_kept(games: DataFrame, path: str, by: str = "threshold") -> None:
+    """Raw games in text files by threshold, or by bucket, separated by an empty line; a game at a bound that two buckets share is in both."""
+    games.select(by, F.concat("raw", F.lit("\n")).alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:
@@ -56,9 +58,13 @@ def upsert(new: DataFrame, path: str, key: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{path}/version={number}")
 
 
-def append_hashes(accepted: DataFrame, path: str) -> None:
-    """Accepted rows of the status machine (fp, gid, evs, and what else names their source) added to the state table."""
-    accepted.where("status in ('NEW GAME', 'UPGRADE', 'VERSION')").drop("status").write.mode("append").parquet(path)
+def append_hashes(accepted: DataFrame, path: str, batch: int) -> None:
+    """Accepted rows of the status machine (fp, gid, evs, and what else names their source) added to the state table as a batch.
+
+    A batch that is written again takes the place of its first attempt, so a retry doubles nothing.
+    """
+    kept = accepted.where("status in ('NEW GAME', 'UPGRADE', 'VERSION')").drop("status")
+    kept.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
 def error_log(failed: DataFrame, reason: str) -> DataFrame:

@@ -165,16 +165,32 @@ def test_positions(spark):
     sicilian = "rnbqkbnr/pp1ppppp/8/2p5/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
     text = f"See {sicilian} and {sicilian} and {chess.START} here. Then 1.e4 e5 2.Nf3 Nc6 ends it."
     rows = spark.createDataFrame([(1, text, "x"), (2, None, None), (3, "", "y"), (4, "1. e4 e5 2. Nf3", "z")], "id int, text string, _fen string")
-    got = {r.id: r.positions for r in positions.positions(rows).collect()}
+    got = {}
+    for r in positions.positions(rows, "id").orderBy("id", "place").collect():
+        got.setdefault(r.id, []).append(r)
     # the same FEN twice, then the game; the second move number gives no new position
     assert [(p.fen == sicilian, p.type) for p in got[1]] == [(True, "fen"), (True, "fen"), (False, "moves")]
     assert got[1][2].moves_parsed == 2 and got[1][0].url.endswith("%20w%20KQkq%20-%200%202")
-    assert got[2] == got[3] == [] and got[4][0].fen.split()[1] == "b"
-    only = positions.positions(rows, query="the Sicilian").where("id = 1").first().positions
+    assert set(got) == {1, 4} and got[4][0].fen.split()[1] == "b"
+    only = positions.positions(rows, "id", query="the Sicilian").where("id = 1").collect()
     assert [p.type for p in only] == ["fen", "fen"]
-    assert len(positions.positions(rows, query="french").where("id = 1").first().positions) == 3
+    assert positions.positions(rows, "id", query="french").where("id = 1").count() == 3
+
+
+def test_positions_stop_at_five(spark, monkeypatch):
     many = " ".join(f"{'x' * 900} 1. {a} {b}" for a, b in [("e4", "e5"), ("d4", "d5"), ("c4", "c5"), ("Nf3", "Nf6"), ("g3", "g6"), ("b3", "b6")])
-    assert len(positions.found_in(many)) == 5
+    fen = "rnbqkbnr/pp1ppppp/8/2p5/4P3/8/PPPP1PPP/RNBQKBNR w KQkq - 0 2"
+    rows = spark.createDataFrame([(1, many), (2, f"{fen} " * 6 + many)], "id int, text string")
+    monkeypatch.setattr(positions, "SHOWN", 99)
+    got = positions.positions(rows, "id").groupBy("id", "type").count().collect()
+    assert {(r.id, r.type): r["count"] for r in got} == {(1, "moves"): 5, (2, "fen"): 6, (2, "moves"): 1}
+
+
+def test_position_after():
+    assert pgn.position_after("After 1. e4 e5 2. Nf3 Nc6 3. Bb5 White presses.").startswith("r1bqkbnr/pppp1ppp/2n5/1B2p3/4P3/5N2")
+    assert pgn.position_after("1.d4 {solid} d5 (1... Nf6) 1-0 2. c4").split()[5] == "2"
+    assert pgn.position_after("12... Nf6 only") is None is pgn.position_after("1. e4 and no more")
+    assert pgn.position_after("1. e4 e5 2. Nf3 Nc6", plies=3).split()[1] == "b"
 
 
 def test_moves_and_lines(spark):
@@ -195,9 +211,9 @@ def test_keyed_sinks(spark, tmp_path):
     third = sinks.upsert(spark.createDataFrame([("a", 5)], "filename string, n int"), path, "filename")
     assert sorted(map(tuple, third.collect())) == [("a", 5), ("b", 9), ("c", 3)]
     rows = spark.createDataFrame([("f", "g", 1.0, "UPGRADE"), ("h", "i", 0.0, "REJECTED")], "fp string, gid string, evs double, status string")
-    sinks.append_hashes(rows, str(tmp_path / "h"))
-    sinks.append_hashes(rows, str(tmp_path / "h"))
-    assert [r.fp for r in spark.read.parquet(str(tmp_path / "h")).collect()] == ["f", "f"]
+    sinks.append_hashes(rows, str(tmp_path / "h"), 0)
+    sinks.append_hashes(rows, str(tmp_path / "h"), 0)
+    assert [r.fp for r in spark.read.parquet(str(tmp_path / "h")).collect()] == ["f"]
     assert tuple(corpus.acceptance(rows).first()) == (1, 1, 50.0) and corpus.acceptance(rows.limit(0)).first().percent == 0.0
     sinks.write_kept_list(spark.createDataFrame([("a", 71.256, 0.12345)], "file string, evs double, density double"), str(tmp_path / "k"), ["file", "evs", "density"])
     assert spark.read.text(str(tmp_path / "k")).where("value like 'a%'").first().value == "a,71.26,0.1235"
@@ -249,4 +265,4 @@ def test_empty_tables(spark):
     pages = spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")
     for rows in (pages, pages.limit(0)):
         assert markup.html_elements(rows, "page_id", "html").collect() == [] == books.fold_pages(rows, "page_id", "html").collect()
-    assert positions.positions(pages.limit(0), "html").collect() == [] == chunks.chunked(spark.createDataFrame([], pgn.GAMES)).collect()
+    assert positions.positions(pages.limit(0), "page_id", "html").collect() == [] == chunks.chunked(spark.createDataFrame([], pgn.GAMES)).collect()

@@ -9,7 +9,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import chess, scoring as S, text as X
-from lectern.operators import corpus, games, search
+from lectern.operators import corpus, games, index, search
 from lectern.plans import catalogue
 from lectern.sources import markup, pgn
 
@@ -124,6 +124,48 @@ def test_parsers():
     assert corpus.parse_buckets(["30-40=path", "bad"]) == [(30.0, 40.0, "path")]
     assert search.query_terms("Tell me about the pawn") == ["pawn"] and search.query_terms("what is") == ["what", "is"]
     assert search.agent_terms("What are the key ideas of isolated pawn?") == ["isolated", "pawn"]
+    assert search.agent_terms("Explain the Sicilian c-file, c++ & e4?") == ["sicilian", "c-file", "c", "e4"]
+    assert search.agent_terms("What is the?") == [] == search.agent_terms("- ?")
+
+
+def test_words_with_special_characters(spark):
+    d = spark.createDataFrame([(1, "the Sicilian, c-file (king side) e4 c++"), (2, "nothing")], "doc_id long, text string")
+    assert [r.doc_id for r in search.bm25(d, ["Sicilian"]).collect()] == [1]
+    assert search.bm25(d, ["c++"]).count() <= 1 and search.bm25(d, ["(king"]).count() <= 1 and search.bm25(d, ["e4?"]).count() == 0
+    rated = d.withColumn("quality", F.lit(0))
+    found = lambda q: [r.doc_id for r in index.concept(index.build(d), rated, q).collect()]
+    assert found("(king") == found("c++") == found("tell me about the SICILIAN") == found("side) E4") == [1] and found("e4?") == []
+    passages = d.select("doc_id", F.lit("t").alias("title"), F.lit("c").alias("chapter"), F.col("text").alias("content"))
+    asked = lambda q: [r.doc_id for r in index.library(index.build(d), passages, q).collect()]
+    assert asked("What is the Sicilian?") == asked("c-file!") == asked('"king side"') == [1] and asked('"side king"') == [] and asked("what is the") == []
+
+
+def test_index_ranks_as_the_scan_and_survives_writing(spark, tmp_path):
+    d = spark.createDataFrame([*TOY, (6, None)], "doc_id long, text string")
+    index.write(index.build(d), str(tmp_path / "i"))
+    stored = index.read(spark, str(tmp_path / "i"))
+    words = ["isolated", "queen", "pawn"]
+    for i in (index.build(d), stored):
+        got = {r.doc_id: round(r.score, 9) for r in index.ranked(i, [words, *[[w] for w in words]], lambda f: (f[0] > 0) | index._every(f[1:])).collect()}
+        assert got == {r.doc_id: round(r.score, 9) for r in search.bm25(d, words, phrase=True).collect()}
+    plan = stored.postings.where("bucket = 3 and term = 'pawn'")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,pawn)" in plan
+    assert index.library(index.build(d.limit(0)), d.limit(0).selectExpr("doc_id", "'' title", "'' chapter", "text content"), "pawn queen").count() == 0
+
+
+def test_missing_path_and_empty_header(spark, tmp_path):
+    from lectern.sources import pgn
+
+    with pytest.warns(UserWarning, match="does not exist"):
+        assert pgn.read(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "X.PGN").write_text('[Event ""]\n\n1. e4 *\n')
+    r = pgn.read(spark, str(tmp_path / "X.PGN")).select(pgn.header(F.col("raw"), "Event").alias("e"), pgn.header(F.col("raw"), "Site").alias("s")).first()
+    assert (r.e, r.s) == ("", "Unknown") and pgn.read(spark, str(tmp_path)).count() == 0
+
+
+def test_fingerprint_of_unicode_space(spark):
+    d = spark.createDataFrame([("a b",), ("a\u00a0\u2003b\u3000",), (" a\x1c b\x85",)], "t string")
+    assert d.select(X.fingerprint(F.col("t")).alias("f")).distinct().count() == 1
 
 
 TOY = [(1, "isolated queen pawn structure"), (2, "queen and pawn isolated far away text text"), (3, "isolated queen"), (4, "nothing here at all"), (5, "pawn pawn pawn")]
@@ -205,4 +247,9 @@ def test_sinks(spark, tmp_path):
     sinks.write_summary(d, str(tmp_path / "sum"))
     sinks.write_table(d, str(tmp_path / "t"), "threshold")
     assert spark.read.text(str(tmp_path / "kept")).where("value <> ''").count() == 2
-    assert spark.read.json(str(tmp_path / "chunks")).count() == spark.read.parquet(str(tmp_path / "t")).count() == 2
+    sinks.write_chunks(d, str(tmp_path / "chunks"), d.agg(F.count("*").alias("n")))
+    r = spark.read.json(str(tmp_path / "chunks" / "stats")).first()
+    assert r.n == 2 and r.created_at
+    sinks.write_kept(corpus.in_buckets(d.withColumnRenamed("threshold", "evs"), [(60.0, 70.0, "low"), (70.0, 90.0, "high")]), str(tmp_path / "b"), "bucket")
+    assert sorted((r.bucket, r.value) for r in spark.read.text(str(tmp_path / "b")).where("value <> ''").collect()) == [("high", "g1"), ("high", "g2"), ("low", "g1")]
+    assert spark.read.json(str(tmp_path / "chunks" / "chunks")).count() == spark.read.parquet(str(tmp_path / "t")).count() == 2

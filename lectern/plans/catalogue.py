@@ -161,7 +161,7 @@ _NOISY_START = " or ".join(f"starts_with(trim(lower(left(content, 100))), '{p}')
 def _library_sql(hit: str) -> str:
     return f"""with {hit}, h as (select doc_id, source title, lang chapter, text content, score from hit), k as (select * from h where {_NOISY_TITLE} order by score, doc_id limit 80),
 r as (select *, row_number() over (partition by title, left(content, 100) order by score, doc_id) f from k where not ({_NOISY_START}))
-select doc_id, {_ROUND.format('score')} score, row_number() over (order by score, doc_id) "rank" from r where f = 1 order by score, doc_id limit 10"""
+select doc_id, {_ROUND.format('score')} score, row_number() over (order by score, doc_id) "rank" from r where f = 1 order by "rank" limit 10"""
 
 
 @query(_library_sql(_bm25_sql(["that", "under"], phrase=True)))

@@ -9,7 +9,8 @@ key, partitioned by hash; the count table of the corpus is their sum by n-gram,
 other slices hold of an n-gram returns to its place and is summed per document. A slice is a run of documents of
 bounded size whose equal n-grams are combined before they travel, so a word of every document is one row for each
 slice. On the way the n-grams of a slice share pages: the page number is the first 16 bits of the key, a page holds
-the other 48 bits of its n-grams and their counts, and it becomes rows where it arrives. A slice has at most 2**16
+the next 16 and the last 32 bits of its n-grams and their counts, and it becomes rows where it arrives; these three
+integers of eight bytes in all are the columns that Spark groups and joins by. A slice has at most 2**16
 pages whatever the size of the corpus, so the rows of the exchange grow in proportion to it, and no key is shortened.
 """
 
@@ -33,7 +34,7 @@ BACKOFF = 0.4
 SLICE_BYTES = 16 << 20
 #: Words of the corpus for each partition of the count table.
 PARTITION_WORDS = 400_000
-PAGE_BITS, SUFFIX = 16, 6
+PAGE_BITS = 16
 #: The pages are counted in so many rounds, so that only a part of the n-grams is on disk at a time.
 ROUNDS = 2
 #: Entries of a page have one byte for the count; an n-gram of more is several entries.
@@ -115,7 +116,7 @@ class Slice:
         return np.repeat(np.arange(len(self.keys)), -(-self.counts // MOST))
 
     def pages(self, number: int, turn: int = 0, rounds: int = 1) -> Iterator[pa.RecordBatch]:
-        """(place, page, keys, counts) of the pages of a round: the place joins the slice's ``number`` and the number of the page's first entry."""
+        """(place, page, hi, lo, counts) of the pages of a round: the place joins the slice's ``number`` and the number of the page's first entry."""
         which = self.entries()
         if not len(which):
             return
@@ -124,15 +125,16 @@ class Slice:
         last = np.append(which[1:] != which[:-1], True)
         counts[last] = (self.counts - 1) % MOST + 1
         page = (every >> _U(64 - PAGE_BITS)).astype(np.int32)
-        lo, hi = np.searchsorted(page, [(turn << PAGE_BITS) // rounds, ((turn + 1) << PAGE_BITS) // rounds])
-        begin = lo + np.flatnonzero(np.diff(page[lo:hi], prepend=-1))
-        edge = np.append(begin, hi)
-        for lo in range(0, len(begin), 4096):
-            e = edge[lo : lo + 4097]
-            rest = np.ascontiguousarray(every[e[0] : e[-1]].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - SUFFIX :])
-            keys = pa.Array.from_buffers(pa.binary(), len(e) - 1, [None, pa.py_buffer(((e - e[0]) * SUFFIX).astype(np.int32)), pa.py_buffer(rest)])
-            n = pa.ListArray.from_arrays(pa.array((e - e[0]).astype(np.int32)), pa.array(counts[e[0] : e[-1]]))
-            yield pa.RecordBatch.from_arrays([pa.array((number << 32) + e[:-1]), pa.array(page[e[:-1]]), keys, n], names=["place", "page", "keys", "counts"])
+        hi, lo = (every >> _U(32)).astype(np.uint16).view(np.int16), every.astype(np.uint32).view(np.int32)
+        name = page.astype(np.uint16).view(np.int16)
+        first, end = np.searchsorted(page, [(turn << PAGE_BITS) // rounds, ((turn + 1) << PAGE_BITS) // rounds])
+        begin = first + np.flatnonzero(np.diff(page[first:end], prepend=-1))
+        edge = np.append(begin, end)
+        for at in range(0, len(begin), 4096):
+            e = edge[at : at + 4097]
+            offsets = pa.array((e - e[0]).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x[e[0] : e[-1]])) for x in (hi, lo, counts)]
+            yield pa.RecordBatch.from_arrays([pa.array((number << 32) + e[:-1]), pa.array(name[e[:-1]]), *lists], names=["place", "page", "hi", "lo", "counts"])
 
     def scores(self, totals: np.ndarray, words: int, leave_out: bool = True) -> np.ndarray:
         """Sum of log10 S over each document's words."""
@@ -265,7 +267,7 @@ def _score(words: int, leave_out: bool):
 
 @contextmanager
 def one_exchange(spark: SparkSession):
-    """Settings of the counting job: its join on (page, key) uses the partitioning by page that both sides have instead
+    """Settings of the counting job: its join on (page, hi, lo) uses the partitioning by page that both sides have instead
     of a second exchange of the n-grams, and the exchange is deleted once the job has written its result."""
     wanted = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
     before = {k: spark.conf.get(k) for k in wanted}
@@ -279,13 +281,14 @@ def one_exchange(spark: SparkSession):
 
 
 def held_elsewhere(grams: DataFrame) -> DataFrame:
-    """(place, i, total): for each row of ``grams`` (page, key, place, i, n) whose n-gram other slices hold too, the corpus's count.
+    """(place, i, total): for each row of ``grams`` (page, hi, lo, place, i, n) whose n-gram other slices hold too, the corpus's count.
 
     The count table is the sum by n-gram. N-grams of one slice leave it before the join; what is left has one row
     for each n-gram and is the side that is hashed, while the n-grams of the documents stream past it.
     """
-    table = grams.groupBy("page", "key").agg(F.sum("n").alias("total"), F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi")
-    return grams.join(table.select("page", "key", "total").hint("shuffle_hash"), ["page", "key"]).select("place", "i", "total")
+    key = ["page", "hi", "lo"]
+    table = grams.groupBy(*key).agg(F.sum("n").alias("total"), F.min("place").alias("least"), F.max("place").alias("most")).where("least < most")
+    return grams.join(table.select(*key, "total").hint("shuffle_hash"), key).select("place", "i", "total")
 
 
 def score(spark: SparkSession, docs: DataFrame, leave_out: bool = True) -> DataFrame:
@@ -307,10 +310,10 @@ def score(spark: SparkSession, docs: DataFrame, leave_out: bool = True) -> DataF
     slices = files.select((F.shiftright("id", 33) * (most + 1) + row).alias("slice"), "path")
     back = None
     for turn in range(ROUNDS):
-        pages = slices.repartition(each).mapInArrow(_explode(turn), "place long, page int, keys binary, counts array<tinyint>")
+        pages = slices.repartition(each).mapInArrow(_explode(turn), "place long, page smallint, hi array<smallint>, lo array<int>, counts array<tinyint>")
         dealt = pages.repartition(parts, "page")
-        grams = dealt.select("page", "place", "keys", F.posexplode("counts").alias("i", "n"))
-        grams = grams.select("page", F.expr(f"substring(keys, i * {SUFFIX} + 1, {SUFFIX})").alias("key"), "place", "i", "n")
+        grams = dealt.select("page", "place", "hi", "lo", F.posexplode("counts").alias("i", "n"))
+        grams = grams.select("page", F.col("hi")[F.col("i")].alias("hi"), F.col("lo")[F.col("i")].alias("lo"), "place", "i", "n")
         with one_exchange(spark):
             part = scratch.write(held_elsewhere(grams).mapInArrow(_gather, "slice long, at array<int>, total array<long>"), "counts")
         back = part if back is None else back.union(part)

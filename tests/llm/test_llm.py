@@ -611,9 +611,9 @@ def test_lm_order_and_pages():
     x = np.concatenate([r.integers(0, 2**63, 5000), r.integers(0, 50, 3000), (7 << 40) + r.integers(0, 2000, 3000)]).astype(np.uint64)
     assert (lm.sorted_order(x) == np.argsort(x, kind="stable")).all() and len(lm.sorted_order(x[:0])) == 0
     s = lm.Slice(pa.array([prose(random.Random(2), 4000), None, "a b " * 200], pa.large_string()))
-    found = [(place, page, k, n) for turn in range(3) for b in s.pages(5, turn, 3) for place, page, k, n in zip(*(c.to_pylist() for c in b.columns))]
+    found = [row for turn in range(3) for b in s.pages(5, turn, 3) for row in zip(*(c.to_pylist() for c in b.columns))]
     assert len(found) <= 1 << lm.PAGE_BITS
-    keys = [(page << 48) + int.from_bytes(k[6 * i : 6 * i + 6], "big") for _, page, k, n in found for i in range(len(n))]
+    keys = [((page & 0xFFFF) << 48) + ((h & 0xFFFF) << 32) + (x & 0xFFFFFFFF) for _, page, hi, lo, _ in found for h, x in zip(hi, lo, strict=True)]
     assert keys == s.keys[s.entries()].tolist() and np.bincount(s.entries(), [x for *_, n in found for x in n]).astype(int).tolist() == s.counts.tolist()
     assert [place - (5 << 32) for place, *_ in found] == np.cumsum([0] + [len(n) for *_, n in found])[:-1].tolist()
 

@@ -69,7 +69,11 @@ def sorted_order(x: np.ndarray) -> np.ndarray:
     """A stable argsort of hashes: their first bits and the position sort as one integer, the few ties of unequal hashes again."""
     bits = max(1, int(len(x) - 1).bit_length()) if len(x) else 1
     low = _U((1 << bits) - 1)
-    order = (np.sort((x & ~low) | np.arange(len(x), dtype=_U)) & low).astype(np.int64)
+    joined = x & ~low
+    joined |= np.arange(len(x), dtype=_U)
+    joined.sort()
+    joined &= low
+    order = joined.view(np.int64)
     y = x[order]
     for head in np.unique(y[1:][y[1:] < y[:-1]] >> _U(bits)):
         a, b = np.searchsorted(y >> _U(bits), [head, head + _U(1)])
@@ -103,12 +107,16 @@ class Slice:
         begin = np.flatnonzero(new)
         self.keys, self.counts = every[begin], np.diff(np.append(begin, len(every)))
         if places:
-            self.at = np.empty(len(every), dtype=np.int32)
-            self.at[order] = np.cumsum(new) - 1
+            self.at = np.empty(len(order), dtype=np.int32)
+            del every
+            number = np.cumsum(new, dtype=np.int32)
+            number -= 1
+            self.at[order] = number
+            del number
             new[1:] |= doc[1:] != doc[:-1]
             begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(every)))
-            self.own = np.empty(len(every), dtype=np.int32)
+            size = np.diff(np.append(begin, len(doc))).astype(np.int32)
+            self.own = np.empty(len(order), dtype=np.int32)
             self.own[order] = np.repeat(size, size)
 
     def entries(self) -> np.ndarray:
@@ -258,7 +266,7 @@ def _score(words: int, leave_out: bool):
                     now, path, found = number[lo], None, []
                 part = batch.slice(lo, hi - lo)
                 path = next(iter(part.column(3).drop_null().to_pylist()), path)
-                found.append((_numbers(part.column(1)), part.column(2).flatten().to_numpy()))
+                found.append((_numbers(part.column(1)).astype(np.int32), part.column(2).flatten().to_numpy()))
         if now is not None:
             yield finish(path, found)
 

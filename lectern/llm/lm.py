@@ -81,47 +81,62 @@ def sorted_order(x: np.ndarray) -> np.ndarray:
     return order
 
 
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each element differs from the one before."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = x[1:] != x[:-1]
+    return new
+
+
+def _unsorted(x: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty_like(x)
+    out[order] = x
+    return out
+
+
 class Slice:
     """The n-grams of a slice's documents: sorted distinct ``keys`` with ``counts``.
 
-    With ``places``, also each n-gram's key number ``at`` and its document's ``own`` count, order after order.
+    With ``places``, also for each order its n-grams' key numbers ``at`` and their documents' ``own`` counts; one order is sorted at a time.
     """
 
     def __init__(self, text: pa.Array, places: bool = False):
         words = K.Words.__new__(K.Words)
         words.hash, words.first = word_hashes(text)
         self.words = words
-        grams = [words.grams(n) for n in range(1, ORDER + 1)]
-        self.sizes = [len(g) for g, _ in grams]
-        every = np.concatenate([g for g, _ in grams])
         if places:
-            doc = np.concatenate([np.repeat(np.arange(len(f) - 1, dtype=np.int32), np.diff(f)) for _, f in grams])
-            del grams
-            order = sorted_order(every)  # n-grams of one order stand in document order, so equal keys come by document
-            every, doc = every[order], doc[order]
-        else:
-            del grams
-            every.sort()
-        new = np.ones(len(every), dtype=bool)
-        new[1:] = every[1:] != every[:-1]
-        begin = np.flatnonzero(new)
+            self._place()
+            return
+        every = np.concatenate([words.grams(n)[0] for n in range(1, ORDER + 1)])
+        every.sort()
+        begin = np.flatnonzero(_changes(every))
         self.keys, self.counts = every[begin], np.diff(np.append(begin, len(every)))
-        if places:
-            self.at = np.empty(len(order), dtype=np.int32)
-            del every
-            number = np.cumsum(new, dtype=np.int32)
-            number -= 1
-            self.at[order] = number
-            del number
-            new[1:] |= doc[1:] != doc[:-1]
+
+    def _place(self) -> None:
+        keys, counts, self.at, self.own = [], [], [], []
+        for n in range(1, ORDER + 1):
+            grams, first = self.words.grams(n)
+            doc = np.repeat(np.arange(len(first) - 1, dtype=np.int32), np.diff(first))
+            order = sorted_order(grams)  # n-grams stand in document order, so equal ones come by document
+            grams, doc = grams[order], doc[order]
+            new = _changes(grams)
             begin = np.flatnonzero(new)
-            size = np.diff(np.append(begin, len(doc))).astype(np.int32)
-            self.own = np.empty(len(order), dtype=np.int32)
-            self.own[order] = np.repeat(size, size)
+            keys.append(grams[begin])
+            counts.append(np.diff(np.append(begin, len(grams))))
+            self.at.append(_unsorted(np.cumsum(new, dtype=np.int32) - 1, order))
+            size = np.diff(np.append(np.flatnonzero(new | _changes(doc)), len(doc))).astype(np.int32)
+            self.own.append(_unsorted(np.repeat(size, size), order))
+        del grams, doc, order, new, begin, size
+        self.keys = np.unique(np.concatenate(keys))
+        self.counts = np.zeros(len(self.keys), dtype=np.int64)
+        for i in range(ORDER):
+            number = np.searchsorted(self.keys, keys[i]).astype(np.int32)
+            self.counts[number] += counts[i]
+            self.at[i] = number[self.at[i]]
 
     def entries(self) -> np.ndarray:
         """The key number of each entry: one for every MOST occurrences, or part of them."""
-        return np.repeat(np.arange(len(self.keys)), -(-self.counts // MOST))
+        return np.repeat(np.arange(len(self.keys), dtype=np.int32), -(-self.counts // MOST))
 
     def pages(self, number: int, turn: int = 0, rounds: int = 1) -> Iterator[pa.RecordBatch]:
         """(place, page, hi, lo, counts) of the pages of a round: the place joins the slice's ``number`` and the number of the page's first entry."""
@@ -147,8 +162,10 @@ class Slice:
     def scores(self, totals: np.ndarray, words: int, leave_out: bool = True) -> np.ndarray:
         """Sum of log10 S over each document's words."""
         counts = self.words.counts
-        found = totals[self.at] - self.own if leave_out else totals[self.at]
-        left = np.split(found, np.cumsum(self.sizes)[:-1])
+        left = [totals[at] for at in self.at]
+        if leave_out:
+            for found, own in zip(left, self.own, strict=True):
+                found -= own
         n = len(self.words.hash)
         place = np.arange(n) - np.repeat(self.words.first[:-1], counts)
         one = left[0]
@@ -249,9 +266,11 @@ def _score(words: int, leave_out: bool):
     def finish(path: str, found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         table = _read(path)
         s = Slice(_text(table), places=True)
-        totals, which = s.counts.astype(np.int64), s.entries()
+        totals, which = s.counts, s.entries()
         for at, total in found:
             totals[which[at]] = total
+        found.clear()
+        del which, s.keys, s.counts
         return pa.RecordBatch.from_arrays([table.column("doc_id").combine_chunks().cast(pa.int64()), pa.array(s.words.counts.astype(np.int64)), pa.array(s.scores(totals, words, leave_out))], names=["doc_id", "n_words", "log10_score"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -127,7 +127,10 @@ class Slice:
             size = np.diff(np.append(np.flatnonzero(new | _changes(doc)), len(doc))).astype(np.int32)
             self.own.append(_unsorted(np.repeat(size, size), order))
         del grams, doc, order, new, begin, size
-        self.keys = np.unique(np.concatenate(keys))
+        every = np.concatenate(keys)
+        every.sort(kind="stable")  # a merge of sorted runs
+        self.keys = every[_changes(every)]
+        del every
         self.counts = np.zeros(len(self.keys), dtype=np.int64)
         for i in range(ORDER):
             number = np.searchsorted(self.keys, keys[i]).astype(np.int32)

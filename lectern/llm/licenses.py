@@ -9,7 +9,9 @@ template, and the shortest of equals holds its first bigram once, so only those
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from heapq import heapify, heappop, heapreplace
 
 import numpy as np
 import pyarrow as pa
@@ -141,7 +143,7 @@ class Templates:
 
 
 def scan_slice(table: Templates, data: np.ndarray, offs: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
-    """(document, template, dice, first line, lines): the best run of words of each pair that reaches the threshold."""
+    """(document, template, dice, first line, lines): the runs of words that reach the threshold and share no word with a better one."""
     words = K.Words(data, offs, SEPARATOR)
     total = len(words.hash)
     if total < 2:
@@ -171,29 +173,110 @@ def scan_slice(table: Templates, data: np.ndarray, offs: np.ndarray, threshold:
             yield d, k, dice, int(line[s]), int(line[e] - line[s] + 1)
 
 
+class Taken:
+    """Disjoint runs of words, from first to last, that licences hold already."""
+
+    def __init__(self):
+        self.first: list[int] = []
+        self.last: list[int] = []
+
+    def add(self, first: int, last: int) -> None:
+        i = bisect_left(self.first, first)
+        self.first.insert(i, first)
+        self.last.insert(i, last)
+
+    def room(self, word: int, words: int) -> int:
+        """The last word that a run from ``word`` on may have; -1 if ``word`` is taken."""
+        i = bisect_right(self.first, word)
+        if i and self.last[i - 1] >= word:
+            return -1
+        return self.first[i] - 1 if i < len(self.first) else words - 1
+
+
+class Runs:
+    """The runs of one template in a document that reach the threshold, the best first: of equal Dice the shortest, then the first.
+
+    ``spots`` are the places of the template's bigrams; ``before`` and ``after`` the places where each bigram was last and is next.
+    A run is looked for from each spot up to where its first bigram recurs. It waits under the Dice of a run of all the template's bigrams
+    up to there, and is measured only once no other start promises more: an exact copy is found by its first word alone.
+    """
+
+    def __init__(self, spots: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, threshold: float):
+        self.before, self.after, self.size, self.threshold = before, after, size, threshold
+        self.most = size * (2 - threshold) / threshold + 1e-9
+        self.member = np.zeros(len(before), dtype=bool)
+        self.member[spots] = True
+        common = np.minimum(np.searchsorted(spots, after[spots]) - np.arange(len(spots)), size)
+        enough = common >= size * threshold / (2 - threshold) - 1e-9
+        common = common[enough]
+        self.waiting = list(zip((-2 * common / (common + size)).tolist(), common.tolist(), spots[enough].tolist(), [-1] * len(common)))
+        heapify(self.waiting)
+
+    def best(self, taken: Taken) -> tuple[float, int, int] | None:
+        """(dice, first word, last word) of the best run of words that are not ``taken``."""
+        while self.waiting:
+            dice, _, s, e = self.waiting[0]
+            room = taken.room(s, len(self.before) + 1)
+            if 0 <= e <= room:
+                return -dice, s, e
+            found = self.measured(s, min(int(self.after[s]), room))
+            if found is None:
+                heappop(self.waiting)
+            else:
+                heapreplace(self.waiting, found)
+        return None
+
+    def measured(self, s: int, limit: int) -> tuple[float, int, int, int] | None:
+        """The best run of bigrams from ``s`` on and before ``limit``."""
+        if limit <= s:
+            return None
+        width = int(2 * self.most) + 8
+        while True:
+            e = min(limit, s + width)
+            fresh = self.before[s:e] < s
+            distinct = np.cumsum(fresh)
+            if e == limit or distinct[-1] > self.most:
+                break
+            width *= 4
+        n = int(np.searchsorted(distinct, self.most, side="right"))
+        dice = 2 * np.cumsum(fresh[:n] & self.member[s : s + n]) / (distinct[:n] + self.size)
+        i = int(np.argmax(dice))
+        return (-float(dice[i]), i + 1, s, s + i + 1) if dice[i] >= self.threshold - 1e-12 else None
+
+
 def best_runs(table: Templates, candidates: np.ndarray, gram: np.ndarray, spots: np.ndarray, place: np.ndarray, threshold: float) -> list[tuple[int, float, int, int]]:
-    """(template, dice, first word, last word) of a document: the best run of each licence that shares no word with a better one's."""
+    """(template, dice, first word, last word) of a document: every licence's runs that share no word with a better one."""
     order = np.argsort(gram, kind="stable")
     again = np.flatnonzero(gram[order[1:]] == gram[order[:-1]])
     before, after = np.full(len(gram), -1), np.full(len(gram), len(gram))
     before[order[again + 1]], after[order[again]] = order[again], order[again + 1]
-    mine = {int(k): spots[table.has[place, k]] for k in candidates}
-    taken: list[tuple[int, int]] = []
-    open_ = {k: best_run(x, before, after, int(table.size[k]), threshold, taken) for k, x in mine.items()}
+    taken = Taken()
+    runs = {int(k): Runs(spots[table.has[place, k]], before, after, int(table.size[k]), threshold) for k in candidates}
+    open_: dict[int, tuple[int, float, int, int, int]] = {}
+
+    def look(k: int) -> None:
+        """Puts the best run that is left of template ``k`` into ``open_``."""
+        open_.pop(k, None)
+        if (run := runs[k].best(taken)) is not None:
+            dice, s, e = run
+            open_[k] = (weight(gram[s:e], dice, int(table.size[k])), dice, -k, s, e)
+
+    for k in runs:
+        look(k)
     out = []
-    while open_ := {k: run for k, run in open_.items() if run is not None}:
-        k, (dice, s, e) = max(open_.items(), key=lambda x: (weight(gram[x[1][1] : x[1][2]], x[1][0], int(table.size[x[0]])), x[1][0], -x[0]))
-        out.append((k, dice, s, e))
+    while open_:
+        _, dice, k, s, e = max(open_.values())
+        out.append((-k, dice, s, e))
         last = e - 1  # the words around that only repeat the run's bigrams belong to it
-        while e < len(gram) and before[e] >= s:
-            e += 1
-        while s > 0 and after[s - 1] <= last:
-            s -= 1
-        taken.append((s, e))
-        open_ = {o: run for o, run in open_.items() if table.names[o] != table.names[k]}
-        for o, (_, first, last) in list(open_.items()):
-            if first <= e and s <= last:
-                open_[o] = best_run(mine[o], before, after, int(table.size[o]), threshold, taken)
+        after_room, end = taken.room(e, len(gram) + 1), e
+        while end < after_room and before[end] >= s:
+            end += 1
+        start = s
+        while start > 0 and after[start - 1] <= last and taken.room(start - 1, len(gram) + 1) >= 0:
+            start -= 1
+        taken.add(start, end)
+        for o in [o for o, (_, _, _, first, final) in open_.items() if first <= end and start <= final]:
+            look(o)
     return out
 
 
@@ -207,45 +290,11 @@ def weight(grams: np.ndarray, dice: float, size: int) -> int:
     return 3 * common - distinct - size
 
 
-def best_run(spots: np.ndarray, before: np.ndarray, after: np.ndarray, size: int, threshold: float, taken: list[tuple[int, int]]) -> tuple[float, int, int] | None:
-    """(dice, first word, last word) of the best run of words outside those ``taken``; of equals the shortest, then the first.
-
-    ``spots`` are the places of the template's bigrams; ``before`` and ``after`` the places where each bigram was last and is next.
-    """
-    member = np.zeros(len(before), dtype=bool)
-    for first, last in taken:  # bigrams that touch these words
-        spots = spots[(spots < first - 1) | (spots > last)]
-    member[spots] = True
-    stop = after[spots]
-    for first, _ in taken:
-        stop = np.where(spots < first, np.minimum(stop, first - 1), stop)
-    most = size * (2 - threshold) / threshold + 1e-9
-    enough = np.searchsorted(spots, stop) - np.arange(len(spots)) >= size * threshold / (2 - threshold) - 1e-9
-    best = None
-    for s, limit in zip(spots[enough].tolist(), stop[enough].tolist()):
-        width = int(2 * most) + 8
-        while True:
-            e = min(limit, s + width)
-            fresh = before[s:e] < s
-            distinct = np.cumsum(fresh)
-            if e == limit or distinct[-1] > most:
-                break
-            width *= 4
-        n = int(np.searchsorted(distinct, most, side="right"))
-        dice = 2 * np.cumsum(fresh[:n] & member[s : s + n]) / (distinct[:n] + size)
-        i = int(np.argmax(dice))
-        if dice[i] >= threshold - 1e-12 and (best is None or (dice[i], -i) > (best[0], best[1] - best[2] + 1)):
-            best = (float(dice[i]), s, s + i + 1)
-            if dice[i] == 1 and i + 1 == size:
-                break
-    return best
-
-
 def scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, license_id, dice, first_line, n_lines for every row of ``docs`` (doc_id, text) and template that it holds.
+    """doc_id, license_id, dice, first_line, n_lines for every row of ``docs`` (doc_id, text) and every run of its words that is a licence.
 
-    A run of words never shares a word with a better run (see ``weight``) of another template; the lines are those of its first and last word. Lines count from 0. Null, empty and
-    one-word texts hold none. Of equally good runs the shortest is reported, then the first. Repeated rows report each; a null doc_id is carried; other columns are ignored; an empty table gives no rows.
+    A licence that a text holds twice has two rows. A run of words never shares a word with a better run (see ``weight``), of its own template or another; the lines are those
+    of its first and last word. Lines count from 0. Null, empty and one-word texts hold none. Of equally good runs the shortest is reported, then the first. Repeated rows report each; a null doc_id is carried; other columns are ignored; an empty table gives no rows.
     """
     shared = spark.sparkContext.broadcast(Templates(templates, VARIANTS if templates is TEMPLATES else {}))
 

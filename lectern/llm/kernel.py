@@ -75,9 +75,9 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
 
 
 class Words:
-    """Word hashes of a slice: ``hash``; document d owns words ``first[d]:first[d + 1]``; byte ``start`` and ``end`` of each."""
+    """Word hashes of a slice: ``hash``, unless not ``hashed``; document d owns words ``first[d]:first[d + 1]``; byte ``start`` and ``end`` of each."""
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE, fold: np.ndarray = LOWER):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, separator: np.ndarray = SPACE, fold: np.ndarray = LOWER, hashed: bool = True):
         inside = ~separator[data]
         before = np.empty(len(data), dtype=bool)
         after = np.empty(len(data), dtype=bool)
@@ -91,7 +91,7 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offs)
-        if not len(self.start):
+        if not len(self.start) or not hashed:
             self.hash = np.zeros(0, dtype=_U)
             return
         lens = self.end - self.start

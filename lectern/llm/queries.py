@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, embeddings, langid, licenses, lm, minhash, packing, quality, warc
+from . import chat, decontam, divergence, embeddings, langid, licenses, lm, minhash, packing, quality, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.truncated_replies(table(spark, sf_dir, "conversations")))
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_langid": op1_langid,
     "op2_packing": op2_packing,
@@ -64,10 +68,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLE: dict[str, str] = {
     "op7_lm": lm.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_chat": chat.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontam, divergence, embeddings, langid, licenses, lm, minhash, packing, quality, runs, warc
+from . import chat, decontam, divergence, embeddings, langid, licenses, lm, minhash, packing, quality, rules, runs, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(chat.truncated_replies(table(spark, sf_dir, "conversations")))
 
 
+def op11_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rules(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(spark, table(spark, sf_dir, "documents"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontam": op8_decontam,
     "op9_warc": op9_warc,
     "op10_chat": op10_chat,
+    "op11_rules": op11_rules,
     "op12_runs": op12_runs,
     "op13_divergence": op13_divergence,
 }

@@ -11,6 +11,15 @@ from lectern.llm.shared import Scratch
 LEAST_LANGUAGE = 0.3
 
 
+def _aside(docs: DataFrame) -> DataFrame:
+    """``docs`` with its columns under numbers, which no operator appends, and ``text`` once more to be read."""
+    return docs.select(*[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(docs.columns)], F.col("text"))
+
+
+def _restored(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with letters and a language of some certainty; without labelled rows, those with letters.
 
@@ -20,9 +29,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.where(~langid.held_out("doc_id", 5, 0)).select(F.col("doc_id").alias("key"), "lang", "text"))
     if model is None:
         return docs.where(F.col("text").rlike("\\p{L}"))
-    found = langid.predict(spark, docs.select(*[c for c in docs.columns if c != "text"], F.col("text").alias("body"), "text"), model)
-    kept = found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE))
-    return kept.withColumnRenamed("body", "text").select(*docs.columns)
+    found = langid.predict(spark, _aside(docs), model)
+    return _restored(found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_LANGUAGE)), docs)
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +41,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
     model = quality.fit(docs.select("doc_id", "text"), labels)
-    found = quality.scored(spark, docs.select(*[c for c in docs.columns if c != "text"], F.col("text").alias("body"), "text"), model)
-    return found.where("score >= 0.5").withColumnRenamed("body", "text").select(*docs.columns)
+    return _restored(quality.scored(spark, _aside(docs), model).where("score >= 0.5"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

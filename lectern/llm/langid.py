@@ -80,16 +80,20 @@ def _statistics() -> callable:
             lang, places, text = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
             for lo, hi, buckets, at, _ in features(text):
                 langs, at_, ids, counts = [], [], [], []
+                owner = np.tile(np.repeat(np.arange(hi - lo), np.diff(at)), len(buckets))
+                key, times = np.unique(owner * (BUCKETS + 1) + buckets.ravel(), return_counts=True)
+                inside = key % (BUCKETS + 1) < BUCKETS
+                key, times = key[inside], times[inside].astype(np.uint32)
+                bucket = key % (BUCKETS + 1)
+                seen[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                rows += hi - lo
+                first = np.searchsorted(key, np.arange(hi - lo + 1) * (BUCKETS + 1))
                 for d in range(hi - lo):
-                    found = np.bincount(buckets[:, at[d] : at[d + 1]].ravel(), minlength=BUCKETS + 1)[:BUCKETS]
-                    nz = np.flatnonzero(found)
-                    seen[nz] += 1
-                    rows += 1
                     if places[lo + d] is not None:
                         langs.append(lang[lo + d].as_py())
                         at_.append(places[lo + d])
-                        ids.append(nz.astype(np.uint16).tobytes())
-                        counts.append(np.minimum(found[nz], 65535).astype(np.uint16).tobytes())
+                        ids.append(bucket[first[d] : first[d + 1]].astype(np.uint16).tobytes())
+                        counts.append(times[first[d] : first[d + 1]].tobytes())
                 if langs:
                     yield _row(langs, at_, ids, counts)
         seen[BUCKETS] = rows
@@ -193,7 +197,7 @@ def fit(train: DataFrame, sample: int = SAMPLE) -> Model | None:
     rows = []
     for lang, ids, counts in raw:
         i = np.frombuffer(ids, dtype=np.uint16).astype(np.int64)
-        c = np.frombuffer(counts, dtype=np.uint16).astype(np.float64)
+        c = np.frombuffer(counts, dtype=np.uint32).astype(np.float64)
         x = c / max(1.0, c.sum()) * idf[i] * SCALE
         rows.append((np.append(i, BUCKETS), np.append(x, 1.0), languages.index(lang)))
     order = np.random.default_rng(5).permutation(len(rows))

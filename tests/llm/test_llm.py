@@ -892,3 +892,30 @@ def test_pipeline_run(spark):
     import corpus_pipeline as P
 
     assert P.run(spark, DATA).count() > 0
+
+
+def test_pipeline_with_clashing_columns(spark):
+    """Every stage carries extra columns named as the operators' own and keeps the rows that it keeps without them."""
+    import corpus_pipeline as P
+
+    docs = table(spark, "documents").limit(80).unionByName(odd_docs(spark).withColumn("doc_id", F.col("doc_id") + 50_000))
+    own = ["lang_pred", "letters", "_0", "_1", "rows", "kept", "n_tokens", "slot", "quality", "row", "u", "v", "k2", "item_id"]
+    extra = clash(docs).withColumns({c: F.lit(f"{c}!") for c in own})
+    for name, f in P.STAGES:
+        plain, out = f(spark, docs, DATA), f(spark, extra, DATA)
+        count = lambda df: sorted((r.doc_id is None, r.doc_id or 0) for r in df.collect())
+        if name == "pack":
+            assert count(out) == count(plain)
+            continue
+        assert count(out) == count(plain) and out.columns == extra.columns
+        assert {(r.score, r.body, r.lang_pred, r._0, r.letters) for r in out.collect()} == {("x", "x", "lang_pred!", "_0!", "letters!")}
+
+
+def test_language_counts_are_not_cut(spark):
+    """An n-gram that a text holds more than 65,535 times has its whole count."""
+    long, many = "a" * 70_000, spark.createDataFrame([(i, "x" * 9 + " y", "en") for i in range(30)] + [(99, "a" * 70_000, "de")], "key long, text string, lang string")
+    found = many.select("lang", F.lit(1).cast("long").alias("place"), "text").mapInArrow(langid._statistics(), "lang string, place long, ids binary, counts binary, bucket long, df long")
+    row = found.where("lang = 'de'").first()
+    assert np.frombuffer(row.counts, dtype=np.uint32).max() == len(long)
+    frequency = {r.bucket: r.df for r in found.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).collect()}
+    assert frequency[langid.BUCKETS] == 31 and max(v for k, v in frequency.items() if k < langid.BUCKETS) == 30

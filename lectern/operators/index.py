@@ -1,127 +1,372 @@
-"""Inverted index: postings of the corpus, ranking by BM25 from the postings of a query's words alone, and the query chains."""
+"""Inverted index in immutable segments, with block-wise top-k, and the query chains over it.
+
+An index is a folder of segments, of removals, and of versions that name the live ones. A segment holds the words of its documents
+(``docs``) and postings in blocks: the documents of a zone of ZONE that hold a term are one row, with the least length for each count of the
+term, from which the best score that the block can give follows exactly. Postings lie in folders by hash of the term, in order of term and zone, in small
+pages, so a search opens the folders of its words, reads the heads of their blocks, and then only the blocks that may hold a wanted document.
+
+Writing never changes a segment: new documents are a new one, what they replace and what is deleted is listed in a removal together with the counts of
+its terms, so statistics are those of a fresh build. Segments of like size are merged when there are FAN of them.
+"""
 
 from __future__ import annotations
 
+import functools
+import math
 import re
+import uuid
+import zlib
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
-from . import search as S
-
-#: Folders that the postings of an index are dealt to by hash of the term: a search reads those of its words.
-BUCKETS = 256
+from ..sources.files import Conflict, Log, exists, scratch_dir, stamp
+from . import grammar as G, search as S
+
+#: Documents of a zone as a power of two, segments of like size that are merged, words that a folder of postings is made for, folders at most.
+ZONE_BITS, FAN, BUCKET_WORDS, MOST_BUCKETS = 7, 4, 5_000_000, 4096
+#: Zones that are named in a scan, and ranges of them; beyond, zones are joined.
+MOST_NAMED, MOST_RANGES = 20_000, 256
+#: Scores within this of each other may change places by rounding.
+SLACK = 2e-6
 #: Hits that are read for each one shown, before noise and repetitions go: a fixed value.
 OVER_FETCH = 8
+_WRITE = {"compression": "zstd", "parquet.page.row.count.limit": "8", "parquet.page.size.row.check.min": "8"}
+_POSTINGS = "term string, zone long, n long, best array<struct<tf: int, len: int>>, docs array<long>, lens array<int>, tfs array<int>, places array<array<int>>"
+_DOCS = "zone long, doc_id long, words array<string>"
+_REMOVED, _REMOVED_TERMS = "segment string, zone long, doc_id long", "segment string, term string, df long"
 
 
-@dataclass
-class Index:
-    """``postings`` (bucket, term, doc_id, len, tf, positions) and ``stats``, one row (n, total) of documents and their terms."""
-
-    postings: DataFrame
-    stats: DataFrame
-
-
-def bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
-
-
-def build(docs: DataFrame) -> Index:
-    """The index of ``docs`` (doc_id, text). Terms are lower-case letters, digits and underscores; null texts have none, null doc_ids are not found.
-
-    The terms of a document are counted where it is read, so a row is sent for each distinct one. Nothing runs until it is searched or written.
-    """
-    rows = docs.select("doc_id", X.terms(F.coalesce("text", F.lit(""))).alias("w")).select("doc_id", F.size("w").cast("long").alias("len"), "w")
-    each = rows.where("doc_id is not null").select("doc_id", "len", F.posexplode("w").alias("at", "term"))
-    postings = each.groupBy("term", "doc_id", "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("at")).alias("positions"))
-    stats = docs.agg(F.count("*").alias("n"), F.coalesce(F.sum(X.term_total(F.coalesce("text", F.lit("")))), F.lit(0)).alias("total"))
-    return Index(postings.select(bucket(F.col("term")).alias("bucket"), "term", "doc_id", "len", "tf", "positions"), stats)
-
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
-def write(index: Index, path: str) -> None:
-    """The index below ``path``: postings in a folder for each bucket, in order of term and document, so that a search prunes
-    folders and row groups. The range partitioning cuts a term of many documents over several files."""
-    index.postings.repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    index.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+def _any(parts: list[Column]) -> Column:
+    """One of ``parts``, as a balanced tree."""
+    if not parts:
+        return F.lit(False)
+    while len(parts) > 1:
+        parts = [a | b for a, b in zip(parts[::2], parts[1::2])] + (parts[-1:] if len(parts) % 2 else [])
+    return parts[0]
 
-def read(spark: SparkSession, path: str) -> Index:
-    return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/stats"))
 
+def ranges(zones: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
+    """At most ``most`` ranges that hold all ``zones``, with the widest gaps between them."""
+    zones = sorted(zones)
+    gaps = sorted(((b - a, i) for i, (a, b) in enumerate(zip(zones, zones[1:])) if b - a > 1), reverse=True)[: most - 1]
+    cuts = sorted(i for _, i in gaps)
+    return [(zones[a + 1], zones[b]) for a, b in zip([-1, *cuts], [*cuts, len(zones) - 1])] if zones else []
 
-def units(words: list[str]) -> list[list[str]]:
-    """The terms of each word: a word with a hyphen is a sequence of several, one without letters and digits none."""
-    found = [re.findall(r"\w+", w.lower()) for w in words]
-    return [u for u in found if u]
 
-
-def ranked(index: Index, wanted: list[list[str]], keep: Callable[[list[Column]], Column]) -> DataFrame:
-    """(doc_id, score) of the documents that ``keep`` holds for, from the counts of the wanted sequences of terms; lower is better.
-
-    Only postings of these terms are read. Statistics are one row, whose join is a broadcast of fixed size.
+class Index:
+    """The index at ``path``, as of its last version or of the ``version`` given."""
+
+    def __init__(self, spark: SparkSession, path: str, version: int | None = None):
+        self.spark, self.path, self.log = spark, path.rstrip("/"), Log(spark, path)
+        self.state: dict = self.log.read(version) if version else self.log.latest()[1]
+
+    # reading
+
+    @property
+    def segments(self) -> dict[str, dict]:
+        return self.state.get("segments", {})
+
+    @property
+    def removed(self) -> dict[str, dict]:
+        """By removal: documents and words that it takes from each segment."""
+        return self.state.get("removed", {})
+
+    @property
+    def documents(self) -> int:
+        return sum(s["docs"] for s in self.segments.values()) - sum(x[0] for r in self.removed.values() for x in r.values())
+
+    @property
+    def total(self) -> int:
+        """Words of all documents."""
+        return sum(s["words"] for s in self.segments.values()) - sum(x[1] for r in self.removed.values() for x in r.values())
+
+    def _table(self, kind: str, name: str, schema: str) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{kind}/{name}")
+
+    def _removals(self, table: str, schema: str) -> DataFrame:
+        found = [self._table("removed", f"{r}/{table}", schema).where(F.col("segment").isin([*of])) for r, of in self.removed.items()]
+        return _union(found) if found else self.spark.createDataFrame([], schema)
+
+    def postings(self, phrases: list[G.Phrase], zones: dict[str, list[int]] | None = None) -> DataFrame:
+        """(segment, and _POSTINGS) of the words of ``phrases``, of these ``zones`` of segments alone if given."""
+        words = sorted({t for p in phrases for t in (p.terms[:-1] if p.prefix else p.terms)})
+        begins = sorted({p.terms[-1] for p in phrases if p.prefix})
+        wanted = _any(([F.col("term").isin(words)] if words else []) + [F.col("term").startswith(b) for b in begins])
+        parts = []
+        for name, s in self.segments.items():
+            if zones is not None and not zones.get(name):
+                continue
+            buckets = range(s["buckets"]) if begins else sorted({zlib.crc32(t.encode()) % s["buckets"] for t in words})
+            paths = [p for b in buckets if exists(self.spark, p := f"{self.path}/segments/{name}/postings/bucket={b}")]
+            if paths:
+                rows = self.spark.read.schema(_POSTINGS).parquet(*paths).where(wanted)
+                if zones is not None:
+                    rows = rows.where(_any([F.col("zone").between(a, b) for a, b in ranges(zones[name])])).where(F.col("zone").isin(zones[name]))
+                parts.append(rows.withColumn("segment", F.lit(name)))
+        return _union(parts) if parts else self.spark.createDataFrame([], _POSTINGS + ", segment string")
+
+    def all_postings(self) -> DataFrame:
+        """(term, doc_id, tf, positions) of every live document."""
+        parts = [self.spark.read.schema(_POSTINGS).parquet(f"{self.path}/segments/{n}/postings").drop("bucket").withColumn("segment", F.lit(n)) for n, s in self.segments.items() if s["words"]]
+        if not parts:
+            return self.spark.createDataFrame([], "term string, doc_id long, tf long, positions array<int>")
+        return self._hits(_union(parts), True).select("term", "doc_id", F.col("tf").cast("long").alias("tf"), F.col("places").alias("positions"))
+
+    def _hits(self, postings: DataFrame, places: bool) -> DataFrame:
+        """(segment, term, doc_id, len, tf, places if wanted) of the documents that have not been removed."""
+        columns = ["docs", "lens", "tfs"] + ["places"] * places
+        rows = postings.select("segment", "zone", "term", F.explode(F.arrays_zip(*columns)).alias("h"))
+        rows = rows.select("segment", "zone", "term", F.col("h.docs").alias("doc_id"), F.col("h.lens").cast("long").alias("len"), F.col("h.tfs").alias("tf"), *[F.col("h.places").alias("places")] * places)
+        return rows.join(self._removals("docs", _REMOVED), ["segment", "zone", "doc_id"], "left_anti") if self.removed else rows
+
+    # writing
+
+    def _new_segment(self, rows: DataFrame | None) -> tuple[str, dict]:
+        """A segment of ``rows`` (doc_id, words), written; its documents get their zones by the order they lie in."""
+        name = uuid.uuid4().hex[:12]
+        at = f"{self.path}/segments/{name}"
+        rows.select(F.shiftright(F.monotonically_increasing_id(), ZONE_BITS).alias("zone"), "doc_id", "words").write.options(**_WRITE).parquet(f"{at}/docs")
+        docs = self.spark.read.schema(_DOCS).parquet(f"{at}/docs")
+        size = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0)).alias("words")).first()
+        buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, size.words) / BUCKET_WORDS))))
+        if size.words:
+            each = docs.where("doc_id is not null").select("zone", "doc_id", F.size("words").alias("len"), F.posexplode("words").alias("at", "term"))
+            hits = each.groupBy("term", "zone", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
+            # a zone has ZONE documents at most
+            blocks = hits.groupBy("term", "zone").agg(F.array_sort(F.collect_list(F.struct("doc_id", "len", "tf", "at"))).alias("h"))
+            column = lambda name: F.transform("h", lambda x: x[name])
+            least = lambda tf: F.array_min(F.transform(F.filter("h", lambda x: x["tf"] == tf), lambda x: x["len"]))
+            best = F.transform(F.array_distinct(column("tf")), lambda t: F.struct(t.alias("tf"), least(t).alias("len")))
+            bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+            blocks = blocks.select(bucket.alias("bucket"), "term", "zone", F.size("h").cast("long").alias("n"), best.alias("best"), *[column(c).alias(n) for c, n in (("doc_id", "docs"), ("len", "lens"), ("tf", "tfs"), ("at", "places"))])
+            blocks.repartitionByRange("bucket", "term", "zone").sortWithinPartitions("bucket", "term", "zone").write.options(**_WRITE).partitionBy("bucket").parquet(f"{at}/postings")
+        return name, {"docs": size.docs, "words": size.words, "buckets": buckets}
+
+    def _live(self, state: dict, columns: list[str]) -> DataFrame:
+        """``columns`` of _DOCS and the segment of all documents of ``state`` that are not removed."""
+        parts = [self._table("segments", f"{n}/docs", _DOCS).select(F.lit(n).alias("segment"), *columns) for n in state.get("segments", {})]
+        if not parts:
+            return self.spark.createDataFrame([], _DOCS + ", segment string").select("segment", *columns)
+        rows, taken = _union(parts), Index.__new__(Index)
+        taken.spark, taken.path, taken.state = self.spark, self.path, state
+        return rows.join(taken._removals("docs", _REMOVED), ["segment", "zone", "doc_id"], "left_anti") if state.get("removed") else rows
+
+    def _remove(self, state: dict, ids: DataFrame, but: str | None = None) -> dict:
+        """``state`` without the live documents of ``ids`` (doc_id), except those of segment ``but``."""
+        state = {**state, "segments": {n: s for n, s in state.get("segments", {}).items()}, "removed": {**state.get("removed", {})}}
+        others = {**state, "segments": {n: s for n, s in state["segments"].items() if n != but}}
+        if not others["segments"]:
+            return state
+        name = uuid.uuid4().hex[:12]
+        at = f"{self.path}/removed/{name}"
+        self._live(others, ["zone", "doc_id"]).join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select("segment", "zone", "doc_id").write.parquet(f"{at}/docs")
+        gone = self.spark.read.schema(_REMOVED).parquet(f"{at}/docs")
+        if gone.isEmpty():
+            return state
+        words = self._live(others, ["zone", "doc_id", "words"]).join(gone, ["segment", "zone", "doc_id"], "left_semi")
+        words.select("segment", F.explode(F.array_distinct("words")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df")).sort("term").write.parquet(f"{at}/terms")
+        size = words.groupBy("segment").agg(F.count("*").alias("docs"), F.sum(F.size("words").cast("long")).alias("words"))
+        state["removed"][name] = {r.segment: [r.docs, r.words] for r in size.collect()}  # a row for each segment
+        return state
+
+    def write(self, docs: DataFrame) -> Index:
+        """``docs`` (doc_id, text) added, in place of live documents of the same ids. Of rows of one doc_id the text last in order counts.
+
+        Null texts have no terms; documents without a doc_id count in the statistics and are not found.
+        """
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+        twice = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+        if not twice.isEmpty():
+            one = rows.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+            rows = rows.join(twice, "doc_id", "left_anti").unionByName(one)
+        name, segment = self._new_segment(rows.select("doc_id", X.terms(X.folded(F.col("text"))).alias("words")))
+        ids = self._table("segments", f"{name}/docs", _DOCS).where("doc_id is not null").select("doc_id")
+
+        def change(state: dict) -> dict:
+            return self._remove({**state, "segments": {**state.get("segments", {}), name: segment}}, ids, name)
+
+        self.state = self.log.update(change)
+        return self.merge()
+
+    def delete(self, ids: DataFrame) -> Index:
+        """Without the documents of ``ids`` (doc_id); ids that are not there change nothing."""
+        ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+        self.state = self.log.update(lambda state: self._remove(state, ids))
+        return self.merge()
+
+    def _due(self, state: dict) -> list[str]:
+        """Segments to merge: FAN of like size, or one that has lost half of its documents."""
+        lost = {n: sum(r[n][0] for r in state.get("removed", {}).values() if n in r) for n in state.get("segments", {})}
+        tiers: dict[int, list[str]] = {}
+        for n, s in sorted(state.get("segments", {}).items()):
+            if s["docs"] and 2 * lost[n] >= s["docs"]:
+                return [n]
+            tiers.setdefault(int(math.log(max(1, s["docs"] - lost[n]), FAN)), []).append(n)
+        return next((names for _, names in sorted(tiers.items()) if len(names) >= FAN), [])
+
+    def merge(self) -> Index:
+        """Segments due are replaced by one of their live documents, until none is; others are left as they are."""
+        while True:
+            number, state = self.log.latest()
+            due = self._due(state)
+            if not due:
+                self.state = state
+                return self
+            live = self._live({**state, "segments": {n: state["segments"][n] for n in due}}, ["zone", "doc_id", "words"])
+            name, segment = self._new_segment(live.select("doc_id", "words"))
+            segments = {n: s for n, s in state["segments"].items() if n not in due} | ({name: segment} if segment["docs"] else {})
+            removed = {r: left for r, of in state.get("removed", {}).items() if (left := {n: x for n, x in of.items() if n not in due})}
+            try:
+                self.log.commit(number, {**state, "segments": segments, "removed": removed})
+            except Conflict:
+                continue
+
+    # searching
+
+    def frequencies(self, phrases: list[G.Phrase]) -> dict[G.Phrase, int]:
+        """Documents that hold each of ``phrases``, all of one whole word."""
+        counted: dict[str, int] = {}
+        if phrases:
+            for r in self.postings(phrases).groupBy("term").agg(F.sum("n").alias("n")).collect():  # a row for each word
+                counted[r.term] = r.n
+            if self.removed:
+                for r in self._removals("terms", _REMOVED_TERMS).where(F.col("term").isin([*counted])).groupBy("term").agg(F.sum("df").alias("n")).collect():
+                    counted[r.term] -= r.n
+        return {p: counted.get(p.terms[0], 0) for p in phrases}
+
+    def _weight(self, tf: Column, length: Column) -> Column:
+        return tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / (self.total / max(1, self.documents))))
+
+    def _idf(self, n: Column | float) -> Column:
+        n = F.lit(float(n)) if not isinstance(n, Column) else n
+        return F.greatest(F.log((F.lit(float(self.documents)) - n + 0.5) / (n + 0.5)), F.lit(1e-6))
+
+    def scored(self, tree: G.Node, zones: dict[str, list[int]] | None = None, known: dict[G.Phrase, int] | None = None, places: bool = False) -> DataFrame:
+        """(doc_id, score) of the documents that match ``tree``, lower is better, and with ``places`` ``hits``, the place of every hit with its phrase's number.
+
+        Documents that hold a phrase are counted here, all of them, unless ``known``; so ``zones`` go with known counts only.
+        """
+        listed = G.phrases(tree)
+        simple = [p for p in listed if len(p.terms) == 1 and not p.prefix]
+        known = self.frequencies(simple) if known is None else known
+        near = _near(tree)
+        need = {p for p in listed if len(p.terms) > 1 or p in near or places}
+        rows = self._hits(self.postings(listed, zones), bool(need))
+        words = {(t, p.prefix and i == len(p.terms) - 1): None for p in listed for i, t in enumerate(p.terms)}
+        of = {w: F.col("term").startswith(w[0]) if w[1] else F.col("term") == w[0] for w in words}
+        name = {w: i for i, w in enumerate(words)}
+        made = [F.coalesce(F.sum(F.when(c, F.col("tf"))), F.lit(0)).cast("long").alias(f"t{name[w]}") for w, c in of.items()]
+        if need:
+            made += [F.flatten(F.collect_list(F.when(c, F.col("places")))).alias(f"p{name[w]}") for w, c in of.items()]
+        rows = rows.groupBy("segment", "doc_id").agg(F.first("len").alias("len"), *made)
+        spots, counts = {}, []
+        for i, p in enumerate(listed):
+            at = [(t, p.prefix and k == len(p.terms) - 1) for k, t in enumerate(p.terms)]
+            if p in need:
+                both = F.col(f"p{name[at[0]]}")
+                for k, w in enumerate(at[1:], 1):
+                    both = F.array_intersect(both, _minus(F.col(f"p{name[w]}"), k))
+                spots[p] = both
+            counts.append((F.size(spots[p]).cast("long") if len(at) > 1 else F.col(f"t{name[at[0]]}")).alias(f"f{i}"))
+        rows = rows.select("doc_id", "len", *counts, *[s.alias(f"s{i}") for i, p in enumerate(listed) if (s := spots.get(p)) is not None])
+        count = {p: F.col(f"f{i}") for i, p in enumerate(listed)}
+        spots = {p: F.col(f"s{i}") for i, p in enumerate(listed) if p in need}
+        unknown = [p for p in listed if p not in known]
+        idf = {p: self._idf(known[p]) for p in listed if p in known} | {p: self._idf(F.col(f"d{listed.index(p)}").cast("double")) for p in unknown}
+        if unknown:  # one row of counts
+            rows = rows.crossJoin(F.broadcast(rows.agg(*[F.count_if(count[p] > 0).alias(f"d{listed.index(p)}") for p in unknown])))
+        ok, used = G.matches(tree, count, spots)
+        score = F.lit(0.0)
+        for p, x in used:
+            score = score - idf[p] * self._weight(x, F.col("len"))
+        shown = [F.array_sort(F.flatten(F.array(*[_numbered(spots[p], i) for i, p in enumerate(listed)]))).alias("hits")] if places and listed else []
+        return rows.where(ok).select("doc_id", score.alias("score"), *shown)
+
+    def best(self, tree: G.Node, k: int, passing: Callable[[DataFrame], DataFrame] = lambda hits: hits) -> DataFrame:
+        """(doc_id, score) of the ``k`` best matches of ``tree`` that are ``passing``, with those that may share their ranks after rounding; in no order.
+
+        For words alone, the best score of every zone is known from the heads of its blocks. Its most promising zones give a score that ``k``
+        documents reach; zones that stay below it are never read. A phrase's score needs all documents that hold it, so a query with phrases reads all.
+        """
+        listed = G.phrases(tree)
+        if any(len(p.terms) > 1 or p.prefix for p in listed) or not listed:
+            return passing(self.scored(tree))
+        known = self.frequencies(listed)
+        bound = F.array_max(F.transform("best", lambda b: self._weight(b["tf"], b["len"])))
+        heads = self.postings(listed).groupBy("segment", "zone").agg(*[F.max(F.when(F.col("term") == p.terms[0], bound)).alias(f"b{i}") for i, p in enumerate(listed)])
+        most = F.lit(0.0)
+        for i, p in enumerate(listed):
+            most = most + self._idf(known[p]) * F.coalesce(F.col(f"b{i}"), F.lit(0.0))
+        able = G.possible(tree, {p: F.col(f"b{i}").isNotNull() for i, p in enumerate(listed)})
+        zones = heads.where(able).select("segment", "zone", most.alias("most"))
+        tries, tried, worst = k, [], None
+        while worst is None:
+            tried = zones.orderBy(F.desc("most"), "segment", "zone").limit(tries).collect()
+            found = passing(self.scored(tree, _by_segment(tried), known)).orderBy("score").limit(k).agg(F.count("*").alias("n"), F.max("score").alias("worst")).first()
+            if found.n >= k:
+                worst = found.worst
+            elif len(tried) < tries or tries > MOST_NAMED:
+                break
+            tries *= 8
+        if worst is None:
+            return passing(self.scored(tree, None, known))
+        left = zones.where(F.col("most") >= -worst - SLACK).limit(MOST_NAMED + 1).select("segment", "zone").collect()
+        return passing(self.scored(tree, _by_segment(left) if len(left) <= MOST_NAMED else None, known)).where(F.col("score") <= worst + SLACK)
+
+
+def _minus(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - F.lit(k))
+
+
+def _numbered(places: Column, i: int) -> Column:
+    return F.transform(places, lambda x: F.struct(x.alias("at"), F.lit(i).alias("phrase")))
+
+
+def _by_segment(rows: list) -> dict[str, list[int]]:
+    found: dict[str, list[int]] = {}
+    for r in rows:
+        found.setdefault(r.segment, []).append(r.zone)
+    return found
+
+
+def _near(tree: G.Node) -> set[G.Phrase]:
+    return {*(tree.phrases if tree.kind == "near" else ()), *[p for t in tree.parts for p in _near(t)]}
+
+
+def of_table(spark: SparkSession, docs: DataFrame, path: str) -> Index:
+    """The index of ``docs`` (doc_id, text), which is the content of ``path``: written once for each content of it, in the shared folder."""
+    root = f"{scratch_dir(spark)}/lectern-index-{zlib.crc32(stamp(spark, path).encode()):08x}-{len(stamp(spark, path))}"
+    found = Index(spark, root)
+    return found if found.state else found.write(docs)
+
+
+# the query chains
+
+
+def library_tree(query: str) -> tuple[G.Node, G.Node | None]:
+    """What a question looks for, and what if nothing is found.
+
+    A query with quotes is read by the search syntax as it is. Else the phrase of its meaningful words or all of them, and then any of them if there are several.
     """
-    listed = sorted({t for u in wanted for t in u})
-    of = index.postings.where(F.col("bucket").isin([*_buckets(index, listed)]) & F.col("term").isin(listed)) if listed else index.postings.where("false")
-    spots = {t: F.max(F.when(F.col("term") == t, F.col("positions"))).alias(f"p{i}") for i, t in enumerate(listed)}
-    counts = {t: F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"t{i}") for i, t in enumerate(listed)}
-    needed = [spots[t] for t in listed if any(len(u) > 1 and t in u for u in wanted)]
-    rows = of.groupBy("doc_id").agg(F.first("len").alias("len"), *counts.values(), *needed)
-
-    def count(u: list[str]) -> Column:
-        if len(u) == 1:
-            return F.col(f"t{listed.index(u[0])}")
-        at = [F.transform(f"p{listed.index(t)}", lambda p: p - F.lit(k)) for k, t in enumerate(u)]  # noqa: B023  called at once
-        both = at[0]
-        for more in at[1:]:
-            both = F.array_intersect(both, more)
-        return F.coalesce(F.size(both), F.lit(0)).cast("long")
-
-    f = [F.col(f"f{i}") for i in range(len(wanted))]
-    rows = rows.select("doc_id", "len", *[count(u).alias(f"f{i}") for i, u in enumerate(wanted)])
-    seen = rows.agg(*[F.count_if(x > 0).alias(f"d{i}") for i, x in enumerate(f)])
-    rows = rows.crossJoin(F.broadcast(index.stats.crossJoin(seen)))  # one row of statistics
-    score = F.lit(0.0)
-    for i, x in enumerate(f):
-        idf = F.greatest(F.log((F.col("n") - F.col(f"d{i}") + 0.5) / (F.col(f"d{i}") + 0.5)), F.lit(1e-6))
-        score = score - idf * x * 2.2 / (x + 1.2 * (0.25 + 0.75 * F.col("len") / (F.col("total") / F.col("n"))))
-    return rows.where(keep(f)).select("doc_id", score.alias("score"))
-
-
-def _buckets(index: Index, terms: list[str]) -> list[int]:
-    spark = index.postings.sparkSession
-    return [r.b for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket(F.col("t")).alias("b")).collect()]
-
-
-def _every(f: list[Column]) -> Column:
-    out = F.lit(bool(f))
-    for x in f:
-        out = out & (x > 0)
-    return out
-
-
-def _some(f: list[Column]) -> Column:
-    out = F.lit(False)
-    for x in f:
-        out = out | (x > 0)
-    return out
-
-
-def library_hits(index: Index, query: str) -> DataFrame:
-    """(doc_id, score) for a question: a query with quotes as it is, its phrases and words all wanted; else the phrase of its meaningful
-    words or all of them, and any of them if there are several and no document has all. No rows without a meaningful word."""
     safe = S.sanitised(query)
-    terms = S.agent_terms(query)
-    wanted = units(terms)
-    if not wanted:
-        return index.stats.where("false").select(F.lit(0).cast("long").alias("doc_id"), F.lit(0.0).alias("score"))
+    units = [u for w in S.agent_terms(query) if (u := G.terms_of(w))]
+    if not units:
+        return G.NONE, None
+    each = [G.phrase(*u) for u in units]
     if '"' in safe:
-        phrases = re.findall(r'"([^"]*)"|(\S+)', safe)
-        return ranked(index, units([a or b.replace('"', "") for a, b in phrases]), _every)
-    strict = ranked(index, [[t for u in wanted for t in u], *wanted], lambda f: (f[0] > 0) | _every(f[1:]))
-    return S.with_fallback(strict, ranked(index, wanted, _some)) if len(wanted) > 1 else strict
+        try:
+            strict = G.parsed(safe)
+        except G.Refused:
+            return G.NONE, None
+    else:
+        strict = G.some(G.phrase(*[t for u in units for t in u]), G.every(*each)) if len(each) > 1 else each[0]
+    return strict, G.some(*each) if len(each) > 1 else None
 
 
 def library(index: Index, docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
@@ -129,21 +374,62 @@ def library(index: Index, docs: DataFrame, query: str, limit: int = 10) -> DataF
 
     Titles and chapters of noise go first; then 8 x ``limit`` hits are taken, and of these, noisy beginnings and repetitions go.
     """
-    best = S.without_noisy_titles(docs).join(library_hits(index, query), "doc_id").orderBy("score", "doc_id").limit(OVER_FETCH * limit)
+    quiet = S.without_noisy_titles(docs)
+    passing = lambda hits: hits.join(quiet.select("doc_id"), "doc_id", "left_semi")
+    strict, loose = library_tree(query)
+    hits = index.best(strict, OVER_FETCH * limit, passing)
+    if loose is not None and hits.isEmpty():
+        hits = index.best(loose, OVER_FETCH * limit, passing)
+    best = quiet.join(hits, "doc_id").orderBy("score", "doc_id").limit(OVER_FETCH * limit)
     kept = S.first_of_each(S.without_noisy_starts(best), [F.col("score"), F.col("doc_id")])
     return S.numbered(kept, limit, [F.col("score"), F.col("doc_id")])
 
 
 def concept(index: Index, docs: DataFrame, query: str, limit: int = 10) -> DataFrame:
-    """The best ``limit`` rows of ``docs`` (doc_id, text, quality) that hold all words of a query, with ``score``, ``rank`` and ``total``, the rows found.
+    """The best ``limit`` rows of ``docs`` (doc_id, text, quality) for a query, with ``score``, ``rank`` and ``total``, the rows found.
 
-    A query with characters that no word of the search syntax may have, or without hits, is looked for as a substring.
+    The query without fillers is read by the search syntax; one that the syntax refuses, or without hits, is looked for as a substring.
     """
-    words = S.query_terms(query)
-    plain = all(re.fullmatch(r"[A-Za-z0-9_\x80-\U0010ffff]+", w) for w in words)
-    like = S.like(docs, query).withColumn("score", F.lit(None).cast("double"))
+    try:
+        tree = G.parsed(" ".join(S.query_terms(query)))
+    except G.Refused:
+        tree = G.NONE
     order = [F.col("score").asc_nulls_last(), F.desc("quality"), F.col("doc_id")]
-    hits = docs.join(ranked(index, units(words), _every), "doc_id") if plain and words else None
-    if hits is None or hits.isEmpty():
-        hits, order = like, [F.col("doc_id")]
-    return S.with_total(S.numbered(hits, limit, order))
+    found = index.best(tree, limit)
+    if tree == G.NONE or found.isEmpty():
+        return S.with_total(S.numbered(S.like(docs, query).withColumn("score", F.lit(None).cast("double")), limit, [F.col("doc_id")]))
+    return S.with_total(S.numbered(docs.join(found, "doc_id"), limit, order))
+
+
+def matching(index: Index, docs: DataFrame, query: str) -> DataFrame:
+    """All rows of ``docs`` (doc_id) that match ``query`` by the search syntax, with their score; none for a query that it refuses."""
+    try:
+        tree = G.parsed(query)
+    except G.Refused:
+        tree = G.NONE
+    return docs.join(index.scored(tree), "doc_id")
+
+
+_PIECE = r"[^\p{L}\p{N}_]*[\p{L}\p{N}_][\p{L}\p{N}_\p{Mn}]*"
+
+
+def with_fragments(rows: DataFrame, hits: DataFrame, width: int = 160) -> DataFrame:
+    """``rows`` (doc_id, text) with ``snippet``, the best ``width`` words for ``hits`` (doc_id, hits) of a search; rows without hits go.
+
+    The best window has most distinct phrases, then most hits, and begins first; it is moved so that its hits stand in the middle. Hits are marked
+    with ** and cuts with ...
+    """
+    spots = hits.select("doc_id", F.explode("hits").alias("h")).select("doc_id", F.col("h.at").alias("at"), F.col("h.phrase").alias("phrase"))
+    ahead = S.W.partitionBy("doc_id").orderBy("at").rangeBetween(0, width - 1)
+    seen = spots.withColumns({"kinds": F.size(F.collect_set("phrase").over(ahead)), "many": F.count("*").over(ahead), "last": F.max("at").over(ahead)})
+    best = seen.groupBy("doc_id").agg(F.max(F.struct("kinds", "many", (-F.col("at")).alias("back"), "last")).alias("b"))
+    rows = rows.join(best, "doc_id").join(hits.select("doc_id", F.transform("hits", lambda h: h["at"]).alias("_at")), "doc_id")
+    rows = rows.withColumns({"_first": -F.col("b.back"), "_p": F.regexp_extract_all("text", F.lit(_PIECE), F.lit(0))}).withColumn("_n", F.size("_p"))
+    begin = F.col("_first") - F.floor((F.lit(width) - (F.col("b.last") - F.col("_first"))) / 2)
+    rows = rows.withColumn("_begin", F.greatest(F.least(begin, F.col("_n") - width), F.lit(0)).cast("int"))
+    marked = F.transform(F.slice("_p", F.col("_begin") + 1, F.lit(width)), lambda w, i: F.when(F.array_contains("_at", F.col("_begin") + i), F.regexp_replace(w, r"([\p{L}\p{N}_][\p{L}\p{N}_\p{Mn}]*)$", "**$1**")).otherwise(w))
+    rows = rows.withColumn("_line", F.array_join(marked, ""))
+    cut = F.regexp_replace("_line", r"^[^\p{L}\p{N}_*]+", "")
+    rest = F.regexp_extract("text", r"[^\p{L}\p{N}_\p{Mn}]*$", 0)
+    line = F.concat(F.when(F.col("_begin") > 0, F.concat(F.lit("..."), cut)).otherwise(F.col("_line")), F.when(F.col("_begin") + width < F.col("_n"), F.lit("...")).otherwise(rest))
+    return rows.withColumn("snippet", line).drop("b", "_at", "_first", "_p", "_n", "_begin", "_line")

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import text as X
+from . import grammar as G
 
 # Words that carry no meaning in a question, for the service and for the agent.
 FILLERS = ["tell", "me", "about", "the", "a", "an", "what", "is"]
@@ -31,19 +32,19 @@ def sanitised(query: str) -> str:
 
 
 def agent_terms(query: str) -> list[str]:
-    """Lower-case words of a sanitised question without question words; may be empty."""
-    listed = (t for t in sanitised(query).lower().split() if t.startswith('"') or t.strip("-"))
+    """Lower-case words of a sanitised question without question words; may be empty. A word that a quote ends or divides is none, one that it begins is."""
+    listed = (t for t in sanitised(query).lower().split() if t.startswith('"') or t.replace("-", "").isalnum())
     return [t.replace('"', "") for t in listed if t not in QUESTION_WORDS and t.replace('"', "")]
 
 
 def matched(docs: DataFrame, words: list[str]) -> DataFrame:
     """``docs`` with the array ``tf`` of the words' counts, the length ``len`` and ``phrase``, the count of their sequence.
 
-    Words are letters, digits and underscores, whatever their case; null text has none of them. Any other character of a word
+    Words are letters, digits and underscores, whatever their case and marks; null text has none of them. Any other character of a word
     stands for itself, so such a word occurs nowhere.
     """
-    text = F.coalesce("text", F.lit(""))
-    return docs.withColumns({"tf": F.array(*[X.term_count(text, [k.lower()]) for k in words]), "len": X.term_total(text), "phrase": X.term_count(text, [k.lower() for k in words]) if words else F.lit(0).cast("long")})
+    text, plain = X.folded(F.coalesce("text", F.lit(""))), [G.folded(k) for k in words]
+    return docs.withColumns({"tf": F.array(*[X.term_count(text, [k]) for k in plain]), "len": X.term_total(text), "phrase": X.term_count(text, plain) if words else F.lit(0).cast("long")})
 
 
 def bm25(docs: DataFrame, words: list[str], any_word: bool = False, phrase: bool = False) -> DataFrame:
@@ -72,8 +73,9 @@ def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def like(docs: DataFrame, query: str) -> DataFrame:
-    """Rows whose text contains the query, case ignored; % and _ stay wild cards."""
-    return docs.where(F.col("text").ilike(f"%{query}%"))
+    """Rows whose text contains the query, case ignored; % and _ stay wild cards, a backslash is one."""
+    escaped = query.replace("\\", "\\\\")
+    return docs.where(F.col("text").ilike(f"%{escaped}%"))
 
 
 def without_noisy_titles(hits: DataFrame) -> DataFrame:
@@ -113,22 +115,6 @@ def with_total(hits: DataFrame) -> DataFrame:
     return hits.withColumn("total", F.count("*").over(W.partitionBy()))
 
 
-def with_snippets(rows: DataFrame, word: str, width: int = 160) -> DataFrame:
-    """``rows`` (text) with ``snippet``: tokens around the first hit, the hit marked with ** and cuts with ...
-
-    An approximation of fragment scoring. Tokens and the hit's place are columns of their own, so that they are made once a row.
-    """
-    rows = rows.withColumn("_t", F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    rows = rows.withColumn("_at", F.array_position(F.transform("_t", lambda w: F.regexp_replace(F.lower(w), r"[^\p{L}\p{N}_]", "")), word))
-    at, t, half = F.col("_at"), F.col("_t"), width // 2
-    begin = F.greatest(at - half, F.lit(1)).cast("int")
-    left = F.slice(t, begin, F.greatest(at.cast("int") - begin, F.lit(0)))
-    right = F.slice(t, at.cast("int") + 1, F.greatest(begin + width - at.cast("int") - 1, F.lit(0)))
-    hit = F.array(F.concat(F.lit("**"), F.element_at(t, at.cast("int")), F.lit("**")))
-    line = F.concat(F.when(begin > 1, "...").otherwise(""), F.array_join(F.concat(left, hit, right), " "), F.when(F.size(t) > begin + width - 1, "...").otherwise(""))
-    return rows.withColumn("snippet", F.when(at > 0, line)).drop("_t", "_at")
-
-
 def reciprocal_rank_fusion(lists: DataFrame, k: int = 60) -> DataFrame:
     """(doc_id, score, lists): sum of weight / (k + rank) over ``lists`` (doc_id, rank, weight)."""
     return lists.groupBy("doc_id").agg(F.sum(F.col("weight") / (k + F.col("rank"))).alias("score"), F.count("*").alias("lists"))

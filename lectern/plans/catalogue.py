@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
-from ..operators import books, chunks, coach, corpus, games, index, positions, search
+from ..operators import books, chunks, coach, corpus, games, grammar, index, positions, search
 from ..sources import markup, pgn
+from ..sources.files import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 WORDS = "regexp_extract_all(lower(text), '[^\\s]+')"
 TERMS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
+FOLDED = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}_]+')"
 SQUEEZED = "trim(regexp_replace(text, '[\\s\\x0B\\x1C-\\x1F\\x{85}\\p{Z}]+', ' ', 'g'))"
 SEARCH_WORDS = ["the", "with", "from"]
 OTHER_WORDS = ["that", "this"]
@@ -74,7 +77,7 @@ def _bm25_sql(words: list[str], joiner: str = "and", phrase: bool = False) -> st
     part = " + ".join(f"greatest(ln((n - d{i} + 0.5) / (d{i} + 0.5)), 1e-6) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * len / avg))" for i in range(n))
     where = f" {joiner} ".join(f"f{i} > 0" for i in range(len(words)))
     where = f"({where}) or f{n - 1} > 0" if phrase else where
-    return f"""t as (select *, {TERMS} w from documents), t1 as (select *, '  ' || array_to_string(w, '  ') || '  ' j from t),
+    return f"""t as (select *, {FOLDED} w from documents), t1 as (select *, '  ' || array_to_string(w, '  ') || '  ' j from t),
     f as (select doc_id, source, lang, text, len(w) len, {tf} from t1),
     st as (select count(*) n, avg(len) avg, {df} from f), hit as (select doc_id, source, lang, text, -({part}) score from f, st where {where})"""
 
@@ -82,26 +85,38 @@ def _bm25_sql(words: list[str], joiner: str = "and", phrase: bool = False) -> st
 _ROUND = "floor({} * 1e6 + 0.5) / 1e6"
 
 
+def stored(spark: SparkSession, sf_dir: str) -> index.Index:
+    """The index of the documents, written once for each content of the table."""
+    return index.of_table(spark, docs(spark, sf_dir), f"{sf_dir}/documents.parquet")
+
+
+def words_tree(words: list[str], any_word: bool = False) -> grammar.Node:
+    return (grammar.some if any_word else grammar.every)(*[grammar.phrase(*grammar.terms_of(w)) for w in words])
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    return hits.withColumn("score", X.rounded(F.col("score")))
+
+
 @query(f"with {_bm25_sql(SEARCH_WORDS)} select doc_id, hit.source title, {_ROUND.format('score')} score, coalesce(quality, 0) quality from hit left join labels using (doc_id) order by 3, 4 desc, 1 limit 20")
 def concept_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flagship: BM25 of all words, joined to quality, best 20."""
-    hits = search.bm25(docs(spark, sf_dir), search.query_terms("what is " + " ".join(SEARCH_WORDS), ["what", "is"]))
-    out = hits.join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    out = out.select("doc_id", F.col("source").alias("title"), X.rounded(F.col("score")).alias("score"), F.coalesce("quality", F.lit(0)).alias("quality"))
-    return out.orderBy("score", F.desc("quality"), "doc_id").limit(20)
+    """The flagship: BM25 of all words, joined to quality, best 20; blocks of postings that cannot hold one of them are not read."""
+    hits = _shown(stored(spark, sf_dir).best(words_tree(search.query_terms("what is " + " ".join(SEARCH_WORDS), ["what", "is"])), 20))
+    out = docs(spark, sf_dir).select("doc_id", F.col("source").alias("title")).join(hits, "doc_id").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return out.select("doc_id", "title", "score", F.coalesce("quality", F.lit(0)).alias("quality")).orderBy("score", F.desc("quality"), "doc_id").limit(20)
 
 
 @query(f"with {_bm25_sql(['of', 'the'], phrase=True)} select doc_id, {_ROUND.format('score')} score from hit")
 def search_phrase_and(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase or all words; every hit with its score."""
-    return search.bm25(docs(spark, sf_dir), ["of", "the"], phrase=True).select("doc_id", X.rounded(F.col("score")).alias("score"))
+    return _shown(stored(spark, sf_dir).scored(grammar.some(words_tree(["of", "the"]), grammar.phrase("of", "the"))))
 
 
 @query(f"with {_bm25_sql(['qqqq', 'the', 'und'], 'or')} select doc_id, {_ROUND.format('score')} score from hit")
 def search_or_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No document has all the words, so any of them serves."""
-    d, words = docs(spark, sf_dir), ["qqqq", "the", "und"]
-    return search.with_fallback(search.bm25(d, words, phrase=True), search.bm25(d, words, any_word=True)).select("doc_id", X.rounded(F.col("score")).alias("score"))
+    found, words = stored(spark, sf_dir), ["qqqq", "the", "und"]
+    return _shown(search.with_fallback(found.scored(grammar.some(grammar.phrase(*words), words_tree(words))), found.scored(words_tree(words, True))))
 
 
 @query("select doc_id, left(text, 140) preview from documents where text ilike '%MIT License%'")
@@ -116,8 +131,7 @@ k as (select * from h where title not ilike '%index%' and chapter not ilike '%in
 r as (select *, row_number() over (partition by title, left(content, 100) order by score, doc_id) r from k)
 select doc_id, title, score from r where r = 1 order by score, doc_id limit 40""")
 def search_noise_dedup_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = search.bm25(docs(spark, sf_dir), OTHER_WORDS, any_word=True)
-    hits = hits.select("doc_id", F.col("source").alias("title"), F.col("lang").alias("chapter"), F.col("text").alias("content"), X.rounded(F.col("score")).alias("score"))
+    hits = _passages(spark, sf_dir).join(_shown(stored(spark, sf_dir).scored(words_tree(OTHER_WORDS, True))), "doc_id")
     return search.first_of_each(search.without_noise(hits), [F.col("score"), F.col("doc_id")]).select("doc_id", "title", "score").orderBy("score", "doc_id").limit(40)
 
 
@@ -129,7 +143,7 @@ def rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two top-50 lists merged by reciprocal rank."""
     d = docs(spark, sf_dir)
     top = lambda rows, *by: rows.orderBy(*by).limit(50).withColumn("rank", F.row_number().over(W.orderBy(*by)))  # noqa: E731  over 50 rows
-    a = top(search.bm25(d, SEARCH_WORDS).select("doc_id", X.rounded(F.col("score")).alias("score")), "score", "doc_id").select("doc_id", "rank", F.lit(1.0).alias("weight"))
+    a = top(_shown(stored(spark, sf_dir).best(words_tree(SEARCH_WORDS), 50)), "score", "doc_id").select("doc_id", "rank", F.lit(1.0).alias("weight"))
     b = top(d.select("doc_id", "n_chars"), F.desc("n_chars"), "doc_id").select("doc_id", "rank", F.lit(0.5).alias("weight"))
     return search.reciprocal_rank_fusion(a.union(b)).select("doc_id", X.rounded(F.col("score"), 9).alias("score"), "lists")
 
@@ -138,15 +152,15 @@ def rrf_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 select string_agg('SOURCE ' || r || ': [' || source || '] (' || lang || ')' || chr(10) || left(text, 300), chr(10) || chr(10) order by r) context from h""")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The prompt context of the five best hits."""
-    hits = search.bm25(docs(spark, sf_dir), SEARCH_WORDS).select("doc_id", F.col("source").alias("title"), F.col("lang").alias("chapter"), F.substring("text", 1, 300).alias("content"), X.rounded(F.col("score")).alias("score"))
+    hits = _passages(spark, sf_dir).join(_shown(stored(spark, sf_dir).best(words_tree(SEARCH_WORDS), 5)), "doc_id").withColumn("content", F.substring("content", 1, 300))
     return search.context(hits.orderBy("score", "doc_id").limit(5).withColumn("rank", F.row_number().over(W.orderBy("score", "doc_id"))))
 
 
-@query(f"""with t as (select doc_id, unnest({TERMS}) term, unnest(range(len({TERMS}))) p from documents)
+@query(f"""with t as (select doc_id, unnest({FOLDED}) term, unnest(range(len({FOLDED}))) p from documents)
 select term, doc_id, count(*) tf, string_agg(p::varchar, ',' order by p) positions from t group by term, doc_id""")
 def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index of all documents."""
-    found = index.build(docs(spark, sf_dir)).postings
+    found = stored(spark, sf_dir).all_postings()
     return found.select("term", "doc_id", "tf", F.array_join(F.transform("positions", lambda p: p.cast("string")), ",").alias("positions"))
 
 
@@ -167,14 +181,14 @@ select doc_id, {_ROUND.format('score')} score, row_number() over (order by score
 @query(_library_sql(_bm25_sql(["that", "under"], phrase=True)))
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question: its meaningful words as a phrase, or all of them; noise and repetitions go after an over-fetch."""
-    found = index.library(index.build(docs(spark, sf_dir)), _passages(spark, sf_dir), "What are the key ideas of THAT, under?")
+    found = index.library(stored(spark, sf_dir), _passages(spark, sf_dir), "What are the key ideas of THAT, under?")
     return found.select("doc_id", X.rounded(F.col("score")).alias("score"), "rank")
 
 
 @query(_library_sql(_bm25_sql(["qqqq", "that"], "or")))
 def library_search_any(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A question of which no document has all the words."""
-    found = index.library(index.build(docs(spark, sf_dir)), _passages(spark, sf_dir), "Explain Qqqq: that")
+    found = index.library(stored(spark, sf_dir), _passages(spark, sf_dir), "Explain Qqqq: that")
     return found.select("doc_id", X.rounded(F.col("score")).alias("score"), "rank")
 
 
@@ -187,14 +201,14 @@ def _rated(spark: SparkSession, sf_dir: str) -> DataFrame:
 select doc_id, {_ROUND.format('score')} score, "rank", count(*) over () total from r""")
 def concept_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All words of a query, from the index; the total counts the rows shown."""
-    found = index.concept(index.build(docs(spark, sf_dir)), _rated(spark, sf_dir), "What is the With from")
+    found = index.concept(stored(spark, sf_dir), _rated(spark, sf_dir), "What is the With from")
     return found.select("doc_id", X.rounded(F.col("score")).alias("score"), "rank", "total")
 
 
 @query("""with r as (select doc_id, row_number() over (order by doc_id) "rank" from documents where text ilike '%MIT License.%' qualify "rank" <= 10) select doc_id, "rank", count(*) over () total from r""")
 def concept_search_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query that the search syntax refuses becomes a substring search."""
-    return index.concept(index.build(docs(spark, sf_dir)), _rated(spark, sf_dir), "MIT License.").select("doc_id", "rank", "total")
+    return index.concept(stored(spark, sf_dir), _rated(spark, sf_dir), "MIT License.").select("doc_id", "rank", "total")
 
 
 @query("select source book_id, count(*) diagrams, count(*) filter (quality = 1) ocr from labels join documents using (doc_id) group by source")
@@ -204,11 +218,60 @@ def diagram_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.diagram_audit(marks, docs(spark, sf_dir).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("book_id")))
 
 
-@query()
+def _grammar_sql(hit: str, phrases: list[str], where: str) -> str:
+    """CTE ``hit`` (doc_id, score) of the documents for which ``where`` holds over f0, f1, ..: the counts of ``phrases`` as they stand in the joined terms."""
+    count = [f"(length(j) - length(replace(j, ' {p} ', ''))) // {len(p) + 2} f{i}" for i, p in enumerate(phrases)]
+    return f"""t as (select doc_id, {FOLDED} w from documents), j as (select *, '  ' || array_to_string(w, '  ') || '  ' j from t), f as (select *, {', '.join(count)} from j), {hit} as (select * from f where {where})"""
+
+
+@query(f"""with {_grammar_sql('m', ['of', 'the', 'from', 'und', 'that', 'with'], "(f0 > 0 and f1 > 0 or f3 > 0) and not (f4 > 0 or f5 > 0 and f2 > 0)")},
+s as (select count(*) n, avg(len(w)) av, count(*) filter (f0 > 0) d0, count(*) filter (f1 > 0) d1, count(*) filter (f3 > 0) d3 from f),
+k as (select doc_id, len(w) l, f0 > 0 and f1 > 0 b, * from m, s)
+select doc_id, floor(-((case when b then greatest(ln((n - d0 + .5) / (d0 + .5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (.25 + .75 * l / av)) + greatest(ln((n - d1 + .5) / (d1 + .5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (.25 + .75 * l / av)) else 0 end)
+ + greatest(ln((n - d3 + .5) / (d3 + .5)), 1e-6) * f3 * 2.2 / (f3 + 1.2 * (.25 + .75 * l / av))) * 1e6 + 0.5) / 1e6 score from k""")
+def search_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, brackets and operators of the search syntax, compiled to one pass over the postings of the words."""
+    return _shown(stored(spark, sf_dir).scored(grammar.parsed("((of AND the) OR und) NOT (that OR (with from))")))
+
+
+@query(f"""with t as (select doc_id, {FOLDED} w from documents), p as (select doc_id, unnest(w) term, unnest(range(len(w))) pos from t),
+pre as (select distinct doc_id from p where starts_with(term, 'qu') or term = 'und'),
+near as (select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and a.term = 'of' and b.term = 'with' and greatest(a.pos, b.pos) - least(a.pos, b.pos) <= 4)
+select doc_id, near.doc_id is not null near from pre full join near using (doc_id)""")
+def search_near_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words near each other, beginnings of words, and which of both a document has."""
+    found = stored(spark, sf_dir)
+    near = found.scored(grammar.parsed("NEAR(of with, 3)")).select("doc_id", F.lit(True).alias("near"))
+    return found.scored(grammar.parsed("qu* OR und")).select("doc_id").join(near, "doc_id", "full").select("doc_id", F.coalesce("near", F.lit(False)).alias("near"))
+
+
+_WIDTH = 12
+_PIECES = r"regexp_extract_all(text, '[^\p{L}\p{N}_]*[\p{L}\p{N}_][\p{L}\p{N}_\p{Mn}]*')"
+
+
+@query(f"""with t as (select doc_id, text, {FOLDED} w, {_PIECES} p from documents), h as (select doc_id, unnest(w) term, unnest(range(len(w))) pos from t), g as (select * from h where term in ('nicht', 'que', 'plan', 'that')),
+v as (select a.doc_id, a.pos, count(distinct b.term) kinds, count(*) many, max(b.pos) last from g a join g b on a.doc_id = b.doc_id and b.pos between a.pos and a.pos + {_WIDTH - 1} group by all),
+b as (select * from v qualify row_number() over (partition by doc_id order by kinds desc, many desc, pos) = 1),
+m as (select doc_id, greatest(least(b.pos - ({_WIDTH} - (last - b.pos)) // 2, len(p) - {_WIDTH}), 0) s, p, text, w from b join t using (doc_id)),
+k as (select *, array_to_string([case when w[i] in ('nicht', 'que', 'plan', 'that') then regexp_replace(p[i], '([\\p{{L}}\\p{{N}}_][\\p{{L}}\\p{{N}}_\\p{{Mn}}]*)$', '**\\1**') else p[i] end for i in range(s + 1, least(s + {_WIDTH}, len(p)) + 1)], '') line from m)
+select doc_id, case when s > 0 then '...' || regexp_replace(line, '^[^\\p{{L}}\\p{{N}}_*]+', '') else line end || case when s + {_WIDTH} < len(p) then '...' else regexp_extract(text, '[^\\p{{L}}\\p{{N}}_\\p{{Mn}}]*$') end snippet from k""")
 def search_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A marked fragment for every document with the word; fragment choice is an approximation."""
-    d = search.matched(docs(spark, sf_dir), ["nicht"]).where("tf[0] > 0")
-    return search.with_snippets(d.select("doc_id", "text"), "nicht").select("doc_id", "snippet")
+    """The fragment of most of the words for every document that has one of them, hits marked."""
+    hits = stored(spark, sf_dir).scored(grammar.parsed("nicht OR que OR plan OR that"), places=True)
+    return index.with_fragments(docs(spark, sf_dir).select("doc_id", "text"), hits, _WIDTH).select("doc_id", "snippet")
+
+
+@query(f"""with d as (select doc_id, case when quality = 0 then text || ' revised plan' else text end t from documents left join labels using (doc_id) where coalesce(toxic, 0) = 0),
+t as (select doc_id, regexp_extract_all(strip_accents(lower(t)), '[\\p{{L}}\\p{{N}}_]+') w from d), f as (select doc_id, len(w) l, len(list_filter(w, lambda x: x = 'revised')) f0, len(list_filter(w, lambda x: x = 'the')) f1 from t),
+s as (select count(*) n, avg(l) av, count(*) filter (f0 > 0) d0, count(*) filter (f1 > 0) d1 from f)
+select doc_id, floor(-(greatest(ln((n - d0 + .5) / (d0 + .5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (.25 + .75 * l / av)) + greatest(ln((n - d1 + .5) / (d1 + .5)), 1e-6) * f1 * 2.2 / (f1 + 1.2 * (.25 + .75 * l / av))) * 1e6 + 0.5) / 1e6 score from f, s where f0 > 0 or f1 > 0""")
+def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index written in two parts, then with the documents of low quality replaced and the toxic ones deleted, ranks as one of what is left."""
+    d, marks = docs(spark, sf_dir).select("doc_id", "text", "lang"), table(spark, sf_dir, "labels")
+    found = index.Index(spark, f"{scratch_dir(spark)}/lectern-index-{uuid.uuid4().hex}")
+    found = found.write(d.where("lang = 'en'")).write(d.where("coalesce(lang, '') != 'en'"))
+    revised = d.join(marks.where("quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.concat("text", F.lit(" revised plan")))
+    return _shown(found.write(revised).delete(marks.where("toxic = 1").select("doc_id")).scored(grammar.parsed("revised OR the")))
 
 
 @query(f"select doc_id, sha256({SQUEEZED}) fp from documents")

@@ -128,31 +128,18 @@ def test_parsers():
     assert search.agent_terms("What is the?") == [] == search.agent_terms("- ?")
 
 
-def test_words_with_special_characters(spark):
+def test_words_with_special_characters(spark, tmp_path):
     d = spark.createDataFrame([(1, "the Sicilian, c-file (king side) e4 c++"), (2, "nothing")], "doc_id long, text string")
     assert [r.doc_id for r in search.bm25(d, ["Sicilian"]).collect()] == [1]
     assert search.bm25(d, ["c++"]).count() <= 1 and search.bm25(d, ["(king"]).count() <= 1 and search.bm25(d, ["e4?"]).count() == 0
-    rated = d.withColumn("quality", F.lit(0))
-    found = lambda q: [r.doc_id for r in index.concept(index.build(d), rated, q).collect()]
+    rated, stored = d.withColumn("quality", F.lit(0)), index.Index(spark, str(tmp_path / "i")).write(d)
+    found = lambda q: [r.doc_id for r in index.concept(stored, rated, q).collect()]
     assert found("(king") == found("c++") == found("tell me about the SICILIAN") == found("side) E4") == [1] and found("e4?") == []
     passages = d.select("doc_id", F.lit("t").alias("title"), F.lit("c").alias("chapter"), F.col("text").alias("content"))
-    asked = lambda q: [r.doc_id for r in index.library(index.build(d), passages, q).collect()]
+    asked = lambda q: [r.doc_id for r in index.library(stored, passages, q).collect()]
     assert asked("What is the Sicilian?") == asked("c-file!") == asked('"king side"') == [1] and asked('"side king"') == [] and asked("what is the") == []
 
 
-def test_index_ranks_as_the_scan_and_survives_writing(spark, tmp_path):
-    d = spark.createDataFrame([*TOY, (6, None)], "doc_id long, text string")
-    index.write(index.build(d), str(tmp_path / "i"))
-    stored = index.read(spark, str(tmp_path / "i"))
-    words = ["isolated", "queen", "pawn"]
-    for i in (index.build(d), stored):
-        got = {r.doc_id: round(r.score, 9) for r in index.ranked(i, [words, *[[w] for w in words]], lambda f: (f[0] > 0) | index._every(f[1:])).collect()}
-        assert got == {r.doc_id: round(r.score, 9) for r in search.bm25(d, words, phrase=True).collect()}
-    plan = stored.postings.where("bucket = 3 and term = 'pawn'")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(bucket" in plan and "EqualTo(term,pawn)" in plan
-    assert index.library(index.build(d.limit(0)), d.limit(0).selectExpr("doc_id", "'' title", "'' chapter", "text content"), "pawn queen").count() == 0
-
-
 def test_missing_path_and_empty_header(spark, tmp_path):
     from lectern.sources import pgn
 

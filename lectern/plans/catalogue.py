@@ -354,6 +354,17 @@ _SEEN: set[str] = set()
 _TIER_SQL = " + ".join(f"case when contains(p, ' {w} ') then {v} else 0 end" for v, ws in X.TIERS.items() for w in ws if not (w in _SEEN or _SEEN.add(w)))
 
 
+@query(f"""with v as (select w term, count(distinct item_id) weight from (select item_id, unnest(regexp_extract_all(lower(text), '\\p{{L}}{{3,}}')) w from benchmark) group by w),
+o as (select doc_id, sum((length(t) - length(replace(t, term, ''))) // length(term) * weight)::bigint total from (select doc_id, lower(text) t from documents) join v on contains(t, term) group by doc_id)
+select doc_id, coalesce(total, 0) total, {_ROUND.format("(case when len(w) = 0 then 0 else least(coalesce(total, 0) * 1000.0 / len(w), 100) end)")} score from (select doc_id, {WORDS} w from documents) left join o using (doc_id)""")
+def vocab_score_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vocabulary from a table, here the words of the benchmark by how many items have them; all its terms are sought together."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0))).alias("term"))
+    weights = {r.term: r.n for r in words.groupBy("term").agg(F.count_distinct("item_id").alias("n")).collect()}
+    d = docs(spark, sf_dir).select("doc_id", X.weighted_occurrences(F.lower("text"), weights).alias("total"), F.size(X.tokens(F.col("text"))).alias("n"))
+    return d.select("doc_id", "total", X.rounded(F.when(F.col("n") == 0, F.lit(0.0)).otherwise(F.least(F.col("total") * 1000.0 / F.col("n"), F.lit(100.0)))).alias("score"))
+
+
 @query(f"with t as (select doc_id, ' ' || array_to_string({TERMS}, ' ') || ' ' p from documents) select doc_id, floor(({_TIER_SQL}) * 10 + 0.5)::double / 10 weight from t")
 def keyword_tier_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", X.rounded(X.tier_weight(F.col("text")), 1).alias("weight"))

@@ -98,11 +98,11 @@ def digest(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, text = batch.column(0), batch.column(1)
+        ids, own, text = batch.columns
         for lo, hi, sizes, sums, keys in digest(text):
             yield pa.RecordBatch.from_arrays(
-                [ids.slice(lo, hi - lo), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), K.lists(keys, T // R)],
-                names=["doc_id", "n_shingles", "k1", "k2", "bands"],
+                [ids.slice(lo, hi - lo), own.slice(lo, hi - lo), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), K.lists(keys, T // R)],
+                names=["doc_id", "own", "n_shingles", "k1", "k2", "bands"],
             )
 
 
@@ -128,7 +128,7 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _own_text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (v, n, k1, k2, text) whose text has that class's set: a doc_id of several texts brings all of them here."""
+    """Rows (v, n, k1, k2, text) whose text has that class's set; texts of one doc_id and one hash come together here, but hardly ever do."""
     for batch in batches:
         keep: list[np.ndarray] = []
         n, k1, k2 = (batch.column(c).to_numpy() for c in (1, 2, 3))
@@ -259,18 +259,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     doc_id names the component. Empty table: no rows.
     """
     scratch = Scratch(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.write(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
+    text = F.col("text").cast("string")
+    # ``own`` tells texts of one doc_id apart
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    rows = scratch.write(docs.mapInArrow(_sketch_batches, "doc_id long, own long, n_shingles long, k1 long, k2 long, bands array<long>"), "sketch")
     real = rows.where("n_shingles > 0 and doc_id is not null")
     same = ["k1", "k2", "n_shingles"]
-    classes = real.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"), F.first("bands").alias("bands"))
-    classes = scratch.write(classes.withColumn("v", F.monotonically_increasing_id()), "classes")
+    classes = real.groupBy(*same).agg(F.min(F.struct("doc_id", "own")).alias("text_of"), F.count("*").alias("m"), F.first("bands").alias("bands"))
+    classes = scratch.write(classes.select(*same, "text_of", F.col("text_of.doc_id").alias("rep"), "m", "bands").withColumn("v", F.monotonically_increasing_id()), "classes")
     exploded = classes.select("v", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
     buckets = scratch.write(exploded.groupBy("key").agg(F.min("v").alias("leader"), F.count("*").alias("m")).where("m > 1"), "buckets")
     members = scratch.write(spread_join(exploded, buckets, ["key"]), "members")
     stars = scratch.write(members.where("v <> leader").groupBy(F.col("v").alias("a")).agg(F.min("leader").alias("b")), "stars")
-    involved = classes.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("n_shingles").alias("n"), "k1", "k2", F.col("rep").alias("doc_id"))
-    found = docs.join(involved, "doc_id").select("v", "n", "k1", "k2", "text").mapInArrow(_own_text_batches, "v long, text string")
+    involved = classes.join(members.select("v").distinct(), "v", "left_semi").select("v", F.col("n_shingles").alias("n"), "k1", "k2", "text_of.*")
+    found = docs.join(involved, ["doc_id", "own"]).select("v", "n", "k1", "k2", "text").mapInArrow(_own_text_batches, "v long, text string")
     texts = scratch.write(found.dropDuplicates(["v"]), "texts")
     links = scratch.write(_verified(texts, stars), "links")
     first = components(scratch, links)

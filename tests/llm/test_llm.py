@@ -919,3 +919,14 @@ def test_language_counts_are_not_cut(spark):
     assert np.frombuffer(row.counts, dtype=np.uint32).max() == len(long)
     frequency = {r.bucket: r.df for r in found.where("bucket is not null").groupBy("bucket").agg(F.sum("df").alias("df")).collect()}
     assert frequency[langid.BUCKETS] == 31 and max(v for k, v in frequency.items() if k < langid.BUCKETS) == 30
+
+
+def test_many_texts_of_one_doc_id(spark):
+    """Texts that share a doc_id are classes of their own and are linked as under ids of their own."""
+    r = random.Random(12)
+    base = [prose(r, 60) for _ in range(60)]
+    texts = [t for b in base for t in (b, b + " and more", prose(r, 60))]
+    one = minhash.near_duplicates(spark, spark.createDataFrame([(7, t, None, None, 1) for t in texts], DOCS)).collect()
+    own = minhash.near_duplicates(spark, spark.createDataFrame([(i, t, None, None, 1) for i, t in enumerate(texts)], DOCS)).collect()
+    assert sorted(x.n_shingles for x in one) == sorted(x.n_shingles for x in own) and all(x.kept and x.component_id == 7 for x in one)
+    assert len({x.component_id for x in own}) == 120

@@ -214,17 +214,6 @@ def test_pgn_files(spark, tmp_path):
     assert rows[0].raw.strip() == catalogue.GAME_ONE and rows[1].raw.strip() == catalogue.GAME_TWO
 
 
-def test_stream(spark, tmp_path):
-    from lectern.streaming.ingest import ingest
-
-    kind = "idx long, fp string, gid string, evs double"
-    paths = {k: str(tmp_path / k) for k in ("in", "state", "out", "check")}
-    for rows in ([(1, "A", "g", 50.0), (2, "B", "g", 60.0)], [(3, "A", "g", 50.0), (4, "C", "g", 70.0)]):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(paths["in"])
-        ingest(spark, paths["in"], kind, paths["state"], paths["out"], paths["check"]).awaitTermination(120)
-    assert [r.status for r in spark.read.parquet(paths["out"]).orderBy("idx").collect()] == ["NEW GAME", "UPGRADE", "DUPLICATE", "UPGRADE"]
-
-
 def test_sinks(spark, tmp_path):
     from lectern.sources import sinks
 

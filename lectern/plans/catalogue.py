@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
 from ..operators import books, chunks, coach, corpus, games, grammar, index, positions, search
-from ..sources import markup, pgn
+from ..sources import markup, pgn, sinks
 from ..sources.files import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -274,6 +274,17 @@ def index_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(found.write(revised).delete(marks.where("toxic = 1").select("doc_id")).scored(grammar.parsed("revised OR the")))
 
 
+@query("""with a as (select source file, count(*) games, sum(n_chars)::bigint chars from documents group by source), b as (select source file, count(*) games, sum(n_chars)::bigint chars from documents where lang = 'fr' group by source having count(*) >= 8)
+select file, coalesce(b.games, a.games) games, coalesce(b.chars, a.chars) chars from a left join b using (file)""")
+def summary_upserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries by file put in place of earlier ones in a keyed table."""
+    rows = docs(spark, sf_dir).select(F.col("source").alias("file"), "lang", "n_chars")
+    summed = lambda d: d.groupBy("file").agg(F.count("*").alias("games"), F.sum("n_chars").alias("chars"))
+    path = f"{scratch_dir(spark)}/lectern-keyed-{uuid.uuid4().hex}"
+    sinks.upsert(summed(rows), path, "file")
+    return sinks.upsert(summed(rows.where("lang = 'fr'")).where("games >= 8"), path, "file")
+
+
 @query(f"select doc_id, sha256({SQUEEZED}) fp from documents")
 def content_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", X.fingerprint(F.col("text")).alias("fp"))

@@ -9,6 +9,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .keyed import KeyedTable
+
 
 def write_chunks(chunks: DataFrame, path: str, statistics: DataFrame | None = None) -> None:
     """Chunks as JSON lines below ``path/chunks``, as many files as partitions; the run's statistics, one row, and the time of writing below ``path/stats``."""
@@ -40,22 +42,8 @@ def write_kept_list(games: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def upsert(new: DataFrame, path: str, key: str) -> DataFrame:
-    """The table at ``path`` with the rows of ``new`` in place of those with their keys, written as the next version of it.
-
-    Versions are subfolders ``version=n``; the latest is the table, so a reader or a failed write never sees half of one. Returns it.
-    """
-    spark = new.sparkSession
-    number, rows = 0, new
-    try:
-        versions = spark.read.option("basePath", path).parquet(path)
-        number = versions.agg(F.max("version")).first()[0]
-        old = versions.where(F.col("version") == number).drop("version")
-        number, rows = int(number) + 1, old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    rows.write.mode("overwrite").parquet(f"{path}/version={number}")
-    return spark.read.schema(rows.schema).parquet(f"{path}/version={number}")
+    """The keyed table at ``path`` with the rows of ``new`` in place of those with their keys; returns it."""
+    return KeyedTable(new.sparkSession, path, key).put(new)
 
 
 def append_hashes(accepted: DataFrame, path: str, batch: int) -> None:

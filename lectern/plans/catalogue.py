@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
 from ..operators import books, chunks, coach, corpus, games, grammar, index, positions, search
-from ..sources import markup, pgn, sinks
+from ..sources import known, markup, pgn, sinks
 from ..sources.files import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -322,8 +322,10 @@ def best_version_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"select doc_id, sha256({SQUEEZED}) in (select sha256({SQUEEZED}) from benchmark) known from documents")
 def persisted_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = table(spark, sf_dir, "benchmark").select(X.fingerprint(F.col("text")).alias("fp")).distinct().withColumn("known", F.lit(True))
-    return docs(spark, sf_dir).select("doc_id", X.fingerprint(F.col("text")).alias("fp")).join(known, "fp", "left").select("doc_id", F.coalesce("known", F.lit(False)).alias("known"))
+    """Documents against the fingerprints of the benchmark, by the filter of the stored state."""
+    state = known.Known(spark, f"{scratch_dir(spark)}/lectern-known-{uuid.uuid4().hex}")
+    state.append(table(spark, sf_dir, "benchmark").select(X.fingerprint(F.col("text")).alias("fp"), F.lit("").alias("gid"), F.lit(25.0).alias("evs")), "benchmark")
+    return state.look_up(docs(spark, sf_dir).select("doc_id", X.fingerprint(F.col("text")).alias("fp"))).rows.select("doc_id", "known")
 
 
 def _hits_sql(listed: list[str]) -> str:

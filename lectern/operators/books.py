@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import chess, text as X
 from ..sources import markup
-from .corpus import CHUNK_CHARS
+from .fold import CHUNK_CHARS
 
 INSTRUCTIVE = 50.0
 CHUNKS = "chunk_no long, chapter long, text string, fen string, diagrams array<struct<image_path:string,fen:string,is_ocr_based:boolean>>"

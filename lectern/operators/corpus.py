@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PLIES_PER_PART = 18
-CHUNK_CHARS = 2500
 #: Range of idx in which a running maximum is taken in one task.
 SPAN = 1_000_000
 
@@ -76,19 +75,6 @@ def overlap_parts(rows: DataFrame) -> DataFrame:
     return base.withColumn("piece", F.substring("text", F.col("start").cast("int") + 1, (F.col("end") - F.col("start")).cast("int"))).drop("_c")
 
 
-def fold_chunks(lengths: Column, limit: int = CHUNK_CHARS) -> Column:
-    """Chunk number of every element: a chunk closes with the element that brings it to ``limit``."""
-    big = 1 << 40
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("of"))
-
-    def step(a: Column, x: Column) -> Column:
-        size = a["at"] % big + x
-        chunk = F.floor(a["at"] / big)
-        return F.struct(F.when(size >= limit, (chunk + 1) * big).otherwise(chunk * big + size).cast("long").alias("at"), F.concat(a["of"], F.array(chunk.cast("long"))).alias("of"))
-
-    return F.aggregate(lengths, start, step, lambda a: a["of"])
-
-
 def breadcrumb(source: Column, *parts: tuple[str, Column]) -> Column:
     """``Source: Title Case`` and the parts that are not empty, joined by a triangle."""
     named = [F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{n}: "), c)) for n, c in parts]

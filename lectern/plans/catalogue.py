@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import scoring as S, text as X
-from ..operators import books, chunks, coach, corpus, games, grammar, index, positions, search
+from ..operators import books, chunks, coach, corpus, fold, games, grammar, index, positions, search
 from ..sources import known, markup, pgn, sinks
 from ..sources.files import scratch_dir
 
@@ -484,7 +484,17 @@ def threshold_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a document folded into chunks; the state stays inside the row."""
     lens = F.filter(F.transform(F.split("text", "\n"), lambda x: F.length(F.trim(x)).cast("long")), lambda n: n > 0)
     d = docs(spark, sf_dir).where("length(trim(text)) > 0").select("doc_id", lens.alias("l"))
-    return d.select("doc_id", F.size("l").cast("long").alias("elements"), (F.element_at(corpus.fold_chunks(F.col("l")), -1) + 1).alias("chunks"))
+    return d.select("doc_id", F.size("l").cast("long").alias("elements"), (F.element_at(fold.fold_chunks(F.col("l")), -1) + 1).alias("chunks"))
+
+
+@query("""with recursive l as (select doc_id, unnest(range(len(x))) line, unnest(x) s from (select doc_id, string_split(text, chr(10)) x from documents)),
+e as (select doc_id, line, length(s) n, sum(length(s)) over (partition by doc_id order by line) e from l),
+c as (select doc_id, 0 chunk, 0 first, 0::hugeint before from documents union all select c.doc_id, chunk + 1, nxt.line + 1, nxt.e from c, lateral (select line, e from e where e.doc_id = c.doc_id and e.e >= c.before + 2500 order by line limit 1) nxt)
+select doc_id, chunk::bigint chunk, count(*) lines, sum(n)::bigint chars from e join lateral (select max(chunk) chunk from c where c.doc_id = e.doc_id and c.first <= e.line) on true group by all""")
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as rows, cut into chunks over many tasks."""
+    lines = docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "s")).select("doc_id", "line", F.length("s").cast("long").alias("n"))
+    return fold.fold_rows(lines, "doc_id", "line", "n").groupBy("doc_id", "chunk").agg(F.count("*").alias("lines"), F.sum("n").alias("chars"))
 
 
 @query("select doc_id, 'Source: ' || upper(source[1]) || source[2:] || ' ▸ Course: ' || lang || case when n_chars > 1000 then ' ▸ Section: long' else '' end breadcrumb from documents")

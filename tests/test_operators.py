@@ -5,7 +5,6 @@ import random
 import zipfile
 
 import pytest
-from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from lectern.functions import chess, scoring as S, text as X
@@ -107,18 +106,6 @@ def test_overlap_golden(spark):
     assert [(r.start, r.end, r.moves) for r in rows] == [(0, 3, None), (0, 333, "1-18"), (300, 666, "19-36"), (633, 1000, "37-40")]
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.integers(0, 40), min_size=1, max_size=25))
-def test_fold(spark, lens):
-    want, size, chunk = [], 0, 0
-    for n in lens:
-        want.append(chunk)
-        size += n
-        if size >= 50:
-            size, chunk = 0, chunk + 1
-    assert one(spark, corpus.fold_chunks(F.array(*[F.lit(n).cast("long") for n in lens]), 50))[0] == want
-
-
 def test_parsers():
     assert corpus.parse_thresholds("70,80") == [70.0, 80.0] and corpus.parse_thresholds("x") == [70.0]
     assert corpus.parse_buckets(["30-40=path", "bad"]) == [(30.0, 40.0, "path")]

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..sources.files import scratch_dir
+
 PLIES_PER_PART = 18
 #: Range of idx in which a running maximum is taken in one task.
 SPAN = 1_000_000
+#: Values of a group that one task may sort for its median, bins of a round for a larger group, and groups that may be broadcast.
+MEDIAN_ROWS, BINS, MOST_HEAVY = 1_000_000, 1024, 100_000
 
 
 def dedup_status(new: DataFrame, state: DataFrame) -> DataFrame:
@@ -81,19 +87,74 @@ def breadcrumb(source: Column, *parts: tuple[str, Column]) -> Column:
     return F.concat_ws(" ▸ ", F.concat(F.lit("Source: "), F.initcap(F.replace(source, F.lit("_"), F.lit(" ")))), *named)
 
 
+def medians(rows: DataFrame, by: str, value: str, most: int = MEDIAN_ROWS) -> DataFrame:
+    """(``by``, ``median``): the exact median of the values of each group; null and NaN values are left out, and groups without others.
+
+    Groups of up to ``most`` rows are settled at once. In a larger one, the range that holds a middle rank is cut into BINS bins, whose counts tell the one
+    that holds it, until that has one value or up to ``most`` rows; each round reads the rows once. So no task holds more than ``most`` values of a group.
+    """
+    rows = rows.select(by, F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sizes = _written(sizes.where(F.col("n") > most))
+    count = sizes.count()
+    middle = lambda df: df.groupBy(by).agg(F.percentile("v", F.lit(0.5)).alias("median"))
+    if not count:
+        return middle(rows)
+    near = (lambda df: F.broadcast(df)) if 2 * count <= MOST_HEAVY else (lambda df: df)
+    named = lambda df, *more: df.select(F.col(by).alias("_by"), *more)
+    small = middle(rows.join(near(named(sizes)), F.col(by).eqNullSafe(F.col("_by")), "left_anti"))
+    ranks = F.explode(F.array_distinct(F.array(F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2))))
+    open_ = _written(sizes.select(by, ranks.alias("rank"), F.lit(0).cast("long").alias("below"), "lo", "hi", "n"))
+    settled: list[DataFrame] = []
+    while True:
+        done = open_.where((F.col("lo") == F.col("hi")) | (F.col("n") <= most))
+        settled.append(done)
+        left = open_.where((F.col("lo") < F.col("hi")) & (F.col("n") > most))
+        if left.isEmpty():
+            break
+        span = named(left, "lo", "hi").distinct()
+        part = (F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        inside = rows.join(near(span), F.col(by).eqNullSafe(F.col("_by")) & F.col("v").between(F.col("lo"), F.col("hi")))
+        bins = inside.groupBy(by, "lo", "hi", F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("bin")).agg(F.count("*").alias("c"), F.min("v").alias("first"), F.max("v").alias("last"))
+        bins = bins.withColumn("before", F.sum("c").over(W.partitionBy(by, "lo", "hi").orderBy("bin")) - F.col("c"))
+        wanted = named(left, F.col("lo").alias("_lo"), F.col("hi").alias("_hi"), "rank", "below")
+        at = F.col("rank") - F.col("below")
+        hit = bins.join(wanted, bins[by].eqNullSafe(wanted["_by"]) & (F.col("lo") == F.col("_lo")) & (F.col("hi") == F.col("_hi")) & (at >= F.col("before")) & (at < F.col("before") + F.col("c")))
+        open_ = _written(hit.select(by, "rank", (F.col("below") + F.col("before")).alias("below"), F.col("first").alias("lo"), F.col("last").alias("hi"), F.col("c").alias("n")))
+    found = settled[0]
+    for more in settled[1:]:
+        found = found.unionByName(more)
+    known = found.where("lo = hi").select(by, "rank", F.col("lo").alias("v"))
+    few = named(found.where("lo < hi"), "rank", "below", "lo", "hi")
+    # ``most`` rows of a group at most
+    place = F.row_number().over(W.partitionBy(by, "rank").orderBy("v")) - 1
+    among = rows.join(near(few), F.col(by).eqNullSafe(F.col("_by")) & F.col("v").between(F.col("lo"), F.col("hi"))).withColumn("place", place)
+    known = known.unionByName(among.where("place = rank - below").select(by, "rank", "v"))
+    return small.unionByName(known.groupBy(by).agg((F.min("v") + (F.max("v") - F.min("v")) * 0.5).alias("median")))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """``df`` written in the shared folder and read again."""
+    path = f"{scratch_dir(df.sparkSession)}/lectern-scratch-medians-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def quality_summary(rows: DataFrame, by: str) -> DataFrame:
     """Counts by tier, mean and median score, mean density and plies for each group of scored ``rows`` (evs, density, plies)."""
     tenth = lambda c, d: F.floor(c * float(10**d) + 0.5).cast("double") / float(10**d)
-    return rows.where("evs is not null").groupBy(by).agg(
+    rows = rows.where("evs is not null")
+    middle = medians(rows, by, "evs").select(F.col(by).alias("_by"), tenth(F.col("median"), 2).alias("median_evs"))
+    out = rows.groupBy(by).agg(
         F.count("*").alias("games"),
         F.count_if(F.col("evs") >= 70).alias("high"),
         F.count_if((F.col("evs") >= 45) & (F.col("evs") < 70)).alias("medium"),
         F.count_if(F.col("evs") < 45).alias("low"),
         tenth(F.avg("evs"), 2).alias("avg_evs"),
-        tenth(F.percentile("evs", F.lit(0.5)), 2).alias("median_evs"),
         tenth(F.avg("density"), 3).alias("avg_density"),
         tenth(F.avg("plies"), 1).alias("avg_plies"),
     )
+    return out.join(middle, out[by].eqNullSafe(middle["_by"]), "left").drop("_by")
 
 
 def parse_thresholds(text: str) -> list[float]:

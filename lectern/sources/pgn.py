@@ -68,9 +68,10 @@ def split(text: Column) -> Column:
 
 
 def header(raw: Column, tag: str, default: str = "Unknown") -> Column:
-    """A header's value, or the default where the tag is missing; an empty value is a value."""
+    """A header's value without white space around it, or the default where the tag is missing; an empty value is a value."""
     pattern = rf'\[{tag}\s+"([^"]*)"\]'
-    return F.when(raw.rlike(pattern), F.regexp_extract(raw, pattern, 1)).otherwise(F.lit(default))
+    value = F.regexp_replace(F.regexp_extract(raw, pattern, 1), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.when(raw.rlike(pattern), value).otherwise(F.lit(default))
 
 
 class Node:

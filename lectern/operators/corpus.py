@@ -23,13 +23,15 @@ def dedup_status(new: DataFrame, state: DataFrame) -> DataFrame:
     repeated content never gathers in one task; and the running maximum of a gid is taken in spans of idx (a whole number), over the
     best of the spans before, so neither does a gid that many fingerprints share.
     """
-    evs = F.coalesce("evs", F.lit(0.0))
-    known = state.select("fp").where("fp is not null").distinct().withColumn("known", F.lit(True))
-    rows = new.withColumn("evs", evs).join(known, "fp", "left")
-    firsts = rows.where("known is null and evs > 0 and fp is not null").groupBy("fp").agg(F.min("idx").alias("first"))
-    rows = rows.join(firsts, "fp", "left")
-    accepted = rows.where("known is null and evs > 0 and idx = first").select("idx", "gid", "evs")
-    accepted = accepted.withColumn("span", F.floor(F.col("idx") / SPAN))
+    rows = new.withColumn("evs", F.coalesce("evs", F.lit(0.0)))
+    narrow = ["idx", "fp", "gid", "evs"]
+    if set(rows.columns) == {*narrow}:
+        rows = _written(rows)  # what they are made from is read once
+    known = state.select("fp").where("fp is not null").distinct()
+    # the first row of a fingerprint with a score; of one that is not known, it is accepted
+    firsts = rows.where("evs > 0 and fp is not null").groupBy("fp").agg(F.min(F.struct("idx", "gid", "evs")).alias("f"))
+    accepted = firsts.join(known, "fp", "left_anti").select("fp", "f.*", F.floor(F.col("f.idx") / SPAN).alias("span"))
+    accepted = _written(accepted)
     before = lambda keys, order: W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     spans = accepted.groupBy("gid", "span").agg(F.max("evs").alias("best"))
     spans = spans.select("gid", "span", F.max("best").over(before(["gid"], "span")).alias("earlier")).where("earlier is not null")
@@ -37,10 +39,9 @@ def dedup_status(new: DataFrame, state: DataFrame) -> DataFrame:
     ranked = accepted.withColumn("top", F.max("evs").over(before(["gid", "span"], "idx"))).join(spans, ["gid", "span"], "left").join(best, "gid", "left")
     ranked = ranked.withColumn("prior", F.greatest("top", "earlier", "old"))
     verdict = F.when(F.col("prior").isNull(), "NEW GAME").when(F.col("evs") > F.col("prior"), "UPGRADE").otherwise("VERSION")
-    out = rows.join(ranked.select("idx", verdict.alias("verdict")), "idx", "left")
-    repeated = F.col("known").isNotNull() | (F.col("idx") > F.col("first"))
-    status = F.when(F.col("fp").isNull(), "ERROR").when(repeated, "DUPLICATE").when(F.col("verdict").isNotNull(), F.col("verdict")).otherwise("REJECTED")
-    return out.withColumn("status", status).drop("known", "first", "verdict")
+    fate = ranked.select("fp", F.col("idx").alias("_first"), verdict.alias("_verdict")).unionByName(known.select("fp", F.lit(None).cast(rows.schema["idx"].dataType).alias("_first"), F.lit("DUPLICATE").alias("_verdict")))
+    status = F.when(F.col("fp").isNull(), "ERROR").when((F.col("_verdict") == "DUPLICATE") | (F.col("idx") > F.col("_first")), "DUPLICATE").when(F.col("idx") == F.col("_first"), F.col("_verdict")).otherwise("REJECTED")
+    return rows.join(fate, "fp", "left").withColumn("status", status).drop("_first", "_verdict")
 
 
 def best_version(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:

@@ -30,6 +30,27 @@ def resolve(src: str, images: list[tuple[str, str]]) -> str:
     return next((web for path, web in images if src.endswith(path) or path.endswith(src)), "/diagrams/" + src.rsplit("/", 1)[-1])
 
 
+def image_paths(sources: DataFrame, images: DataFrame) -> DataFrame:
+    """``sources`` (book, src and others) with ``image_path``: the web path of the first of the book's ``images`` (book, ordinal, package_path, web_path)
+    whose path ends with the source or is its end, else /diagrams/<file name>. Null and empty sources have none, images without a path are none.
+
+    Ends are compared by equality: every end of a path meets the sources, every end of a source the paths, so rows follow the lengths of both
+    and not their product. Of the paths with one end only the first goes on.
+    """
+    ends = lambda c: F.explode(F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.substring(F.col(c), k, F.length(c)))).alias("end")
+    known = images.where("length(package_path) > 0").select(F.col("book").alias("_book"), "ordinal", "package_path", "web_path")
+    asked = sources.where("length(src) > 0").select(F.col("book").alias("_book"), F.col("src").alias("_src")).distinct()
+    first = lambda df: df.groupBy("_book", "end").agg(F.min("ordinal").alias("ordinal"))
+    longer = asked.withColumnRenamed("_src", "end").join(first(known.select("_book", ends("package_path"), "ordinal")), ["_book", "end"]).withColumnRenamed("end", "_src")
+    paths = first(known.select("_book", F.col("package_path").alias("end"), "ordinal"))
+    shorter = asked.select("_book", "_src", ends("_src")).join(paths, ["_book", "end"]).select("_book", "_src", "ordinal")
+    best = longer.unionByName(shorter).groupBy("_book", "_src").agg(F.min("ordinal").alias("ordinal"))
+    web = best.join(known.select("_book", "ordinal", "web_path"), ["_book", "ordinal"]).select("_book", "_src", F.col("web_path").alias("_web"))
+    rows = sources.join(web, (F.col("book") == F.col("_book")) & (F.col("src") == F.col("_src")), "left")
+    plain = F.concat(F.lit("/diagrams/"), F.element_at(F.split("src", "/"), -1))
+    return rows.withColumn("image_path", F.when(F.length("src") > 0, F.coalesce("_web", plain))).drop("_book", "_src", "_web")
+
+
 def fold(chapters: Iterable[tuple[int, str]], images: list[tuple[str, str]], limit: int = CHUNK_CHARS) -> Iterator[tuple]:
     """(chunk_no, chapter, text, fen, diagrams) of a book's (chapter, html) in order.
 

@@ -502,6 +502,19 @@ def breadcrumb_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", corpus.breadcrumb(F.col("source"), ("Course", F.col("lang")), ("Section", F.when(F.col("n_chars") > 1000, "long"))).alias("breadcrumb"))
 
 
+@query("""with p as (select page_id, regexp_extract(url, '//[^/]*/([a-z]+)', 1) book, regexp_replace(url, '[?#].*$', '') src from pages), s as (select page_id, 'whole' part, book, src from p union all select page_id, 'end', book, right(src, 2) from p),
+i as (select book, path, row_number() over (partition by book order by path) o from (select distinct book, regexp_extract(src, '[^/]*$') path from p) where path != ''),
+b as (select page_id, part, min(o) o from s join i on i.book = s.book and (suffix(src, path) or suffix(path, src)) group by all)
+select page_id, part, case when b.o is null then '/diagrams/' || regexp_extract(src, '[^/]*$') else '/diagrams/' || s.book || '_' || path end image_path from s left join b using (page_id, part) left join i on i.book = s.book and i.o = b.o where src != ''""")
+def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages, whole and their last two characters, resolved against the file names of their site's part as images are."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "//[^/]*/([a-z]+)", 1).alias("book"), F.regexp_replace("url", "[?#].*$", "").alias("src"))
+    images = p.select("book", F.regexp_extract("src", "[^/]*$", 0).alias("package_path")).distinct().where("package_path <> ''")
+    images = images.withColumns({"ordinal": F.row_number().over(W.partitionBy("book").orderBy("package_path")), "web_path": F.concat(F.lit("/diagrams/"), "book", F.lit("_"), "package_path")})
+    asked = p.withColumn("part", F.lit("whole")).unionByName(p.withColumn("part", F.lit("end")).withColumn("src", F.expr("right(src, 2)")))
+    return books.image_paths(asked, images).where("src <> ''").select("page_id", "part", "image_path")
+
+
 @query("select page_id, len(regexp_extract_all(html, '<p[ >]'))::bigint paragraphs, len(regexp_extract_all(html, '<h[1-3][ >]'))::bigint headings, len(regexp_extract_all(html, '<img[ >]'))::bigint images, regexp_extract(html, '<title>([^<]*)', 1) title from pages")
 def html_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")

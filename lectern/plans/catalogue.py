@@ -515,6 +515,32 @@ def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return books.image_paths(asked, images).where("src <> ''").select("page_id", "part", "image_path")
 
 
+@query(f"select md5(sha256({SQUEEZED})) marker, min(doc_id) diagram_id, min_by(source, doc_id) image_path from documents group by 1")
+def first_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of all diagrams of one position, with a key; documents stand in for diagrams and their text's fingerprint for the position."""
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("diagram_id"), F.col("source").alias("image_path"), X.fingerprint(F.col("text")).alias("fen"))
+    return books.first_by_position(d, "diagram_id").select("marker", "diagram_id", "image_path")
+
+
+@query("""with p as (select *, greatest(ceil(greatest(n_chars // 60, 1) / 18.0), 1)::bigint parts, length(text) len from documents),
+c as (select parts, part, len // parts c, len from p, lateral (select unnest(range(1, parts + 1)) part)), t as (select *, (case when part < parts then part * c else len end - case when part > 1 then greatest((part - 1) * c - c // 10, 0) else 0 end) // 3 tok from c)
+select (select count(distinct source) from documents) files, (select count(text) from documents) games_processed, (select count(*) from documents where text is null) games_failed, count(*) filter (parts > 1 and part = 1) games_split, count(*) chunks, sum(tok)::bigint tokens, sum(tok)::bigint * 0.02::double / 1e6 cost from t""")
+def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run over all documents read, split and made, and what its tokens cost."""
+    d = docs(spark, sf_dir).select("doc_id", F.col("source").alias("file"), "text", F.greatest(F.floor(F.col("n_chars") / 60), F.lit(1)).cast("long").alias("plies"))
+    made = corpus.overlap_parts(d).select(F.when(F.col("parts") > 1, F.col("part")).alias("part_num"), chunks.token_estimate(F.col("piece")).alias("token_estimate"))
+    return chunks.statistics(d, made)
+
+
+@query("""with t as (select conv_id, turn, role, string_split(trim(text), ' ') pv from conversations), v as (select conv_id, turn + 2 turn, pv[1] uci from t)
+select conv_id game, turn ply, pv[1] uci, 142 nag, array_to_string(pv[1:6], ' ') line from t where not exists (select 1 from v where v.conv_id = t.conv_id and v.turn = t.turn and v.uci = t.pv[1])""")
+def added_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that are not there yet: a turn's words are its line, the one two turns before is the variation that may be there."""
+    t = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("game"), F.col("turn").alias("ply"), F.split(F.trim("text"), " ").alias("pv"))
+    there = t.select("game", (F.col("ply") + 2).alias("ply"), F.col("pv")[0].alias("uci"))
+    return positions.better_lines(t, there).select("game", "ply", "uci", "nag", F.array_join("line", " ").alias("line"))
+
+
 @query("select page_id, len(regexp_extract_all(html, '<p[ >]'))::bigint paragraphs, len(regexp_extract_all(html, '<h[1-3][ >]'))::bigint headings, len(regexp_extract_all(html, '<img[ >]'))::bigint images, regexp_extract(html, '<title>([^<]*)', 1) title from pages")
 def html_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")

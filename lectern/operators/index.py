@@ -16,8 +16,11 @@ import math
 import re
 import uuid
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
@@ -26,6 +29,8 @@ from . import grammar as G, search as S
 
 #: Documents of a zone as a power of two, segments of like size that are merged, words that a folder of postings is made for, folders at most.
 ZONE_BITS, FAN, BUCKET_WORDS, MOST_BUCKETS = 7, 4, 5_000_000, 4096
+#: Words of which the postings are made at a time.
+SLICE_WORDS = 400_000
 #: Zones that are named in a scan, and ranges of them; beyond, zones are joined.
 MOST_NAMED, MOST_RANGES = 20_000, 256
 #: Scores within this of each other may change places by rounding.
@@ -59,6 +64,63 @@ def ranges(zones: list[int], most: int = MOST_RANGES) -> list[tuple[int, int]]:
     return [(zones[a + 1], zones[b]) for a, b in zip([-1, *cuts], [*cuts, len(zones) - 1])] if zones else []
 
 
+def _blocks(buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Postings of (zone, doc_id, words), made where these lie: a zone's documents follow each other, so a word has one block in it, or one more where a file is split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.asarray(pc.fill_null(pc.list_value_length(batch.column(2)), 0)).astype(np.int64)
+            edge = np.flatnonzero(np.diff(batch.column(0).to_numpy(), prepend=-1))  # first documents of zones
+            start = 0
+            while start < len(batch):
+                end = int(np.searchsorted(np.cumsum(size[start:]), SLICE_WORDS, side="right")) + start
+                later = edge[edge > start]
+                whole = later[later <= end]
+                stop = int(whole[-1]) if len(whole) else int(later[0]) if len(later) else len(batch)  # whole zones
+                stop = len(batch) if end >= len(batch) else stop
+                found = _block_rows(batch.slice(start, stop - start), buckets)
+                if found is not None:
+                    yield found
+                start = stop
+
+    return run
+
+
+def _offsets(first: np.ndarray, n: int) -> pa.Array:
+    return pa.array(np.append(first, n).astype(np.int32))
+
+
+def _block_rows(batch: pa.RecordBatch, buckets: int) -> pa.RecordBatch | None:
+    zone, ids, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
+    words = lists.flatten().dictionary_encode()
+    size = np.asarray(pc.fill_null(pc.list_value_length(lists), 0)).astype(np.int64)
+    n = len(words)
+    if not n:
+        return None
+    code, doc = words.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(batch)), size)
+    at = np.arange(n) - np.repeat(np.cumsum(size) - size, size)
+    number = np.cumsum(np.diff(zone, prepend=zone[0]) != 0)
+    key = number[doc] * len(words.dictionary) + code
+    order = np.argsort(key, kind="stable")  # words lie in order of document and place
+    key, doc, at = key[order], doc[order], at[order]
+    hit = np.flatnonzero((np.diff(key, prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
+    block = np.flatnonzero(np.diff(key[hit], prepend=-1))
+    tf, held = np.diff(np.append(hit, n)), doc[hit]
+    length = size[held]
+    owner = np.repeat(np.arange(len(block)), np.diff(np.append(block, len(hit))))
+    by = np.lexsort((length, tf, owner))
+    least = by[np.flatnonzero((np.diff(owner[by], prepend=-1) != 0) | (np.diff(tf[by], prepend=-1) != 0))]  # the shortest document of each count
+    best = pa.ListArray.from_arrays(_offsets(np.searchsorted(owner[least], np.arange(len(block))), len(least)), pa.StructArray.from_arrays([pa.array(tf[least].astype(np.int32)), pa.array(length[least].astype(np.int32))], names=["tf", "len"]))
+    listed = lambda values: pa.ListArray.from_arrays(_offsets(block, len(hit)), values)
+    places = pa.ListArray.from_arrays(_offsets(hit, n), pa.array(at.astype(np.int32)))
+    term = words.dictionary.take(pa.array(key[hit[block]] % len(words.dictionary)))
+    bucket = np.array([zlib.crc32(t.encode()) % buckets for t in term.to_pylist()], dtype=np.int32)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket), term.cast(pa.string()), pa.array(zone[held[block]]), pa.array(np.diff(np.append(block, len(hit)))), best, listed(pa.array(ids[held])), listed(pa.array(length.astype(np.int32))), listed(pa.array(tf.astype(np.int32))), listed(places)],
+        names=["bucket", "term", "zone", "n", "best", "docs", "lens", "tfs", "places"],
+    )
+
+
 class Index:
     """The index at ``path``, as of its last version or of the ``version`` given."""
 
@@ -136,15 +198,7 @@ class Index:
         size = docs.agg(F.count("*").alias("docs"), F.coalesce(F.sum(F.size("words").cast("long")), F.lit(0)).alias("words")).first()
         buckets = min(MOST_BUCKETS, 1 << max(0, math.ceil(math.log2(max(1, size.words) / BUCKET_WORDS))))
         if size.words:
-            each = docs.where("doc_id is not null").select("zone", "doc_id", F.size("words").alias("len"), F.posexplode("words").alias("at", "term"))
-            hits = each.groupBy("term", "zone", "doc_id", "len").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("at")).alias("at"))
-            # a zone has ZONE documents at most
-            blocks = hits.groupBy("term", "zone").agg(F.array_sort(F.collect_list(F.struct("doc_id", "len", "tf", "at"))).alias("h"))
-            column = lambda name: F.transform("h", lambda x: x[name])
-            least = lambda tf: F.array_min(F.transform(F.filter("h", lambda x: x["tf"] == tf), lambda x: x["len"]))
-            best = F.transform(F.array_distinct(column("tf")), lambda t: F.struct(t.alias("tf"), least(t).alias("len")))
-            bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
-            blocks = blocks.select(bucket.alias("bucket"), "term", "zone", F.size("h").cast("long").alias("n"), best.alias("best"), *[column(c).alias(n) for c, n in (("doc_id", "docs"), ("len", "lens"), ("tf", "tfs"), ("at", "places"))])
+            blocks = docs.where("doc_id is not null").mapInArrow(_blocks(buckets), f"bucket int, {_POSTINGS}")
             blocks.repartitionByRange("bucket", "term", "zone").sortWithinPartitions("bucket", "term", "zone").write.options(**_WRITE).partitionBy("bucket").parquet(f"{at}/postings")
         return name, {"docs": size.docs, "words": size.words, "buckets": buckets}
 

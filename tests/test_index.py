@@ -204,3 +204,21 @@ def test_fragments(spark, tmp_path):
             shown = ("..." if begin else "") + shown + ("..." if begin + width < len(spans) else text[at:])
             assert got[i] == shown
             assert len({kinds[k] for k in window(begin)}) == max(len({kinds[k] for k in window(p)}) for p in range(len(spans)))
+
+
+@pytest.mark.parametrize("most", [1, 30, 10**6])
+def test_blocks_of_batches(monkeypatch, most):
+    """Blocks of any batch hold every place of every word once, with the least length for each count."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(I, "SLICE_WORDS", most)
+    r = random.Random(most)
+    docs = [(i // 5, i, r.choices(["a", "bé", "c", "d"], [8, 3, 2, 1], k=r.randrange(0, 12))) for i in range(60)]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.list_(pa.string()))], names=["zone", "doc_id", "words"])
+    found = [row for b in I._blocks(4)(iter([batch(docs[:33]), batch([]), batch(docs[33:])])) for row in b.to_pylist()]
+    got = {(x["term"], d): (n, tf, at) for x in found for d, n, tf, at in zip(x["docs"], x["lens"], x["tfs"], x["places"])}
+    want = {(w, i): (len(ws), ws.count(w), [k for k, v in enumerate(ws) if v == w]) for _, i, ws in docs for w in set(ws)}
+    assert got == want and sum(x["n"] for x in found) == len(want)
+    for x in found:
+        assert {d // 5 for d in x["docs"]} == {x["zone"]} and x["bucket"] == I.zlib.crc32(x["term"].encode()) % 4
+        assert {(b["tf"], b["len"]) for b in x["best"]} == {(t, min(n for n, u in zip(x["lens"], x["tfs"]) if u == t)) for t in x["tfs"]}

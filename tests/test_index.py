@@ -214,7 +214,7 @@ def test_blocks_of_batches(monkeypatch, most):
     monkeypatch.setattr(I, "SLICE_WORDS", most)
     r = random.Random(most)
     docs = [(i // 5, i, r.choices(["a", "bé", "c", "d"], [8, 3, 2, 1], k=r.randrange(0, 12))) for i in range(60)]
-    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows]), pa.array([x[1] for x in rows]), pa.array([x[2] for x in rows], pa.list_(pa.string()))], names=["zone", "doc_id", "words"])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), pa.array([x[1] for x in rows], pa.int64()), pa.array([x[2] for x in rows], pa.list_(pa.string()))], names=["zone", "doc_id", "words"])
     found = [row for b in I._blocks(4)(iter([batch(docs[:33]), batch([]), batch(docs[33:])])) for row in b.to_pylist()]
     got = {(x["term"], d): (n, tf, at) for x in found for d, n, tf, at in zip(x["docs"], x["lens"], x["tfs"], x["places"])}
     want = {(w, i): (len(ws), ws.count(w), [k for k, v in enumerate(ws) if v == w]) for _, i, ws in docs for w in set(ws)}

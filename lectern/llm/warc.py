@@ -23,6 +23,8 @@ from .shared import Scratch, spread_join
 #: Compressed bytes after which a task begins another archive.
 ROLL_BYTES = 64 << 20
 CHUNK = 1 << 16
+#: Bytes in which a header ends.
+HEAD_BYTES = 1 << 20
 LEVEL = 6
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -77,63 +79,106 @@ def decompressed(stream) -> Iterator[bytes | None]:
 
 
 def fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
+    """Names in lower case and values of a header without its first line; a line that begins with a space goes on with the value before."""
+    found: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            found[name] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            found[name] = value.strip()
+    return found
 
 
 def page(urn: str | None) -> int | None:
-    """The page number of a record id, None where it has none."""
+    """The page number of a record id of this writer, None where it has none."""
     number = (urn or "").strip("<>").removeprefix(URN)
-    return int(number) if number else None
+    return int(number) if number.lstrip("-").isdigit() else None
+
+
+class Digest:
+    """A declared digest, ``algorithm:value`` in base32, base64 or hexadecimal; one that is missing or of an unknown algorithm fits anything."""
+
+    def __init__(self, declared: str | None):
+        name, _, self.value = (declared or "").partition(":")
+        name = name.strip().lower().replace("-", "")
+        self.value, self.sum = self.value.strip(), hashlib.new(name) if name in ("md5", "sha1", "sha256", "sha384", "sha512") else None
+
+    def update(self, part: bytes) -> None:
+        if self.sum is not None:
+            self.sum.update(part)
+
+    def fits(self) -> bool:
+        if self.sum is None:
+            return True
+        own = self.sum.digest()
+        return self.value.rstrip("=").upper() == base64.b32encode(own).decode().rstrip("=") or self.value.lower() == own.hex() or self.value == base64.b64encode(own).decode()
 
 
 def read_records(stream) -> Iterator[dict]:
-    """The records of an archive in order. Raises ValueError for bad framing or a digest that does not fit."""
+    """The records of an archive in order, of any type and writer of WARC 1.0 and 1.1: record_id, record_type, date, target_uri, content_type, refers_to,
+    payload_bytes, payload_digest.
+
+    Ids and types are text, digests are checked where they are declared and the payload is whole and as it was sent. The payload of an HTTP message is what follows its
+    header, that of any other record its block; payload_digest is the declared SHA-1 in base32, else that of the payload. A revisit has the length that its header states.
+    A block is never held, a header up to HEAD_BYTES. Raises ValueError for bad framing or a digest that does not fit.
+    """
     pieces = decompressed(stream)
     for piece in pieces:
-        held = bytearray()
-        while END not in held:
-            if piece is None:
+        held, at = bytearray(), -1
+        while at < 0:
+            if piece is None or len(held) > HEAD_BYTES:
                 raise ValueError("record without a header")
             held += piece
-            piece = next(pieces) if END not in held else piece
-        at = held.index(END)
+            at = held.find(END, max(0, len(held) - len(piece) - 3))
+            piece = next(pieces) if at < 0 else piece
+        if not held.startswith(b"WARC/1."):
+            raise ValueError("not a WARC record")
         warc, rest = fields(bytes(held[:at])), bytes(held[at + 4 :])
         left = int(warc["content-length"])
-        block, payload, size = hashlib.sha1(), hashlib.sha1(), 0
+        block, payload, own, size = Digest(warc.get("warc-block-digest")), Digest(warc.get("warc-payload-digest")), hashlib.sha1(), 0
         http, tail = bytearray(), b""
-        inside = False
+        inside = not warc.get("content-type", "").lower().startswith("application/http")
         while True:
             part, tail = rest[:left], tail + rest[left:]
             left -= len(part)
             block.update(part)
             if not inside:
                 http += part
-                if END in http:
-                    cut = http.index(END) + 4
-                    inside, part, http = True, bytes(http[cut:]), http[:cut]
-                else:
+                cut = http.find(END, max(0, len(http) - len(part) - 3))
+                if cut < 0 and len(http) <= HEAD_BYTES:
                     part = b""
+                else:  # a header that is too long is none
+                    inside, part, http = True, bytes(http[cut + 4 :]) if cut >= 0 else bytes(http), http[: cut + 2] if cut >= 0 else bytearray()
             payload.update(part)
+            own.update(part)
             size += len(part)
+            if len(tail) > len(END):
+                break
             rest = next(pieces)
             if rest is None:
                 break
         if left or tail != END:
             raise ValueError("content length does not fit the record")
-        revisit = warc["warc-type"] == "revisit"
-        declared = warc["warc-payload-digest"].removeprefix("sha1:")
-        whole = int(fields(bytes(http)).get("content-length", size))
-        if warc["warc-block-digest"].removeprefix("sha1:") != base64.b32encode(block.digest()).decode():
+        header, kind = fields(bytes(http)), warc.get("warc-type", "")
+        if not block.fits():
             raise ValueError("block digest does not fit")
-        if not revisit and (declared != base64.b32encode(payload.digest()).decode() or whole != size):
+        complete = kind != "revisit" and "warc-truncated" not in warc and "warc-segment-number" not in warc and "transfer-encoding" not in header
+        if complete and not payload.fits():
             raise ValueError("payload digest does not fit")
+        declared = warc.get("warc-payload-digest", "")
+        stated = header.get("content-length", "")
         yield {
-            "page_id": page(warc["warc-record-id"]),
-            "payload_bytes": whole,
-            "payload_digest": declared,
-            "record_type": warc["warc-type"],
-            "refers_to": page(warc["warc-refers-to"]) if revisit else None,
-            "url": warc.get("warc-target-uri"),
+            "record_id": warc.get("warc-record-id"),
+            "record_type": kind,
+            "date": warc.get("warc-date"),
+            "target_uri": warc.get("warc-target-uri"),
+            "content_type": warc.get("content-type"),
+            "refers_to": warc.get("warc-refers-to"),
+            "payload_bytes": int(stated) if kind == "revisit" and stated.isdigit() else size,
+            "payload_digest": declared[5:] if declared.lower().startswith("sha1:") else base64.b32encode(own.digest()).decode(),
         }
 
 
@@ -201,8 +246,8 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                 files, name = open_fs(path)
                 with files.open_input_stream(name, compression=None) as stream:
                     held = []
-                    for record in read_records(stream):
-                        held.append(record)
+                    for r in read_records(stream):
+                        held.append({**r, "page_id": page(r["record_id"]), "refers_to": page(r["refers_to"]), "url": r["target_uri"]})
                         if len(held) == 1000:
                             yield pa.RecordBatch.from_pylist(held, schema=schema)
                             held = []

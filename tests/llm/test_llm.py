@@ -816,7 +816,7 @@ def test_bytes_that_are_not_utf8(spark):
 
 def test_warc_reader_refuses_damage():
     good = warc.encode_record(1, "u", b"payload" * 50_000, None, False) + warc.encode_record(2, "u", b"", 1, True)
-    assert [r["page_id"] for r in warc.read_records(io.BytesIO(good))] == [1, 2]
+    assert [warc.page(r["record_id"]) for r in warc.read_records(io.BytesIO(good))] == [1, 2]
     import zlib
 
     text = zlib.decompress(warc.encode_record(1, "u", b"payload", None, False), 31)
@@ -830,6 +830,40 @@ def test_warc_reader_refuses_damage():
             list(warc.read_records(io.BytesIO(bad)))
 
 
+def test_warc_reader_of_other_writers():
+    """Records of all types, ids of any form, digests that are missing or of other algorithms, long blocks without an empty line."""
+    import base64
+    import hashlib
+    import zlib
+
+    def packed(head, block, version="WARC/1.0"):
+        c = zlib.compressobj(6, zlib.DEFLATED, 31)
+        text = "\r\n".join([version, *head, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        return c.compress(text) + c.flush()
+
+    body, http = b"<p>hello</p>" * 20_000, b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    sha = base64.b32encode(hashlib.sha1(body).digest()).decode()
+    chunked = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n5\r\nhello\r\n0\r\n\r\n"
+    archive = [
+        packed(["WARC-Type: warcinfo", "WARC-Record-ID: <urn:uuid:aa>", "Content-Type: application/warc-fields"], b"software: x\r\n"),
+        packed(["WARC-Type: request", "WARC-Record-ID: <urn:uuid:ab>", "Content-Type: application/http; msgtype=request"], b"GET / HTTP/1.1\r\nHost: x\r\n\r\n"),
+        packed(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:ac>", "Content-Type: application/http;", "  msgtype=response", f"WARC-Payload-Digest: sha1:{sha}", "WARC-Target-URI: http://x/", "WARC-Block-Digest: md5:" + hashlib.md5(http + body).hexdigest()], http + body, "WARC/1.1"),
+        packed(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:ad>", "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha}"], chunked),
+        packed(["WARC-Type: resource", "WARC-Record-ID: <urn:uuid:ae>", "Content-Type: image/png", "WARC-Payload-Digest: crc9:zz"], b"\x00" * 3_000_000),
+        packed(["WARC-Type: response", "WARC-Record-ID: <urn:uuid:af>", "Content-Type: application/http"], b"y" * 3_000_000),
+        packed(["WARC-Type: metadata", "WARC-Record-ID: <urn:uuid:ba>"], b""),
+        packed(["WARC-Type: revisit", "WARC-Record-ID: <urn:uuid:bb>", "WARC-Refers-To: <urn:uuid:ac>", "Content-Type: application/http", f"WARC-Payload-Digest: sha1:{sha}"], b"HTTP/1.1 200 OK\r\nContent-Length: 77\r\n\r\n"),
+    ]
+    got = list(warc.read_records(io.BytesIO(b"".join(archive))))
+    assert [r["record_type"] for r in got] == ["warcinfo", "request", "response", "response", "resource", "response", "metadata", "revisit"]
+    assert [r["payload_bytes"] for r in got] == [13, 0, len(body), 15, 3_000_000, 3_000_000, 0, 77]
+    assert got[0]["record_id"] == "<urn:uuid:aa>" and warc.page(got[0]["record_id"]) is None and got[7]["refers_to"] == "<urn:uuid:ac>"
+    assert got[2]["payload_digest"] == sha and got[2]["target_uri"] == "http://x/" and got[4]["payload_digest"] == base64.b32encode(hashlib.sha1(b"\x00" * 3_000_000).digest()).decode()
+    for bad in (packed(["WARC-Type: resource", "WARC-Block-Digest: sha256:" + "0" * 64], b"x"), packed(["WARC-Type: resource"], b"x", "HTTP/1.1")):
+        with pytest.raises(ValueError):
+            list(warc.read_records(io.BytesIO(bad)))
+
+
 # 10 chat
 
 

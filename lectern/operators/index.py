@@ -1,7 +1,7 @@
 """Inverted index in immutable segments, with block-wise top-k, and the query chains over it.
 
 An index is a folder of segments, of removals, and of versions that name the live ones. A segment holds the words of its documents
-(``docs``) and postings in blocks: the documents of a zone of ZONE that hold a term are one row, with the least length for each count of the
+(``docs``) and postings in blocks: the documents of a zone, 2**ZONE_BITS that lie together, that hold a term are one row, with the least length for each count of the
 term, from which the best score that the block can give follows exactly. Postings lie in folders by hash of the term, in order of term and zone, in small
 pages, so a search opens the folders of its words, reads the heads of their blocks, and then only the blocks that may hold a wanted document.
 
@@ -28,7 +28,7 @@ from ..sources.files import Conflict, Log, exists, scratch_dir, stamp
 from . import grammar as G, search as S
 
 #: Documents of a zone as a power of two, segments of like size that are merged, words that a folder of postings is made for, folders at most.
-ZONE_BITS, FAN, BUCKET_WORDS, MOST_BUCKETS = 7, 4, 5_000_000, 4096
+ZONE_BITS, FAN, BUCKET_WORDS, MOST_BUCKETS = 9, 4, 5_000_000, 4096
 #: Words of which the postings are made at a time.
 SLICE_WORDS = 400_000
 #: Zones that are named in a scan, and ranges of them; beyond, zones are joined.

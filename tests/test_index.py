@@ -116,7 +116,9 @@ def large(spark, tmp_path_factory):
     """Documents in a few hundred zones, with common and rare words."""
     words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(400)]
     rows, d = random_docs(spark, 3, 30_000, words, 25)
-    return words, I.Index(spark, str(tmp_path_factory.mktemp("large") / "i")).write(d)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(I, "ZONE_BITS", 7)
+        return words, I.Index(spark, str(tmp_path_factory.mktemp("large") / "i")).write(d)
 
 
 def test_top_ten_by_blocks(spark, large):

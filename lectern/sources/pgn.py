@@ -6,6 +6,7 @@ import hashlib
 import re
 import warnings
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -149,17 +150,31 @@ def tree(raw: str) -> Node:
     return root
 
 
+@lru_cache(1 << 14)
+def after(now: chess.Position, word: str) -> chess.Position | None:
+    """The position after a move, None for an illegal one; openings are shared by many texts, so a bounded number is kept."""
+    try:
+        return now.play(now.san(word))
+    except ValueError:
+        return None
+
+
+@lru_cache(1 << 14)
+def fen(now: chess.Position) -> str:
+    """The FEN of a position, kept alike."""
+    return now.fen()
+
+
 def played(words: Iterable[str], most: int) -> Iterator[chess.Position]:
     """The positions after the legal moves among the words, up to ``most`` or a result."""
     now = chess.Position.parse(chess.START)
     for word in words:
         if word in RESULTS or not most:
             return
-        try:
-            now = now.play(now.san(word))
-        except ValueError:
+        reached = after(now, word)
+        if reached is None:
             continue
-        most -= 1
+        now, most = reached, most - 1
         yield now
 
 
@@ -167,7 +182,7 @@ def position_after(text: str, plies: int = 20, least: int = 2) -> str | None:
     """The FEN that the moves of a prose text reach from its first ``1.``; None without ``least`` plies."""
     begin = re.search(r"\b1\.\s*[a-hNBRQKO]", text)
     reached = list(played((m["word"] for m in PROSE.finditer(text, begin.start()) if m["word"]), plies)) if begin else []
-    return reached[-1].fen() if len(reached) >= least else None
+    return fen(reached[-1]) if len(reached) >= least else None
 
 
 def prune(node: Node) -> None:

@@ -216,3 +216,24 @@ def test_sinks(spark, tmp_path):
     sinks.write_kept(corpus.in_buckets(d.withColumnRenamed("threshold", "evs"), [(60.0, 70.0, "low"), (70.0, 90.0, "high")]), str(tmp_path / "b"), "bucket")
     assert sorted((r.bucket, r.value) for r in spark.read.text(str(tmp_path / "b")).where("value <> ''").collect()) == [("high", "g1"), ("high", "g2"), ("low", "g1")]
     assert spark.read.json(str(tmp_path / "chunks" / "chunks")).count() == spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_replay_tries_few_moves(monkeypatch):
+    """A move is sought among those of its piece and square, a repeated opening is replayed once; what is illegal or ambiguous stays so."""
+    tried = []
+    play = chess.Position.play
+    monkeypatch.setattr(chess.Position, "play", lambda self, m: tried.append(m) or play(self, m))
+    pgn.after.cache_clear()
+    pgn.fen.cache_clear()
+    text = "Then 1. e4 e5 2. Nf3 Nc6 3. Bb5 a6 4. Ba4 Nf6 5. O-O Be7 ends it."
+    want = "r1bqk2r/1pppbppp/p1n2n2/4p3/B3P3/5N2/PPPP1PPP/RNBQ1RK1 w kq - 4 6"
+    assert pgn.position_after(text) == want and len(tried) <= 40
+    done = len(tried)
+    assert pgn.position_after("Again " + text) == want and len(tried) == done
+    p = chess.Position.parse("4k3/8/8/8/1b6/2N5/8/1N2K3 w - - 0 1")  # the knight on c3 is pinned
+    assert p.san("Nd2").uci() == "b1d2" and p.san("Na3").uci() == "b1a3"
+    for text in ("Nd5", "Kd2x", "O-O", "Ke3"):
+        with pytest.raises(ValueError):
+            p.san(text)
+    with pytest.raises(ValueError):
+        chess.Position.parse("4k3/8/8/8/8/2N5/8/4K1N1 w - - 0 1").san("Ne2")

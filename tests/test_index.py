@@ -224,3 +224,21 @@ def test_blocks_of_batches(monkeypatch, most):
     for x in found:
         assert {d // 5 for d in x["docs"]} == {x["zone"]} and x["bucket"] == I.zlib.crc32(x["term"].encode()) % 4
         assert {(b["tf"], b["len"]) for b in x["best"]} == {(t, min(n for n, u in zip(x["lens"], x["tfs"]) if u == t)) for t in x["tfs"]}
+
+
+def test_near_in_long_texts(spark, tmp_path):
+    """NEAR against brute force, and in a text of thousands of places in no more than the time of their order."""
+    import pyarrow as pa
+
+    r = random.Random(12)
+    for lengths, within in (([1, 1], 3), ([1, 2, 1], 0), ([2], 5), ([1, 1], 10**30)):
+        rows = [[r.sample(range(80), r.randrange(0, 9)) for _ in lengths] for _ in range(60)]
+        got = G._clumps(lengths, within)(pa.array(rows, pa.list_(pa.list_(pa.int32())))).to_pylist()
+        for row, x in zip(rows, got):
+            beside = lambda j, last, at: at <= last <= at + lengths[j] + within
+            ends = [e for places in row for e in places if all(any(beside(j, e, at) for at in p) for j, p in enumerate(row))]
+            assert x == {"found": bool(ends), "counts": [sum(any(beside(j, e, at) for e in ends) for at in p) for j, p in enumerate(row)]}
+    assert G._clumps([1, 1], 3)(pa.array([], pa.list_(pa.list_(pa.int32())))).to_pylist() == []
+    d = spark.createDataFrame([(1, "of a with b c d e f " * 20_000), (2, "of a b c d with"), (3, "with of")], DOCS)
+    index = I.Index(spark, str(tmp_path / "i")).write(d)
+    assert set(ranked(index.scored(G.parsed("NEAR(of with, 3)")))) == {1, 3}

@@ -226,6 +226,40 @@ def test_blocks_of_batches(monkeypatch, most):
         assert {(b["tf"], b["len"]) for b in x["best"]} == {(t, min(n for n, u in zip(x["lens"], x["tfs"]) if u == t)) for t in x["tfs"]}
 
 
+def test_postings_lie_by_bucket_and_best_weight(spark, tmp_path, monkeypatch):
+    """A bucket is one file whose pages hold many blocks; a word's blocks lie from the best to the least, so a threshold skips pages."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(I, "ZONE_BITS", 3)
+    monkeypatch.setattr(I, "BUCKET_WORDS", 20_000)
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    rows, d = random_docs(spark, 9, 3000, words, 60)
+    index = I.Index(spark, str(tmp_path / "i")).write(d)
+    (name, s), mean = next(iter(index.segments.items())), index.mean
+    assert s["buckets"] == 8
+    for b in range(8):
+        (file,) = glob.glob(f"{index.path}/segments/{name}/postings/bucket={b}/*.parquet")
+        found = pq.read_table(file, columns=["term", "top", "best"]).to_pylist()
+        assert found and found == sorted(found, key=lambda x: (x["term"], -x["top"]))
+        weight = lambda x: x["tf"] * 2.2 / (x["tf"] + 1.2 * (0.25 + 0.75 * x["len"] / mean))
+        assert all(abs(x["top"] - max(map(weight, x["best"]))) < 1e-12 for x in found)
+
+
+def test_thresholds_after_updates(spark, tmp_path, monkeypatch):
+    """``top`` is by the mean length of a segment when it was written; the best are right too when the index has another mean since."""
+    monkeypatch.setattr(I, "ZONE_BITS", 2)
+    index = I.Index(spark, str(tmp_path / "i"))
+    for seed, most in ((31, 6), (32, 60), (33, 250)):
+        _, d = random_docs(spark, seed, 300, most=most)
+        index = index.write(d.select((F.col("doc_id") + 1000 * seed).alias("doc_id"), "text"))
+    index = index.delete(spark.range(33_000, 33_120).withColumnRenamed("id", "doc_id"))
+    top = lambda df: [(x.doc_id, round(x.score, 6)) for x in df.select("doc_id", F.round("score", 6).alias("score")).orderBy("score", "doc_id").limit(7).collect()]
+    for q in ("pawn", "trap OR e4", "queen rook", "king NOT side", "(plan OR trap) AND file"):
+        assert top(index.best(G.parsed(q), 7)) == top(index.scored(G.parsed(q))), q
+
+
 def test_near_in_long_texts(spark, tmp_path):
     """NEAR against brute force, and in a text of thousands of places in no more than the time of their order."""
     import pyarrow as pa

@@ -6,14 +6,14 @@ tells those that no term has, and the bytes of the rest are compared. So the cos
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
 
 #: Windows that are looked at together; bits of the table.
-BLOCK, TABLE_BITS = 1 << 20, 20
+BLOCK, TABLE_BITS = 1 << 18, 20
 _U = np.uint64
 BASE = 0xD6E8FEB86659FD93
 _BYTE = np.random.default_rng(3).integers(1, 2**63, 256, dtype=_U) | _U(1)
@@ -41,10 +41,10 @@ class Patterns:
             table[h >> _U(64 - TABLE_BITS)] = True
             self.groups.append((length, h[order], np.array(ids)[order], body[order], table))
 
-    def matches(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(place, term) of all occurrences, overlapping ones too, in texts that end at ``ends``."""
-        places, terms = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    def matches(self, data: np.ndarray, ends: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(place, term) of all occurrences, overlapping ones too, in texts that end at ``ends``: those that begin in a block, for each block."""
         for a in range(0, len(data), BLOCK):
+            places, terms = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
             part = data[a : a + BLOCK + self.longest]
             sums = np.concatenate([np.zeros(1, dtype=_U), np.cumsum(_BYTE[part] * self.power[: len(part)], dtype=_U)])
             for length, hashes, ids, body, table in self.groups:
@@ -63,30 +63,48 @@ class Patterns:
                     places.append(a + at[inside])
                     terms.append(ids[lo[inside]])
                     lo = lo + 1
-        return np.concatenate(places), np.concatenate(terms)
+            yield np.concatenate(places), np.concatenate(terms)
 
     def counts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, term, occurrences that don't overlap, from the left) of a string column; nulls have none."""
+        many = max(1, len(self.terms))
+        found = [(text * many + term, n) for text, term, n in self.counted(column)]
+        key, at = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *[k for k, _ in found]]), return_inverse=True)
+        n = np.zeros(len(key), dtype=np.int64)
+        np.add.at(n, at, np.concatenate([np.zeros(0, dtype=np.int64), *[x for _, x in found]]))
+        return key // many, key % many, n
+
+    def counted(self, column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``counts`` of each block, in order.
+
+        A text that lies in several blocks is in the counts of each. Memory follows the block, whatever the length of the column.
+        """
         column = column.cast(pa.large_string())
         offs = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, dtype=np.int64)
         body = column.buffers()[2]
         data = np.frombuffer(body, dtype=np.uint8)[offs[0] : offs[-1]] if body is not None else np.zeros(0, dtype=np.uint8)
-        offs = offs - offs[0]
-        place, term = self.matches(data, offs[1:])
-        order = np.lexsort((place, term))
-        place, term = place[order], term[order]
-        size = np.array([len(t.encode()) for t in self.terms], dtype=np.int64)[term] if len(term) else term
-        close = np.zeros(len(place), dtype=bool)
-        close[1:] = (term[1:] == term[:-1]) & (place[1:] < place[:-1] + size[1:])
-        keep = np.ones(len(place), dtype=bool)
-        for i in np.flatnonzero(close).tolist():  # in order, so what stands before i is settled
-            j = i - 1
-            while not keep[j]:
-                j -= 1
-            keep[i] = place[i] >= place[j] + size[i]
-        text = np.searchsorted(offs[1:], place[keep], side="right")
-        key, n = np.unique(text * max(1, len(self.terms)) + term[keep], return_counts=True)
-        return key // max(1, len(self.terms)), key % max(1, len(self.terms)), n
+        offs, many = offs - offs[0], max(1, len(self.terms))
+        sizes = np.array([len(t.encode()) for t in self.terms], dtype=np.int64)
+        taken = np.zeros(many, dtype=np.int64)  # where the last counted occurrence of each term ends
+        for place, term in self.matches(data, offs[1:]):
+            if not len(place):
+                continue
+            order = np.lexsort((place, term))
+            place, term = place[order], term[order]
+            end = place + sizes[term]
+            first = np.diff(term, prepend=-1) != 0
+            close = place < np.where(first, taken[term], np.roll(end, 1))
+            keep = np.ones(len(place), dtype=bool)
+            for i in np.flatnonzero(close).tolist():  # in order, so what stands before i is settled
+                j = i
+                while not first[j] and (j == i or not keep[j]):
+                    j -= 1
+                before = end[j] if j < i and keep[j] else taken[term[i]]
+                keep[i] = place[i] >= before
+            taken[term[keep]] = end[keep]  # of a term's places the last one stays
+            text = np.searchsorted(offs[1:], place[keep], side="right")
+            key, n = np.unique(text * many + term[keep], return_counts=True)
+            yield key // many, key % many, n
 
 
 def _summed(weights: dict[str, float], kind: pa.DataType, once: bool) -> callable:
@@ -94,9 +112,17 @@ def _summed(weights: dict[str, float], kind: pa.DataType, once: bool) -> callabl
     each = np.array([weights[t] for t in found.terms])
 
     def run(text: pa.Array) -> pa.Array:
-        owner, term, n = found.counts(text)
         total = np.zeros(len(text), dtype=each.dtype if len(each) else np.int64)
-        np.add.at(total, owner, each[term] * (1 if once else n))
+        last, seen = -1, np.zeros(len(each), dtype=bool)  # terms of the last text, which may go on in the next block
+        for owner, term, n in found.counted(text):
+            if once:
+                fresh = ~((owner == last) & seen[term])
+                owner, term, n = owner[fresh], term[fresh], 1
+                if len(owner):
+                    seen &= owner[-1] == last
+                    last = owner[-1]
+                    seen[term[owner == last]] = True
+            np.add.at(total, owner, each[term] * n)
         return pa.array(total, mask=np.asarray(text.is_null())).cast(kind)
 
     return run

@@ -71,3 +71,18 @@ def test_cost_of_five_thousand_terms():
         return time.process_time() - began
 
     assert min(seconds(many) for _ in range(3)) <= 2.5 * min(seconds(few) for _ in range(3))
+
+
+def test_memory_of_long_columns():
+    """A column of many megabytes takes no more memory than a block of it, and terms are present once though their text goes on in other blocks."""
+    import tracemalloc
+
+    weights = {"ab": 2, "ba": 3, "aba": 5, "b a": 7, "zz": 11}
+    text = "abab a ba " * 500_000
+    texts, total = pa.array([text, None, "zz", text]), sum(w * text.count(t) for t, w in weights.items())
+    every, once = patterns._summed(weights, pa.int64(), False), patterns._summed({t: float(w) for t, w in weights.items()}, pa.float64(), True)
+    tracemalloc.start()
+    assert every(texts).to_pylist() == [total, None, 11, total]
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    assert once(texts).to_pylist() == [17.0, None, 11.0, 17.0]

@@ -276,3 +276,44 @@ def test_near_in_long_texts(spark, tmp_path):
     d = spark.createDataFrame([(1, "of a with b c d e f " * 20_000), (2, "of a b c d with"), (3, "with of")], DOCS)
     index = I.Index(spark, str(tmp_path / "i")).write(d)
     assert set(ranked(index.scored(G.parsed("NEAR(of with, 3)")))) == {1, 3}
+
+
+def test_packed_numbers():
+    """Lists of any whole numbers come back from their bytes, whole or in part, and so do their deltas."""
+    import numpy as np
+
+    r = random.Random(21)
+    for _ in range(60):
+        lists = [[r.choice([0, 1, -1, 63, 64, 2**31, 2**63 - 1, -(2**63), r.randrange(10**6)]) for _ in range(r.randrange(1, 6))] for _ in range(r.randrange(1, 9))]
+        sizes = np.array([len(x) for x in lists])
+        values, first = np.array([v for x in lists for v in x], dtype=np.int64), np.cumsum(sizes) - sizes
+        packed = I._packed(values, first)
+        assert (I._numbers(packed) == values).all() and (I._numbers(packed.slice(1)) == values[sizes[0] :]).all()
+        assert (I._sums(I._numbers(I._packed(I._deltas(values, first), first)), sizes) == values).all()
+    assert len(I._numbers(packed.slice(0, 0))) == 0
+
+
+def test_numbers_and_words_are_packed(spark, tmp_path):
+    """Numbers of blocks are bytes and the words of a document a line, not arrays, whose way through exchange, sort and files was most of the work; what is read back is whole."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    rows, d = random_docs(spark, 22, 200)
+    index = I.Index(spark, str(tmp_path / "i")).write(d)
+    kind = lambda at: {f.name: str(f.type) for f in pq.read_schema(glob.glob(f"{index.path}/segments/*/{at}/*.parquet")[0])}
+    assert {kind("postings/*")[c] for c in ("docs", "lens", "tfs", "places")} == {"binary"} and kind("docs")["words"] == "string"
+    got = {(p.term, p.doc_id): (p.tf, list(p.positions)) for p in index.all_postings().collect()}
+    words = {i: t.lower().replace("ü", "u").split() for i, t in rows}
+    assert got == {(w, i): (ws.count(w), [k for k, v in enumerate(ws) if v == w]) for i, ws in words.items() for w in set(ws)}
+
+
+def test_lines_of_words(spark):
+    """A line holds the terms that scans find, for every character."""
+    from lectern.functions import text as X
+
+    known = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(" ".join(chr(c) if c % 2 else f"x{chr(c)}Y" for c in known[i : i + 256]),) for i in range(0, len(known), 256)] + [("",), (" -a- ",), ("ΟΔΟΣ Σ ΑΣΑ, İI ",)]
+    plain = X.folded(F.col("text"))
+    found = spark.createDataFrame(rows, "text string").select(X.terms(plain).alias("terms"), X.term_line(plain).alias("line")).withColumn("n", X.words_in("line"))
+    assert found.where(F.array_join("terms", " ") != F.col("line")).isEmpty() and found.where(F.size("terms") != F.col("n")).isEmpty()
